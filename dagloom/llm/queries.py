@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
+from .dac import round_trip
+from .jaccard_join import jaccard_components
+from .packing import pack
+from .token_counts import count_tokens
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,14 +19,30 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .jaccard_join import jaccard_components
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = count_tokens(_docs(spark, sf_dir))
+    return got.select("doc_id", F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), "number", "start", "n_tokens")
+
+
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pack(_docs(spark, sf_dir))
+    return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = round_trip(_docs(spark, sf_dir))
+    return got.select("doc_id", "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_docs(spark, sf_dir))
 
 
+_QUERIES = [op2_token_counts, op4_harmonic_packing, op5_addressable_codes, op8_ngram_jaccard_join]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

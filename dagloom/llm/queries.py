@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from . import quality_rules
 from .dac import round_trip
 from .jaccard_join import jaccard_components
 from .packing import pack
@@ -19,6 +20,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = quality_rules.quality(docs, rules)
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = count_tokens(_docs(spark, sf_dir))
     return got.select("doc_id", F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), "number", "start", "n_tokens")
@@ -38,7 +46,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_docs(spark, sf_dir))
 
 
-_QUERIES = [op2_token_counts, op4_harmonic_packing, op5_addressable_codes, op8_ngram_jaccard_join]
+_QUERIES = [op1_quality_rules, op2_token_counts, op4_harmonic_packing, op5_addressable_codes, op8_ngram_jaccard_join]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import quality_rules
+from . import language_id, pii, quality_rules
 from .dac import round_trip
 from .jaccard_join import jaccard_components
 from .packing import pack
@@ -32,6 +32,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), "number", "start", "n_tokens")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language_id.learn(docs.where(~held))
+    return language_id.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pack(_docs(spark, sf_dir))
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -42,11 +49,18 @@ def op5_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    got = pii.find(docs, pii.learn(docs))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return got.select("doc_id", *counts, F.sha2(pii.told("base"), 256).alias("base_sha256"), pii.told("spans").alias("spans"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_docs(spark, sf_dir))
 
 
-_QUERIES = [op1_quality_rules, op2_token_counts, op4_harmonic_packing, op5_addressable_codes, op8_ngram_jaccard_join]
+_QUERIES = [op1_quality_rules, op2_token_counts, op3_language_id, op4_harmonic_packing, op5_addressable_codes, op6_pii, op8_ngram_jaccard_join]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -212,9 +213,12 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_DOCS, vocabulary: list[str
     return Model(tuple(languages), tuple(vocabulary), table)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
     """``doc_id, lang_pred, score`` of every document, from its text alone.
 
+    With ``carry`` all columns of ``docs`` come before the two (which replace
+    columns of their names).
+
     ``score`` is the language's share of the summed probability.  A text that is
     null or has no letters is ``und`` with score 0, as is any text if nothing
     was learned.  Ties go to the first language by name; repeated rows are
@@ -250,6 +254,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     t = total[some]
                     best[some] = t.argmax(1)
                     score[some] = 1 / np.exp(t - t.max(1, keepdims=True)).sum(1)
-                yield pa.record_batch([part.column(0), pa.array(languages[best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                yield pa.record_batch([*part.columns[:kept_columns], pa.array(languages[best], pa.string()), pa.array(score)], [*part.schema.names[:kept_columns], "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(body, "doc_id long, lang_pred string, score double")
+    docs = docs.drop("lang_pred", "score") if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kept_columns = len(docs.columns) if carry else 1
+    schema = T.StructType([*docs.schema.fields[:kept_columns], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(body, schema)

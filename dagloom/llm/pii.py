@@ -226,14 +226,15 @@ def told(spans: str) -> Column:
 
 
 def redact(docs: DataFrame, model: Boosted | None) -> DataFrame:
-    """``doc_id, text`` with every span replaced by its kind in brackets.
+    """``docs`` with every span of ``text`` replaced by its kind in brackets.
 
     Kinds are replaced one after another, so of overlapping spans the kind
-    listed first goes first and the others go in what it leaves.
+    listed first goes first and the others go in what it leaves.  A null text
+    stays null; other columns stay as they are.
     """
-    d = _texts(docs)
+    d = docs.select("text", F.struct(*docs.columns).alias("_row"))
     for kind in KINDS if model is not None else KINDS[:4]:
         pattern, there = _RULES[kind]
         chosen = _accepts(model) if kind in KINDS[4:] else lambda m, _b, _a, k=kind: _passes(k, m)
-        d = _without(d, "text", pattern, there("text"), lambda m, k=kind: F.lit(f"[{k.upper()}]"), chosen)
-    return d
+        d = _without(d, "text", pattern, F.coalesce(there("text"), F.lit(False)), lambda m, k=kind: F.lit(f"[{k.upper()}]"), chosen)
+    return d.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import language_id, pii, quality_rules
+from . import decontaminate, language_id, license_scan, pii, quality_rules, secret_scan
 from .dac import round_trip
 from .jaccard_join import jaccard_components
 from .packing import pack
@@ -56,11 +56,24 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *counts, F.sha2(pii.told("base"), 256).alias("base_sha256"), pii.told("spans").alias("spans"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_docs(spark, sf_dir)).drop("places")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_docs(spark, sf_dir))
 
 
-_QUERIES = [op1_quality_rules, op2_token_counts, op3_language_id, op4_harmonic_packing, op5_addressable_codes, op6_pii, op8_ngram_jaccard_join]
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secret_scan.scan(_docs(spark, sf_dir))
+    return got.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_QUERIES = [op1_quality_rules, op2_token_counts, op3_language_id, op4_harmonic_packing, op5_addressable_codes, op6_pii, op7_license_scan, op8_ngram_jaccard_join, op9_secret_scan, op10_benchmark_decontamination]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

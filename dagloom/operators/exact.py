@@ -3,20 +3,30 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 
-@pandas_udf("string")
+def _no_digit_limit() -> None:
+    """Naturals of any length may be read and written (Python's default stops at 4300 digits)."""
+    sys.set_int_max_str_digits(0)
+
+
+@pandas_udf(StringType())
 def _sum_digits(v: pd.Series) -> str:
+    _no_digit_limit()
     return str(sum(int(x) for x in v.dropna()))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _log10(v: pd.Series) -> pd.Series:
+    _no_digit_limit()
+
     def one(x):
         if x is None or (n := int(x)) <= 0:
             return None

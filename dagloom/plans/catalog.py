@@ -231,7 +231,7 @@ def duplicate_names(t: Tables) -> DataFrame:
 def grouped_holdout(t: Tables) -> DataFrame:
     d = _transitions(t)
     counts: dict = {}
-    for r in P.label_counts(d.where("thm % 7 = 0")).collect():  # the split's theorem by label counts, not rows
+    for r in P.label_counts(d).collect():  # theorem by label counts, not rows
         counts.setdefault(r.thm, {})[r.label] = r.n
     return P.roles_frame(t.spark, P.grouped_holdout(counts, 0.2, 1), d)
 
@@ -677,5 +677,87 @@ def class_weights(t: Tables) -> DataFrame:
     return got.select("label", "n", _r("balanced").alias("balanced"), _r("inverse_sqrt").alias("inverse_sqrt"))
 
 
+# canonical forms, views and models (no SQL)
+
+
+def _order_exprs(t: Tables) -> DataFrame:
+    """Every order's graph with theorem-local ids in post-order: parts, suppliers, lines, the order."""
+    li = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("rows"))
+    leaves = F.array_sort(F.array_distinct(F.concat(F.transform("rows", lambda r: F.struct(F.lit("Const").alias("kind"), r["l_partkey"].alias("key"))), F.transform("rows", lambda r: F.struct(F.lit("Fvar").alias("kind"), r["l_suppkey"].alias("key"))))))
+    d = li.withColumn("leaves", leaves)
+    at = lambda kind, key: F.array_position("leaves", F.struct(F.lit(kind).alias("kind"), key.alias("key"))) - 1
+    lines = F.transform("rows", lambda r: F.struct(F.lit("App").alias("kind"), F.lit(None).cast("string").alias("name"), F.array(at("Const", r["l_partkey"]), at("Fvar", r["l_suppkey"])).alias("refs")))
+    base = F.transform("leaves", lambda x: F.struct(x["kind"].alias("kind"), x["key"].cast("string").alias("name"), F.array().cast("array<bigint>").alias("refs")))
+    size = F.size("leaves").cast("long")
+    top = F.array(F.struct(F.lit("App").alias("kind"), F.lit(None).cast("string").alias("name"), F.transform("rows", lambda r, i: size + i).alias("refs")))
+    return d.select(F.col("l_orderkey").alias("thm"), F.posexplode(F.concat(base, lines, top)).alias("id", "e")).select("thm", "id", "e.kind", "e.name", "e.refs")
+
+
+@query
+def fragments(t: Tables) -> DataFrame:
+    from ..operators.identity import mine_fragments
+
+    return mine_fragments(_order_exprs(t), (1, 2)).groupBy("depth", "ident").agg(F.count("*").alias("occurrences"), F.count_distinct("thm").alias("theorems"), F.max(F.size("nodes")).alias("positions"))
+
+
+@query
+def alpha_identities(t: Tables) -> DataFrame:
+    from ..operators.identity import identities
+
+    return identities(_order_exprs(t)).groupBy("alpha").agg(F.count("*").alias("n"), F.count_distinct("thm").alias("theorems"), F.min("topology").alias("topology"))
+
+
+@query
+def topology_signatures(t: Tables) -> DataFrame:
+    from ..operators.identity import identities
+
+    return identities(_order_exprs(t)).groupBy("topology").agg(F.count("*").alias("n"), F.count_distinct("labelled").alias("labelled"))
+
+
+@query
+def local_patterns(t: Tables) -> DataFrame:
+    from ..operators.identity import local_patterns as found
+
+    return found(_order_exprs(t), (1, 2)).groupBy("radius", "flavour", "digest").agg(F.count("*").alias("n"))
+
+
+@query
+def rewritten_views(t: Tables) -> DataFrame:
+    from ..operators.views import view_rows
+
+    heads = F.when(F.col("name").cast("long") % 3 == 0, "Coe.coe").when(F.col("name").cast("long") % 3 == 1, "HAdd.hAdd").otherwise(F.col("name"))
+    e = _order_exprs(t).withColumn("name", F.when(F.col("kind") == "Const", heads).otherwise(F.col("name")))
+    got = view_rows(e).groupBy("view").agg(F.count("refs").alias("nodes"), F.sum(F.coalesce(F.size("refs"), F.lit(0))).alias("refs"), F.count_if(F.col("alias") != F.col("id")).alias("aliased"))
+    return got.select("view", "nodes", "refs", "aliased")
+
+
+def _model_inputs(t: Tables):
+    from ..operators.models import load_matrix
+
+    v = t.embeddings.select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "val")).withColumn("val", F.col("val").cast("double"))
+    y = t.embeddings.select(F.col("vec_id").alias("row"), F.col("label").cast("long").alias("label"))
+    held = F.col("row") % 5 == 0
+    width, classes = int(v.agg(F.max("col")).first()[0] or 0) + 1, int(y.agg(F.max("label")).first()[0] or 0) + 1
+    return v, load_matrix(v, y.where(~held), width), load_matrix(v, y.where(held), width), width, classes
+
+
+@query
+def logistic_probabilities(t: Tables) -> DataFrame:
+    from ..operators import models
+
+    v, train, valid, width, classes = _model_inputs(t)
+    model, _ = models.fit_logistic(train, valid, classes, epochs=3)
+    return models.score(v, model, width, classes)
+
+
+@query
+def mlp_probabilities(t: Tables) -> DataFrame:
+    from ..operators import models
+
+    v, train, valid, width, classes = _model_inputs(t)
+    model, _ = models.fit_mlp(train, valid, classes, hidden=(32,), epochs=5, weights="inverse_sqrt", smoothing=0.05, dropout=0.1)
+    return models.score(v, model, width, classes)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

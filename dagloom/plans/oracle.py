@@ -124,7 +124,7 @@ SQL: dict[str, str] = {
         "gs AS (SELECT root, max(distinct_) AS d, coalesce(sum(indegree), 0) AS refs FROM reach_size LEFT JOIN reach_in USING (root) GROUP BY root)",
         "hs AS (SELECT root, max(distinct_) AS d, coalesce(sum(indegree), 0) AS refs, count(*) FILTER (indegree > 1) / greatest(max(distinct_), 1) AS sf FROM hreach_size LEFT JOIN hreach_in USING (root) GROUP BY root)")
         + "SELECT state, count(*)::BIGINT AS hyps, max(gs.d) AS goal_distinct, max(gs.refs)::BIGINT AS goal_refs, sum(hs.d)::BIGINT AS ctx_distinct, sum(hs.refs)::BIGINT AS ctx_refs, round(avg(sf), 6) AS ctx_shared_frac, max(hs.d) AS max_distinct, sum(CASE WHEN slot >= 4 THEN hs.d ELSE 0 END)::BIGINT AS over_distinct, sum(CASE WHEN slot >= 4 THEN hs.refs ELSE 0 END)::BIGINT AS over_refs FROM hyp JOIN hs USING (root) JOIN gs ON gs.root = state * 8 + 5 GROUP BY state",
-    "hypothesis_slot_columns": _with(_EDGES, _HYP.replace("AS (", "AS MATERIALIZED (", 1), _HREACH) + "SELECT state, slot * 2 AS col, expanded::DOUBLE AS val FROM hyp JOIN hreach_size USING (root) WHERE slot < 4 UNION ALL SELECT state, slot * 2 + 1, distinct_::DOUBLE FROM hyp JOIN hreach_size USING (root) WHERE slot < 4",
+    "hypothesis_slot_columns": _with(_EDGES, _HYP, _HREACH) + "SELECT state, slot * 2 + k.range AS col, CASE k.range WHEN 0 THEN expanded ELSE distinct_ END::DOUBLE AS val FROM hyp JOIN hreach_size USING (root) CROSS JOIN range(2) k WHERE slot < 4",
     "maxabs_scale": "WITH v AS (SELECT vec_id AS row, unnest(embedding)::DOUBLE AS val, generate_subscripts(embedding, 1) AS col FROM embeddings), s AS (SELECT col, max(abs(val)) AS s FROM v GROUP BY col) SELECT row, round(sum(round(val / CASE WHEN s > 0 THEN s ELSE 1 END, 9)), 5) AS total, round(max(val / CASE WHEN s > 0 THEN s ELSE 1 END), 5) AS highest FROM v JOIN s USING (col) GROUP BY row",
     "log_standard_scale": "WITH c AS (SELECT l_orderkey AS row, l_suppkey % 20 AS col, ln(1 + count(*)) AS v FROM lineitem GROUP BY ALL), s AS (SELECT col, sqrt(greatest(sum(v * v) / (SELECT count(*) FROM orders) - (sum(v) / (SELECT count(*) FROM orders)) ^ 2, 0)) AS s FROM c GROUP BY col) SELECT row, col, round(v / CASE WHEN s > 0 THEN s ELSE 1 END, 6) AS scaled FROM c JOIN s USING (col)",
     "coverage_curve": f"WITH {_USES}, g AS (SELECT uses, count(*)::BIGINT AS n FROM uses GROUP BY uses) SELECT uses, n, (sum(n) OVER w)::BIGINT AS rank, round(sum(n * uses) OVER w / sum(n * uses) OVER (), 6) AS share FROM g WINDOW w AS (ORDER BY uses DESC ROWS UNBOUNDED PRECEDING)",

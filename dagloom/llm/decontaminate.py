@@ -49,7 +49,7 @@ def forms(words: list[bytes]) -> Forms:
     kind, capital, stops, unit, value, plain = np.zeros(n, np.int8), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool), [], []
     for i, raw in enumerate(words):
         w = raw.decode()
-        stops[i] = w[-1] in ".!?"
+        stops[i] = w.endswith((".", "!", "?"))
         s = w if w.isalnum() else _EDGE.sub("", w)
         low = s.lower()
         value.append(low)

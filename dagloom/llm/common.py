@@ -64,7 +64,7 @@ def batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
     return body
 
 
-def parts(batch: pa.RecordBatch, column: str = "text", most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that ``column`` holds about ``most`` bytes in each part.
 
     A row is never cut: one text beyond the bound is a part of its own.

@@ -91,8 +91,8 @@ def _by_length(words: list[str]):
     size = np.array([len(w) for w in words])
     for n in np.unique(size):
         at = np.flatnonzero(size == n)
-        for lo in range(0, len(at), 20_000):
-            part = at[lo : lo + 20_000]
+        for lo in range(0, len(at), 8_000):
+            part = at[lo : lo + 8_000]
             yield part, [words[k] for k in part]
 
 
@@ -233,7 +233,7 @@ def predict(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
         for batch in it:
             for part in C.parts(batch):
                 at, words, codes = cut_words(C.texts(part))
-                if len(known) > 400_000:
+                if len(known) > 200_000:
                     known.clear()
                 new = [w for w in dict.fromkeys(words) if w not in known]
                 if new:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -52,6 +54,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
     """Turn a function of one record batch into a ``mapInArrow`` body."""
 
@@ -60,6 +70,7 @@ def batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
             for part in parts(batch):
                 if (out := fn(part)) is not None and out.num_rows:
                     yield out
+        release()
 
     return body
 
@@ -105,6 +116,7 @@ def runs(key: str, fn: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable:
                 last = k[a]
         if held and (out := fn(pa.Table.from_batches(held))) is not None:
             yield out
+        release()
 
     return body
 

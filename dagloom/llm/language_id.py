@@ -255,6 +255,8 @@ def predict(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
                     best[some] = t.argmax(1)
                     score[some] = 1 / np.exp(t - t.max(1, keepdims=True)).sum(1)
                 yield pa.record_batch([*part.columns[:kept_columns], pa.array(languages[best], pa.string()), pa.array(score)], [*part.schema.names[:kept_columns], "lang_pred", "score"])
+        del known, kept, lattice
+        C.release()
 
     docs = docs.drop("lang_pred", "score") if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kept_columns = len(docs.columns) if carry else 1

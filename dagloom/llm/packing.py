@@ -21,6 +21,8 @@ from . import common as C
 from .tokens import END_ID, WORD_BPE, encoder, tokenizer_path
 
 CAPACITY, TAIL = 4096, 128
+#: Chunks that a worker's encoder keeps: fewer than by default, as packing shares executors with other stages.
+CACHE = 300_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -112,9 +114,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     def body(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bins, enc = Bins(TaskContext.get().partitionId(), capacity, tail), encoder(path)
+        bins, enc = Bins(TaskContext.get().partitionId(), capacity, tail), encoder(path, CACHE)
         for batch in it:
-            for part in C.parts(batch, most=8 << 20):
+            for part in C.parts(batch):
                 ids, at = enc.encode_documents(C.texts(part), end_id)
                 for doc, a, b in zip(part.column(0).to_pylist(), at, at[1:], strict=False):
                     bins.add(doc, ids[a:b])
@@ -126,5 +128,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         bins.finish()
         if (out := bins.rows()) is not None:
             yield out
+        C.release()
 
     return docs.select(docs.doc_id.cast("long").alias("doc_id"), "text").mapInArrow(body, SCHEMA)

@@ -35,12 +35,13 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Ids of texts by one tokenizer file; distinct chunks are encoded once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
+        self.most = most
         self.spaced = os.path.basename(path) == BYTE_BPE
         self.known: dict[str, int] = {}
         self.last = np.zeros(0, bool)  # ids that end a word, if the vocabulary tells them
@@ -110,7 +111,7 @@ class Encoder:
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin (one more entry)."""
-        if len(self.known) > CACHE_CHUNKS:
+        if len(self.known) > self.most:
             self.clear()
         if self.spaced:
             odd = np.flatnonzero(pc.match_substring_regex(text, _ODD).to_numpy(zero_copy_only=False))
@@ -168,9 +169,9 @@ class Encoder:
         return np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder of ``path``; kept from task to task."""
+def encoder(path: str, most: int = CACHE_CHUNKS) -> Encoder:
+    """This worker's encoder of ``path``; kept from task to task, with ``most`` chunks or so."""
     kept = sys.modules.setdefault("_dagloom_encoders", type(sys)("_dagloom_encoders")).__dict__
     if path not in kept:
-        kept[path] = Encoder(path)
+        kept[path] = Encoder(path, most)
     return kept[path]

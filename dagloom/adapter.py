@@ -15,10 +15,11 @@ KINDS = ["region", "nation", "supplier", "part", "line", "order"]
 
 
 class Tables:
-    """The driver's tables of one directory, read on demand."""
+    """The driver's tables of one directory, read on demand, and what one query has derived from them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.kept: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -13,14 +13,19 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import settle
+
 
 def path_levels(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """``root, node, depth, paths``: paths of each length from every root, roots at depth 1."""
+    """``root, node, depth, paths``: paths of each length from every root, roots at depth 1.
+
+    Every level is written before the next one joins it, so each is computed once.
+    """
     level = roots.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(1).alias("depth"), F.lit(1).cast("long").alias("paths"))
     out = [level]
     step = edges.select(F.col("parent").alias("node"), "child")
     for depth in range(2, max_depth + 1):
-        level = level.join(step, "node").groupBy("root", F.col("child").alias("node")).agg(F.sum("paths").alias("paths")).select("root", "node", F.lit(depth).alias("depth"), "paths")
+        level = settle(level.join(step, "node").groupBy("root", F.col("child").alias("node")).agg(F.sum("paths").alias("paths")).select("root", "node", F.lit(depth).alias("depth"), "paths"))
         out.append(level)
     return reduce(DataFrame.unionByName, out)
 
@@ -58,6 +63,7 @@ def ancestors(targets: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame
     seen = level = targets.select("node").distinct()
     for _ in range(max_depth - 1):
         level = edges.join(level.withColumnRenamed("node", "child"), "child", "left_semi").select(F.col("parent").alias("node")).distinct()
+        level = settle(level)
         seen = seen.unionByName(level)
     return seen.distinct()
 

@@ -19,6 +19,7 @@ from ..operators import selection as C
 from ..operators import splits as P
 from ..operators import supervised as U
 from ..operators.exact import exact_sum
+from ..operators.tables import settle
 from ..session import ship
 
 DEPTH = 5
@@ -39,12 +40,22 @@ def _r(c, n: int = 6):
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
 
+def _edges(t: Tables) -> DataFrame:
+    if "edges" not in t.kept:
+        t.kept["edges"] = settle(A.edges(t))
+    return t.kept["edges"]
+
+
 def _reach(t: Tables) -> DataFrame:
-    return G.closure(G.path_levels(A.roots(t), A.edges(t), DEPTH))
+    if "reach" not in t.kept:
+        t.kept["reach"] = settle(G.closure(G.path_levels(A.roots(t), _edges(t), DEPTH)))
+    return t.kept["reach"]
 
 
 def _hyp_reach(t: Tables) -> DataFrame:
-    return G.closure(G.path_levels(A.hypotheses(t).select("root"), A.edges(t), DEPTH - 1))
+    if "hyp_reach" not in t.kept:
+        t.kept["hyp_reach"] = settle(G.closure(G.path_levels(A.hypotheses(t).select("root"), _edges(t), DEPTH - 1)))
+    return t.kept["hyp_reach"]
 
 
 # graphs
@@ -53,7 +64,7 @@ def _hyp_reach(t: Tables) -> DataFrame:
 @query
 def dag_measure(t: Tables) -> DataFrame:
     reach = _reach(t)
-    got = G.measure_roots(reach).join(G.sharing(reach, A.edges(t)).drop("distinct"), "root")
+    got = G.measure_roots(reach).join(G.sharing(reach, _edges(t)).drop("distinct"), "root")
     return got.select("root", "expanded", "distinct", F.col("depth").cast("long").alias("depth"), "refs", "shared", _r("shared_frac").alias("shared_frac"))
 
 
@@ -70,7 +81,7 @@ def dag_kind_histogram(t: Tables) -> DataFrame:
 
 @query
 def dag_shared_nodes(t: Tables) -> DataFrame:
-    return G.indegrees(_reach(t), A.edges(t)).where("indegree > 1").select("root", "node", "indegree")
+    return G.indegrees(_reach(t), _edges(t)).where("indegree > 1").select("root", "node", "indegree")
 
 
 @query
@@ -81,7 +92,7 @@ def root_closure(t: Tables) -> DataFrame:
 @query
 def ancestors_of_brand(t: Tables) -> DataFrame:
     hit = t.part.where("p_brand = 'Brand#11'").select(A.node("p_partkey", "part").alias("node"))
-    got = G.ancestors(hit, A.edges(t), DEPTH)
+    got = G.ancestors(hit, _edges(t), DEPTH)
     return got.groupBy(A.kind_of("node").alias("kind")).agg(F.count("*").alias("nodes"))
 
 
@@ -124,7 +135,7 @@ def global_reuse_keys(t: Tables) -> DataFrame:
 
 @query
 def reduced_sizes(t: Tables) -> DataFrame:
-    e = A.edges(t)
+    e = _edges(t)
     reusable = _shared_patterns(t).where("theorems > 1").select("node", F.lit(1).alias("cost"))
     inner = G.measure_roots(G.closure(G.path_levels(reusable.select(F.col("node").alias("root")), e, DEPTH))).select(F.col("root").alias("node"), "expanded")
     return G.reduced_sizes(A.roots(t), e, inner, reusable, DEPTH).select("root", "reduced_tree", "reduced_dag", "novel")
@@ -415,7 +426,7 @@ def cooccurrence(t: Tables) -> DataFrame:
 
 @query
 def state_stats(t: Tables) -> DataFrame:
-    edges, fields = A.edges(t), ["distinct", "refs", "shared_frac"]
+    edges, fields = _edges(t), ["distinct", "refs", "shared_frac"]
     goal = G.sharing(_reach(t), edges).join(A.roots(t), "root")
     hyp = G.sharing(_hyp_reach(t), edges).join(A.hypotheses(t), "root")
     got = X.state_statistics(goal, hyp, fields, slots=4)
@@ -482,7 +493,7 @@ def freq_totals(t: Tables) -> DataFrame:
     occ = A.hypotheses(t).groupBy("root").agg(F.count("*").alias("n"))
     reach = _hyp_reach(t)
     f = G.occurrence_counts(reach, occ)
-    inner = G.measure_roots(G.closure(G.path_levels(f.select(F.col("node").alias("root")), A.edges(t), DEPTH - 1)))
+    inner = G.measure_roots(G.closure(G.path_levels(f.select(F.col("node").alias("root")), _edges(t), DEPTH - 1)))
     met = f.join(inner.withColumnRenamed("root", "node"), "node")
     return met.groupBy("distinct", "expanded").agg(F.count("*").alias("nodes"), F.sum("root_dag").alias("dag"), F.max("root_dag").alias("dag_most"), F.sum("expanded_tree").alias("tree"), F.max("expanded_tree").alias("tree_most"))
 
@@ -548,7 +559,7 @@ def topology_bands(t: Tables) -> DataFrame:
 @query
 def comparison_columns(t: Tables) -> DataFrame:
     full = G.measure_roots(_reach(t))
-    cut = G.measure_roots(G.closure(G.path_levels(A.roots(t), A.edges(t), 3))).select("root", F.col("expanded").alias("after"))
+    cut = G.measure_roots(G.closure(G.path_levels(A.roots(t), _edges(t), 3))).select("root", F.col("expanded").alias("after"))
     got = full.join(cut, "root")
     return got.select("root", _r(S.log_count(F.col("expanded"))).alias("log_before"), _r(S.log_count(F.col("after"))).alias("log_after"), _r(S.removed_percent(F.col("expanded"), F.col("after"))).alias("removed"))
 

@@ -298,7 +298,9 @@ def _blocks_of_large(large: DataFrame, pivots: DataFrame) -> tuple[DataFrame, Da
     near = F.array_position(F.transform("d", lambda x: x <= eps), True)
     far = far.withColumns({"core": (near - 1).cast("int"), "cell": F.array_position("d", F.array_min("d")).cast("int")})
     far = far.withColumn("ring", F.floor(F.array_min("d") / (eps / 2)).cast("int"))
-    links = far.where("core >= 0").select(F.col("rep").alias("a"), F.element_at("pivots", F.col("core") + 1).alias("b"))
+    # a link to every near pivot, not only the core: block pairs are passed over on account of any of them
+    met = F.filter(F.arrays_zip("d", "pivots"), lambda x: x["d"] <= eps)
+    links = far.select(F.col("rep").alias("a"), F.explode(met).alias("b")).select("a", F.col("b.pivots").alias("b"))
     place = ["g", "cell", "ring"]
     count = far.groupBy(*place).agg(F.count("*").alias("rows"), F.sum(F.length("s")).alias("bytes"))
     count = count.select(*place, F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("cuts"))
@@ -341,16 +343,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     other = reps.select(F.col("d1").alias("o1"), F.col("d2").alias("o2"), F.col("rep").alias("b"))
     met = C.write_out(met.join(reps, ["d1", "d2"]).join(other, ["o1", "o2"]).select(F.col("rep").alias("a"), "b", "deg"), "jaccard-edges")
     groups = C.write_out(C.connected_components(met, "jaccard-candidates").withColumnRenamed("id", "rep").withColumnRenamed("component", "g"), "jaccard-groups")
-    links = _links(docs, table, groups, met, width)
+    links = _links(docs, reps, groups, met, width)
     joined = C.connected_components(links, "jaccard-links")
     top = reps.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     return table.join(top, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _links(docs: DataFrame, table: DataFrame, groups: DataFrame, met: DataFrame, width: int) -> DataFrame:
+def _links(docs: DataFrame, reps: DataFrame, groups: DataFrame, met: DataFrame, width: int) -> DataFrame:
     """Links that span the components, from the candidate groups."""
     degree = met.select(F.col("a").alias("rep"), "deg").unionByName(met.select(F.col("b").alias("rep"), "deg")).groupBy("rep").agg(F.sum("deg").alias("deg"))
-    wanted = table.where("d1 is not null").join(groups, table.doc_id == groups.rep, "left_semi").groupBy("doc_id").agg(F.min("d1").alias("d1")).join(groups.withColumnRenamed("rep", "doc_id"), "doc_id").join(degree.withColumnRenamed("rep", "doc_id"), "doc_id")
+    wanted = reps.select(F.col("rep").alias("doc_id"), "d1").join(groups.withColumnRenamed("rep", "doc_id"), "doc_id").join(degree.withColumnRenamed("rep", "doc_id"), "doc_id")
     wanted = C.write_out(wanted, "jaccard-wanted")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:

@@ -96,6 +96,23 @@ def test_jaccard_join_of_a_large_group(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts)
 
 
+def test_a_member_near_two_pivots_links_both(spark):
+    first, second, between = set(range(100)), set(range(10, 110)), set(range(5, 105))
+    rows = [(1, k, 1, np.array(sorted(s), np.uint64).tobytes()) for k, s in enumerate((first, second, between))]
+    large = spark.createDataFrame(rows, "g long, rep long, deg long, s binary")
+    pivots = spark.createDataFrame([(1, [(0, rows[0][3]), (1, rows[1][3])])], "g long, p array<struct<rep: long, s: binary>>")
+    through, todo = jaccard_join._blocks_of_large(large, pivots)
+    links = {tuple(sorted(x)) for x in through.unionByName(jaccard_join._verify(todo, "task")).collect()}
+    assert {(0, 2), (1, 2)} <= links and (0, 1) not in links
+
+
+def test_jaccard_join_of_texts_that_share_an_id(spark):
+    near, far = prose(300, 21), prose(300, 22)
+    rows = [(5, near), (5, far), (5, far), (6, near + " end"), (7, far + " end"), (8, prose(90, 23))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5)] * 3 + [(6, 5), (7, 5), (8, 8)]
+
+
 def test_every_linked_pair_meets_in_a_region():
     rings = jaccard_join.Rings()
     for n in (10, 19, 20, 57, 200, 1000):

@@ -46,3 +46,18 @@ def camel(name: Column) -> Column:
 def natural_kind(value: Column) -> Column:
     """Attribute of a natural literal: 0, 1 or other."""
     return F.when(value == "0", "nat0").when(value == "1", "nat1").otherwise("nat_other")
+
+
+def expression_attributes(kind: Column, index: Column, value: Column, level: Column, binders: Column) -> Column:
+    """Names of an expression's attributes, as an array without nulls.
+
+    Bound variables by index (3 and more together), natural literals by value,
+    the sort of level 0, and for binders one entry each and one for its form.
+    """
+    some = F.array(
+        F.when(kind == "Bvar", F.concat(F.lit("bvar"), F.when(index < 3, index.cast("string")).otherwise("3+"))),
+        F.when(kind == "NatLiteral", natural_kind(value)),
+        F.when((kind == "Sort") & (level == "0"), "prop"),
+    )
+    each = F.flatten(F.transform(F.coalesce(binders, F.array().cast("array<string>")), lambda b: F.array(F.lit("binder"), F.concat(F.lit("binder_"), b))))
+    return F.concat(F.array_compact(some), F.when(kind.isin("Lambda", "Forall"), each).otherwise(F.array().cast("array<string>")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import adapter as A
 from .. import functions as S
 from ..adapter import Tables
+from ..operators import derived as M
 from ..operators import distribution as D
 from ..operators import evaluate as V
 from ..operators import features as X
@@ -488,8 +489,7 @@ def head_distribution(t: Tables) -> DataFrame:
     return h.select("p_brand", "total", "types", _r(F.col("most") / F.col("total")).alias("dominance"))
 
 
-@query
-def freq_totals(t: Tables) -> DataFrame:
+def _freq_totals(t: Tables) -> DataFrame:
     occ = A.hypotheses(t).groupBy("root").agg(F.count("*").alias("n"))
     reach = _hyp_reach(t)
     f = G.occurrence_counts(reach, occ)
@@ -498,6 +498,11 @@ def freq_totals(t: Tables) -> DataFrame:
     return met.groupBy("distinct", "expanded").agg(F.count("*").alias("nodes"), F.sum("root_dag").alias("dag"), F.max("root_dag").alias("dag_most"), F.sum("expanded_tree").alias("tree"), F.max("expanded_tree").alias("tree_most"))
 
 
+@query
+def freq_totals(t: Tables) -> DataFrame:
+    return _freq_totals(t)
+
+
 @query
 def frequency_histogram(t: Tables) -> DataFrame:
     return _uses(t).groupBy("uses").agg(F.count("*").alias("parts"))
@@ -576,6 +581,94 @@ def overflow_safe_sum(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_orderstatus").agg(small.alias("fast"), F.sum((F.col("o_orderkey") * F.lit(1 << 20)).cast("decimal(38,0)")).cast("string").alias("exact"))
 
 
+# derived measures
+
+
+@query
+def frequency_frame(t: Tables) -> DataFrame:
+    got = M.frequency_frame(_freq_totals(t), "tree")
+    return got.select(*[_r(c).alias(c) for c in ("distinct_log", "expanded_log", "total", "dominance", "repetition")])
+
+
+@query
+def root_reuse(t: Tables) -> DataFrame:
+    m = G.measure_roots(_reach(t))
+    return m.select("root", _r(S.log_count(F.col("expanded")) - S.log_count(F.col("distinct"))).alias("sharing"))
+
+
+@query
+def context_ratios(t: Tables) -> DataFrame:
+    hyp = A.hypotheses(t)
+    per = hyp.join(G.measure_roots(_hyp_reach(t)), "root").groupBy("state").agg(F.sum("expanded").alias("ctx_expanded"), F.max("expanded").alias("largest"), F.sum("distinct").alias("individual"), F.count("*").alias("hyps"))
+    goal = A.roots(t).join(_reach(t), "root").select("state", "root", "node")
+    both = goal.select("state", "node").unionByName(hyp.join(_hyp_reach(t), "root").select("state", "node")).groupBy("state").agg(F.count_distinct("node").alias("state_distinct"))
+    size = goal.groupBy("state").agg(F.count("*").alias("goal"))
+    got = M.context_ratios(per.join(both, "state").join(size, "state").withColumn("individual_distinct", F.col("individual") + F.col("goal")))
+    return got.select("state", *[_r(c).alias(c) for c in ("hyps_log", "largest_to_mean_log", "mean_hyp_size", "cross_root_sharing")])
+
+
+@query
+def novelty(t: Tables) -> DataFrame:
+    reusable = _shared_patterns(t).where("theorems > 1").select("node", F.lit(1).alias("known"))
+    sizes = _reach(t).join(reusable, "node", "left").groupBy("root").agg(F.count("*").alias("nodes"), F.count_if(F.col("known").isNull()).alias("novel"))
+    return M.novelty(sizes).select("root", *[_r(c).alias(c) for c in ("nodes_log", "novel_log", "novel_frac")])
+
+
+@query
+def edge_motifs(t: Tables) -> DataFrame:
+    return M.two_edge_motifs(_reach(t), _edges(t), A.kind_of).select("root", "bin", "n")
+
+
+@query
+def app_spines(t: Tables) -> DataFrame:
+    return M.spines(_edges(t), DEPTH).groupBy(A.kind_of("node").alias("kind"), A.kind_of("head").alias("head_kind"), "spine").agg(F.count("*").alias("nodes"), F.count_distinct("head").alias("heads"))
+
+
+@query
+def descriptor_inputs(t: Tables) -> DataFrame:
+    kinds = _reach(t).groupBy("root", F.lit("kinds").alias("block"), F.pmod("node", F.lit(8)).alias("bin")).agg(F.count("*").alias("n"))
+    motifs = M.two_edge_motifs(_reach(t), _edges(t), A.kind_of).select("root", F.lit("motifs").alias("block"), "bin", "n")
+    return M.descriptor_inputs(kinds.unionByName(motifs), 2).select("root", "block", "bin", _r("val").alias("val"))
+
+
+@query
+def coverage_at_ranks(t: Tables) -> DataFrame:
+    return M.coverage_at_ranks(_uses(t), [], "uses").select("rank", _r("share").alias("share"))
+
+
+@query
+def lorenz_rotated(t: Tables) -> DataFrame:
+    return M.rotated_cells(D.concentration_points(t.lineitem, "l_orderkey", "l_quantity", 50), 50)
+
+
+@query
+def lorenz_quantiles(t: Tables) -> DataFrame:
+    return D.weighted_quantiles(lorenz_raster(t), ["i"], "j", "n", [0.1, 0.5, 0.9])
+
+
+@query
+def active_cdf(t: Tables) -> DataFrame:
+    """Share of rows with at most so many active columns; the window holds distinct counts only."""
+    h = X.active_histogram(_features(t)[0])
+    up = Window.orderBy("active").rowsBetween(Window.unboundedPreceding, 0)
+    return h.select("active", _r(F.sum("rows").over(up) / F.sum("rows").over(Window.partitionBy())).alias("share"))
+
+
+@query
+def name_pool(t: Tables) -> DataFrame:
+    support = _channels(t).join(_labelled(t), "row").groupBy("channel").agg(F.count("*").alias("support"))
+    return M.name_pool(_name_scores(t), "channel", "label", "one_vs_rest", "o", support, 64)
+
+
+@query
+def expression_attributes(t: Tables) -> DataFrame:
+    size = F.col("p_size").cast("long")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("Bvar", "NatLiteral", "Sort", "Forall", "App")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    binders = F.transform(F.sequence(F.lit(0).cast("long"), size % 3), lambda k: F.when((size + k) % 2 == 0, "default").otherwise("implicit"))
+    attrs = S.expression_attributes(kind, size % 5, F.floor(size / 20).cast("string"), (size % 2).cast("string"), binders)
+    return t.part.select("p_brand", F.explode(attrs).alias("attr")).groupBy("p_brand", "attr").agg(F.count("*").alias("n"))
+
+
 # ranking
 
 

@@ -55,6 +55,17 @@ _PRF = f"""{_MATRIX}, prf0 AS (SELECT d.range AS cls, coalesce((SELECT sum(n) FR
   coalesce((SELECT sum(n) FROM mat WHERE pred = d.range), 0)::BIGINT AS guessed, coalesce((SELECT sum(n) FROM mat WHERE label = d.range AND pred = d.range), 0)::BIGINT AS tp FROM range(7) d),
 prf1 AS (SELECT cls, support, coalesce(tp / nullif(guessed, 0), 0) AS p, coalesce(tp / nullif(support, 0), 0) AS r FROM prf0),
 prf AS (SELECT cls, support, p, r, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f1 FROM prf1)"""
+_FREQ = _with(_EDGES, _HYP, _HREACH, "f AS (SELECT node, sum(n)::BIGINT AS dag, sum(n * paths)::BIGINT AS tree FROM hreach JOIN (SELECT root, count(*) AS n FROM hyp GROUP BY root) USING (root) GROUP BY node)",
+    "inn AS (SELECT node AS root, node FROM f UNION ALL SELECT root, child FROM inn JOIN edges ON node = parent)", "sz AS (SELECT root, count(*)::BIGINT AS e, count(DISTINCT node)::BIGINT AS d FROM inn GROUP BY root)")
+_TEXT = f"concat_ws('|', {_KIND.format('x.parent')}, least(x.pos, 3), {_KIND.format('y.parent')}, least(y.pos, 3), {_KIND.format('y.child')})"
+_HEX = "(strpos('0123456789abcdef', substr({0}, {1}, 1)) - 1)"
+_MOTIF = f"""walk AS (SELECT x.parent AS node, sha256({_TEXT}) AS h FROM edges x JOIN edges y ON y.parent = x.child),
+motif AS (SELECT root, (({_HEX.format('h', 1)} * 16 + {_HEX.format('h', 2)}) % 64)::BIGINT AS bin, count(*)::BIGINT AS n FROM reach JOIN walk USING (node) GROUP BY ALL)"""
+_LORENZ = """v AS (SELECT l_orderkey AS k, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS rn FROM lineitem),
+c AS (SELECT k, rn, sum(q) OVER (PARTITION BY k ORDER BY rn) AS cum, q, count(*) OVER (PARTITION BY k) AS n, sum(q) OVER (PARTITION BY k) AS total FROM v),
+x AS (SELECT DISTINCT k, n, total, i.range AS i, (i.range + 0.5) / 50 * n AS x FROM c CROSS JOIN range(50) i WHERE total > 0),
+y AS (SELECT x.k, x.i, (c.cum - c.q + (x.x - (c.rn - 1)) * c.q) / x.total AS share FROM x JOIN c ON c.k = x.k AND c.rn = least(floor(x.x), x.n - 1) + 1)"""
+_CELL = "least(greatest(floor(round({}, 9)), 0), 49)::BIGINT"
 _BAND = "CASE WHEN {0} < 8 THEN 0 WHEN {0} < 32 THEN 1 WHEN {0} < 128 THEN 2 ELSE 3 END::BIGINT"
 _SUPF = "sf AS (SELECT o_custkey AS thm, l_orderkey AS step, l_suppkey AS col, count(*) AS val FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), pr AS (SELECT DISTINCT thm, step, col % 64 AS entry FROM sf)"
 _ENT = "ent AS (SELECT p_brand AS brand, max(p_size)::BIGINT AS positions, dense_rank() OVER (ORDER BY p_brand) - 1 AS entry FROM part GROUP BY p_brand), lay AS (SELECT *, coalesce(sum(positions * 13) OVER (ORDER BY entry ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offs FROM ent)"
@@ -153,6 +164,28 @@ SQL: dict[str, str] = {
     "comparison_columns": _with(_EDGES, _GOAL, "cut AS (SELECT root, count(*) AS after FROM reach_paths WHERE depth <= 3 GROUP BY root)") + "SELECT root, round(log10(expanded), 6) AS log_before, round(log10(after), 6) AS log_after, round(100 * (1 - after / expanded), 6) AS removed FROM reach_size JOIN cut USING (root)",
     "exact_totals": "SELECT p_brand, CASE WHEN sum(p_partkey) = 0 THEN '0' ELSE sum(p_partkey)::BIGINT::VARCHAR || repeat('0', 24) END AS exact FROM part GROUP BY p_brand",
     "overflow_safe_sum": "SELECT o_orderstatus, CASE WHEN abs(sum(o_orderkey::HUGEINT * 1099511627776)) <= 9223372036854775807 THEN sum(o_orderkey::HUGEINT * 1099511627776) END::BIGINT AS fast, sum(o_orderkey::HUGEINT * 1048576)::VARCHAR AS exact FROM orders GROUP BY o_orderstatus",
+    "frequency_frame": _FREQ + "SELECT round(log10(d), 6) AS distinct_log, round(log10(e), 6) AS expanded_log, round(log10(sum(tree)), 6) AS total, round(CASE WHEN sum(tree) >= 10 THEN max(tree) / sum(tree) END, 6) AS dominance, round(log10(sum(tree)) - log10(sum(dag)), 6) AS repetition FROM f JOIN sz ON f.node = sz.root GROUP BY d, e",
+    "root_reuse": _with(_EDGES, _GOAL) + "SELECT root, round(log10(expanded) - log10(distinct_), 6) AS sharing FROM reach_size",
+    "context_ratios": _with(_EDGES, _HYP, _GOAL, _HREACH,
+        "per AS (SELECT state, sum(expanded) AS ce, max(expanded) AS lg, sum(distinct_) AS ind, count(*) AS hyps FROM hyp JOIN hreach_size USING (root) GROUP BY state)",
+        "un AS (SELECT state, count(DISTINCT node) AS sd FROM (SELECT state, node FROM hyp JOIN hreach USING (root) UNION ALL SELECT (root - 5) // 8, node FROM reach) GROUP BY state)")
+        + "SELECT state, round(log10(hyps), 6) AS hyps_log, round(log10(lg * hyps / ce), 6) AS largest_to_mean_log, round(log10(ce) - log10(hyps), 6) AS mean_hyp_size, round(log10((ind + distinct_) / sd), 6) AS cross_root_sharing FROM per JOIN un USING (state) JOIN reach_size ON root = state * 8 + 5",
+    "novelty": _with(_EDGES, _GOAL, _SHARED, "z AS (SELECT root, count(*) AS nodes, count(*) FILTER (node NOT IN (SELECT node FROM pats WHERE theorems > 1)) AS novel FROM reach GROUP BY root)") + "SELECT root, round(log10(nodes), 6) AS nodes_log, round(log10(novel + 1), 6) AS novel_log, round(novel / nodes, 6) AS novel_frac FROM z",
+    "edge_motifs": _with(_EDGES, _GOAL, _MOTIF) + "SELECT root, bin, n FROM motif",
+    "app_spines": _with(_EDGES, "one AS (SELECT parent, min(child) AS child FROM edges WHERE pos = 0 GROUP BY parent)", "sp AS (SELECT parent AS node, child AS head, 1::BIGINT AS spine FROM one UNION ALL SELECT node, child, spine + 1 FROM sp JOIN one ON head = parent)", "fin AS (SELECT * FROM sp QUALIFY row_number() OVER (PARTITION BY node ORDER BY spine DESC) = 1)")
+        + f"SELECT {_KIND.format('node')} AS kind, {_KIND.format('head')} AS head_kind, spine, count(*)::BIGINT AS nodes, count(DISTINCT head)::BIGINT AS heads FROM fin GROUP BY ALL",
+    "descriptor_inputs": _with(_EDGES, _GOAL, _MOTIF, "hist AS (SELECT root, 'kinds' AS block, node % 8 AS bin, count(*) AS n FROM reach GROUP BY ALL UNION ALL SELECT root, 'motifs', bin, n FROM motif)") + "SELECT root, block, bin, round(sqrt(n / sum(n) OVER (PARTITION BY root, block) / 2), 6) AS val FROM hist",
+    "coverage_at_ranks": f"WITH {_USES}, o AS (SELECT uses, row_number() OVER (ORDER BY uses DESC, l_partkey) AS rank FROM uses), c AS (SELECT rank, sum(uses) OVER (ORDER BY rank) / sum(uses) OVER () AS share, count(*) OVER () AS r FROM o), k AS (SELECT DISTINCT round_even(pow(m.r::DOUBLE, g.range / greatest(least(1000, m.r) - 1, 1)), 0)::BIGINT AS rank FROM (SELECT max(r) AS r FROM c) m CROSS JOIN range(1000) g WHERE g.range < greatest(least(1000, m.r), 2)) SELECT rank, round(share, 6) AS share FROM c JOIN k USING (rank)",
+    "lorenz_rotated": f"WITH {_LORENZ} SELECT {_CELL.format('25 * ((i + 0.5) / 50 + share)')} AS a, {_CELL.format('50 * (share - (i + 0.5) / 50)')} AS b, count(*)::BIGINT AS n FROM y GROUP BY ALL",
+    "lorenz_quantiles": f"WITH {_LORENZ}, g AS (SELECT i, {_CELL.format('50 * share')} AS j, count(*) AS n FROM y GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY i ORDER BY j) AS cum, sum(n) OVER (PARTITION BY i) AS total FROM g) SELECT i, " + ", ".join(f"min(j) FILTER (cum >= {q}::DOUBLE * total) AS q{round(q * 100)}" for q in (0.1, 0.5, 0.9)) + " FROM r GROUP BY i",
+    "active_cdf": _with(_EDGES, _HYP, _STATES, _GOAL, _HREACH, _FEAT) + "SELECT active, round(sum(rows) OVER (ORDER BY active) / sum(rows) OVER (), 6) AS share FROM (SELECT active, count(*) AS rows FROM (SELECT count(*)::BIGINT AS active FROM feat GROUP BY thm, step) GROUP BY active)",
+    "name_pool": f"WITH {_CHAN}, {_LAB}, {_CHI}, top AS (SELECT label, max(one_vs_rest) AS best FROM chi GROUP BY label), rel AS (SELECT channel, max(coalesce(one_vs_rest / nullif(best, 0), 0)) AS relative, sum(o) AS count FROM chi JOIN top USING (label) GROUP BY channel), a AS (SELECT channel FROM rel ORDER BY relative DESC, count DESC, channel LIMIT 48), b AS (SELECT channel FROM pres WHERE channel NOT IN (SELECT channel FROM a) ORDER BY present DESC, channel LIMIT 16) SELECT channel, 'association' AS chosen_by FROM a UNION ALL SELECT channel, 'support' FROM b",
+    "expression_attributes": """WITH e AS (SELECT p_brand, p_partkey % 5 AS k, p_size AS s FROM part), a AS (
+        SELECT p_brand, 'bvar' || CASE WHEN s % 5 < 3 THEN (s % 5)::VARCHAR ELSE '3+' END AS attr FROM e WHERE k = 0
+        UNION ALL SELECT p_brand, CASE s // 20 WHEN 0 THEN 'nat0' WHEN 1 THEN 'nat1' ELSE 'nat_other' END FROM e WHERE k = 1
+        UNION ALL SELECT p_brand, 'prop' FROM e WHERE k = 2 AND s % 2 = 0
+        UNION ALL SELECT p_brand, unnest(['binder', CASE WHEN (s + g.range) % 2 = 0 THEN 'binder_default' ELSE 'binder_implicit' END]) FROM e JOIN range(3) g ON g.range <= s % 3 WHERE k = 3)
+        SELECT p_brand, attr, count(*)::BIGINT AS n FROM a GROUP BY ALL""",
     "bottom_k_sample": "SELECT o_custkey, o_orderkey, sha256(o_custkey::VARCHAR || ':' || o_orderkey::VARCHAR) AS priority FROM orders ORDER BY priority, o_custkey, o_orderkey LIMIT 200",
     "top_scores": "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 64",
     "band_topk": _with(_EDGES, _GOAL) + f"SELECT {_BAND.format('expanded')} AS band, row_number() OVER (PARTITION BY {_BAND.format('expanded')} ORDER BY expanded DESC, root) AS place, root, expanded FROM reach_size QUALIFY place <= 4",

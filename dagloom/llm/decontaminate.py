@@ -1,13 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words of benchmark items and documents are put in canonical form: numbers,
-units after a number, and names (capitalised within a sentence) become typed
-placeholders, all else is lower-cased without surrounding punctuation.  Windows
-of five canonical words are hashed and looked up in a hash table of the items'
-windows.  Where enough of an item's windows occur, the values behind the
-placeholders are compared: an item's value must stand for the same value
-throughout the document, so a question with new numbers is caught, while
-unrelated text of the same form is not.
+Words of benchmark items and documents are put in canonical form: numbers
+become typed placeholders, all else is lower-cased without surrounding
+punctuation; a capitalised word may also be a name and a unit after a number
+also a unit, and every reading of a window of five words is hashed and looked
+up in a hash table of the readings of the items' windows.  Where enough of
+an item's windows occur, the values behind the placeholders are compared: an
+item's value must stand for the same value throughout the document, so a
+question with new numbers is caught, while unrelated text of the same form is
+not.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from . import common as C
 WIDTH, SIMILARITY, LITERALS = 5, 0.8, 3
 #: Items whose windows are held in memory at once; more are searched block by block.
 BLOCK_ITEMS = 20_000
+#: Windows whose readings are formed at once.
+STEP = 1 << 17
 UNITS = frozenset("kg g mg km m cm mm mile miles hour hours hr minute minutes min second seconds s day days week weeks month months year years dollar dollars euro euros cent cents percent liter liters litre litres l ml lb lbs pound pounds foot feet inch inches degree degrees mph kmh".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(%|[a-z]{1,4})?")
 _EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
@@ -39,17 +42,15 @@ class Forms:
     kind: np.ndarray
     literal: np.ndarray
     capital: np.ndarray
-    stops: np.ndarray
     unit: np.ndarray
     value: list[str]
 
 
 def forms(words: list[bytes]) -> Forms:
     n = len(words)
-    kind, capital, stops, unit, value, plain = np.zeros(n, np.int8), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool), [], []
+    kind, capital, unit, value, plain = np.zeros(n, np.int8), np.zeros(n, bool), np.zeros(n, bool), [], []
     for i, raw in enumerate(words):
         w = raw.decode()
-        stops[i] = w.endswith((".", "!", "?"))
         s = w if w.isalnum() else _EDGE.sub("", w)
         low = s.lower()
         value.append(low)
@@ -59,106 +60,169 @@ def forms(words: list[bytes]) -> Forms:
         kind[i] = _NUM if _NUMBER.fullmatch(low) else _WORD
         capital[i] = s[0].isupper() and s[1:].islower()
         unit[i] = low in UNITS
-    return Forms(kind, C.word_hashes(plain), capital, stops, unit, value)
+    return Forms(kind, C.word_hashes(plain), capital, unit, value)
 
 
-def canonical(codes: np.ndarray, f: Forms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the words in ``codes`` that count: kind, hash of the canonical word, code."""
-    stops = np.concatenate(([True], f.stops[codes][:-1])) if len(codes) else np.zeros(0, bool)
+@dataclass
+class Words:
+    """The words that count of a row of texts: what each may be read as."""
+
+    text: np.ndarray
+    code: np.ndarray
+    number: np.ndarray
+    name: np.ndarray
+    unit: np.ndarray
+    own: np.ndarray
+
+
+def canonical(codes: np.ndarray, f: Forms, at: np.ndarray | None = None) -> tuple[Words]:
+    """For the words in ``codes`` that count; text k has those from ``at[k]`` to ``at[k + 1]``."""
+    text = np.zeros(len(codes), np.int64) if at is None else np.repeat(np.arange(len(at) - 1), np.diff(at))
     keep = f.kind[codes] != _NONE
-    codes, first = codes[keep], stops[keep]
-    kind = f.kind[codes].copy()
-    after = np.concatenate(([False], kind[:-1] == _NUM)) if len(codes) else first
-    kind[(kind == _WORD) & f.unit[codes] & after] = _UNIT
-    kind[(kind == _WORD) & f.capital[codes] & ~first] = _NAME
-    return kind, np.where(kind == _WORD, f.literal[codes], kind.astype(np.uint64)), codes
-
-
-def windows(hashes: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window, and whether it has words enough besides placeholders."""
-    n = len(hashes) - width + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    out = np.full(n, np.uint64(width))
-    count = np.zeros(n, np.int64)
+    codes, text = codes[keep], text[keep]
+    number = f.kind[codes] == _NUM
+    after = np.zeros(len(codes), bool)
+    after[1:] = number[:-1] & (text[1:] == text[:-1])
+    return (Words(text, codes, number, f.capital[codes] & ~number, f.unit[codes] & ~number & after, np.where(number, np.uint64(_NUM), f.literal[codes])),)
+
+
+def _add(h: np.ndarray, word) -> np.ndarray:
+    return C.mix(h * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def windows(w: Words, f: Forms, width: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and place of every reading of the windows at ``places``, and whether it is by form.
+
+    A capitalised word is read as itself and as a name, a unit after a number as
+    itself and as a unit, so no reading hangs on what stands before the window.
+    Readings of fewer than LITERALS words besides placeholders are left out.
+    """
+    least = min(width, LITERALS)
+    at, h, slots = places, np.full(len(places), np.uint64(width)), np.zeros(len(places), np.int8)
     for k in range(width):
-        out = C.mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : n + k])
-        count += kind[k : n + k] == _WORD
-    return out, count >= min(width, LITERALS)
+        word = at + k
+        number = w.number[word]
+        ways = [(at, _add(h, w.own[word]), slots + number)]
+        for may, kind in ((w.name, _NAME), (w.unit, _UNIT)):
+            m = may[word] & (slots < width - least)
+            if m.any():
+                ways.append((at[m], _add(h[m], np.uint64(kind)), slots[m] + np.int8(1)))
+        at, h, slots = (np.concatenate(x) for x in zip(*ways, strict=True)) if len(ways) > 1 else ways[0]
+        if (over := slots > width - least).any():
+            at, h, slots = at[~over], h[~over], slots[~over]
+    return h, at, np.ones(len(at), bool)
+
+
+@dataclass
+class Item:
+    """An item's words, which of them are slots, and its distinct windows by form and of all."""
+
+    id: int
+    width: int
+    values: list[str]
+    slot: np.ndarray
+    window: list[int]
+    by_form: set[int]
+    every: set[int]
 
 
 @dataclass
 class Index:
-    """Windows of a block of items."""
+    """Readings of the windows of a block of items, by hash."""
 
     keys: np.ndarray
-    places: dict[int, list[tuple[int, int]]] = field(repr=False)
-    size: dict[int, int]
-    items: dict[int, tuple[np.ndarray, list[str]]] = field(repr=False)
+    item: np.ndarray = field(repr=False)
+    place: np.ndarray = field(repr=False)
+    items: list[Item] = field(repr=False)
+    there: np.ndarray = field(repr=False)
     widths: tuple[int, ...] = (WIDTH,)
-    width_of: dict[int, int] = field(default_factory=dict)
 
 
 def build(items: list[tuple[int, str]]) -> Index:
     """Index of items; one of fewer words than a window is one window of its own length."""
-    places, size, kept, width_of = defaultdict(list), {}, {}, {}
+    kept: list[Item] = []
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for item, text in items:
         words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
         f = forms(words)
-        kind, hashes, codes = canonical(np.arange(len(words)), f)
-        width = min(WIDTH, len(hashes))
+        (w,) = canonical(np.arange(len(words)), f)
+        width = min(WIDTH, len(w.code))
         if not width:
             continue
-        h, ok = windows(hashes, kind, width)
-        if not ok.any():
-            continue
-        for p in np.flatnonzero(ok):
-            places[int(h[p])].append((item, int(p)))
-        size[item], width_of[item] = len(np.unique(h[ok])), width
-        kept[item] = (kind, [f.value[c] for c in codes])
-    return Index(np.array(sorted(places), np.uint64), dict(places), size, kept, tuple(sorted(set(width_of.values()) | {WIDTH})), width_of)
-
-
-def _consistent(found: list[tuple[int, int]], item: tuple[np.ndarray, list[str]], kind: np.ndarray, value, width: int) -> set[int]:
-    """Item windows of ``found`` (place in document, in item) whose values agree with the majority."""
-    kinds, values = item
-    seen: dict[tuple, Counter] = defaultdict(Counter)
-    for d, p in found:
-        for k in range(width):
-            if kinds[p + k] != _WORD:
-                seen[int(kinds[p + k]), values[p + k]][value(d + k)] += 1
-    most = {k: c.most_common(1)[0][0] for k, c in seen.items()}
-    return {p for d, p in found if all(kinds[p + k] == _WORD or most[int(kinds[p + k]), values[p + k]] == value(d + k) for k in range(width))}
-
-
-def judge(kind: np.ndarray, hashes: np.ndarray, codes: np.ndarray, f: Forms, index: Index) -> dict[int, float]:
-    """Share of each item's windows that the document has consistently, where it is enough."""
-    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        h, at, form = windows(w, f, width, np.arange(len(w.code) - width + 1))
+        # equal windows are one: by form those of the same words, else those of the same values
+        n = len(w.code) - width + 1
+        by_form, window, seen = np.zeros(n, bool), [], {}
+        by_form[at[form]] = True
+        for p in range(n):
+            words_of = w.own[p : p + width] if by_form[p] else f.literal[w.code[p : p + width]]
+            window.append(seen.setdefault((bool(by_form[p]), words_of.tobytes()), len(seen)))
+        found.append((h, np.full(len(h), len(kept)), at))
+        kept.append(Item(item, width, [f.value[c] for c in w.code], w.number | w.name | w.unit, window, {window[p] for p in np.flatnonzero(by_form)}, set(window)))
+    keys, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(keys, kind="stable")
+    there = np.zeros(1 << max(16, (16 * len(keys)).bit_length()), bool)
+    there[keys & np.uint64(len(there) - 1)] = True
+    return Index(keys[order], item[order], place[order], kept, there, tuple(sorted({i.width for i in kept} | {WIDTH})))
+
+
+def _share(found: list[tuple[int, int]], item: Item, value) -> float:
+    """Share of the item's windows found, at (place in document, in item), with consistent values.
+
+    Values are consistent if each stands for itself or each for what it mostly
+    stands for.  The share is that of the windows by form or of all windows.
+    """
+    of = {item.window[p] for _, p in found}
+
+    def share(of: set[int]) -> float:
+        return max(len(of & s) / len(s) if s else 0.0 for s in (item.by_form, item.every))
+
+    if share(of) < SIMILARITY:
+        return 0.0
+    seen: dict[str, Counter] = defaultdict(Counter)
+    slots = [[(item.values[p + k], value(d + k)) for k in range(item.width) if item.slot[p + k]] for d, p in found]
+    for (_, p), x in zip(found, slots, strict=True):
+        for a, b in x:
+            seen[a][b] += 1
+    most = {a: c.most_common(1)[0][0] for a, c in seen.items()}
+    same = {item.window[p] for (_, p), x in zip(found, slots, strict=True) if all(a == b for a, b in x)}
+    mostly = {item.window[p] for (_, p), x in zip(found, slots, strict=True) if all(most[a] == b for a, b in x)}
+    return max(share(same), share(mostly))
+
+
+def judge_all(w: Words, f: Forms, index: Index, texts: int) -> list[dict[int, float]]:
+    """Share of each item's windows that each text has consistently, where it is enough."""
+    found: list[dict[int, set[tuple[int, int]]]] = [defaultdict(set) for _ in range(texts)]
     for width in index.widths:
-        h, ok = windows(hashes, kind, width)
-        if not len(h) or not len(index.keys):
-            continue
-        k = np.minimum(np.searchsorted(index.keys, h), len(index.keys) - 1)
-        for d in np.flatnonzero(ok & (index.keys[k] == h)):
-            for item, p in index.places[int(h[d])]:
-                if index.width_of[item] == width:
-                    found[item].append((int(d), p))
-    out = {}
-    for item, at in found.items():
-        n = index.size[item]
-        if len({p for _, p in at}) >= SIMILARITY * n:
-            good = _consistent(at, index.items[item], kind, lambda d: f.value[codes[d]], index.width_of[item])
-            h, _ = windows(hashes, kind, index.width_of[item])
-            share = len({int(h[d]) for d, p in at if p in good}) / n
-            if share >= SIMILARITY:
-                out[item] = min(1.0, share)
+        starts = np.arange(max(0, len(w.code) - width + 1))
+        starts = starts[w.text[starts] == w.text[starts + width - 1]] if len(starts) else starts
+        for lo in range(0, len(starts), STEP):
+            h, at, _ = windows(w, f, width, starts[lo : lo + STEP])
+            hit = index.there[h & np.uint64(len(index.there) - 1)]
+            h, at = h[hit], at[hit]
+            a, b = np.searchsorted(index.keys, h, "left"), np.searchsorted(index.keys, h, "right")
+            for k in np.flatnonzero(b > a):
+                d = int(at[k])
+                for x in range(a[k], b[k]):
+                    found[w.text[d]][int(index.item[x])].add((d, int(index.place[x])))
+    out: list[dict[int, float]] = [{} for _ in range(texts)]
+    for got, hits in zip(out, found, strict=True):
+        for i, at in hits.items():
+            item = index.items[i]
+            if (s := _share(sorted(at), item, lambda d: f.value[w.code[d]])) >= SIMILARITY:
+                got[item.id] = max(s, got.get(item.id, 0.0))
     return out
 
 
+def judge(w: Words, f: Forms, index: Index) -> dict[int, float]:
+    """The same of one text."""
+    return judge_all(w, f, index, 1)[0]
+
+
 def _rows(batch: pa.RecordBatch, index: Index) -> list[dict[int, float]]:
     at, words, codes = C.split_words(C.texts(batch), lower=False)
     f = forms(words)
-    return [judge(*canonical(codes[a:b], f), f, index) for a, b in zip(at, at[1:], strict=False)]
+    return judge_all(*canonical(codes, f, np.asarray(at)), f, index, len(at) - 1)
 
 
 def blocks(benchmark: DataFrame, items: int = BLOCK_ITEMS) -> list[Index]:
@@ -172,11 +236,12 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, contaminated, n_items, best_item, best_score`` of every document.
 
     An item counts if 0.8 or more of its distinct windows occur with consistent
-    values; ties of the best go to the smallest item_id.  Windows of fewer than
-    three words besides placeholders are not used.  A null or empty text holds
-    nothing, as does an empty benchmark; repeated rows are judged each on its
-    own unless the benchmark takes several blocks, when rows of one doc_id are
-    judged together; an empty table gives an empty result.
+    values, either of those by form or of all; ties of the best go to the
+    smallest item_id.  Windows of fewer than three words besides placeholders
+    are not used.  A null or empty text
+    holds nothing, as does an empty benchmark; repeated rows are judged each on
+    its own unless the benchmark takes several blocks, when rows of one doc_id
+    are judged together; an empty table gives an empty result.
     """
     schema = "doc_id long, n_items long, best_item long, best_score double"
     out = None

@@ -369,6 +369,30 @@ def test_slots_must_be_consistent():
     assert score("if x has 1 red and y has 2 blue then z has 3 more than 4 of the whole lot there").get(1, 0) < 1
 
 
+def benchmark_score(item, text):
+    index, w = decontaminate.build([(1, item)]), [x.encode() for x in text.split()]
+    f = decontaminate.forms(w)
+    return decontaminate.judge(*decontaminate.canonical(np.arange(len(w)), f), f, index).get(1, 0)
+
+
+@pytest.mark.parametrize("item", ["What is the capital of France?", "Name the longest river in all Asia", "Which of the planets has most moons now?"])
+@pytest.mark.parametrize("before", ["Question: ", "a line\n", "thin a Haen a to, ", "- ", "end. ", "12. ", ""])
+def test_a_passage_is_found_whatever_precedes_it(item, before):
+    assert benchmark_score(item, before + item + " and so on") == 1
+    assert benchmark_score(item, before + item.lower()) == 1
+
+
+def test_a_unit_that_opens_a_passage():
+    item = "Days of the week are seven"
+    assert benchmark_score(item, "Question 12: " + item) == 1
+
+
+def test_names_that_open_sentences_are_slots():
+    item = "Natalia sold clips to 48 of her friends in April. Natalia then sold half as many clips in May. Natalia sold how many?"
+    assert benchmark_score(item, "Q: " + item.replace("Natalia", "Maria").replace("48", "36")) == 1
+    assert benchmark_score(item, "Q: Maria sold tins to 3 of her aunts in June. Maria ran home") == 0
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     text = prose(120, 50)

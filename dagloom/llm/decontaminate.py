@@ -4,7 +4,8 @@ Words of benchmark items and documents are put in canonical form: numbers
 become typed placeholders, all else is lower-cased without surrounding
 punctuation; a capitalised word may also be a name and a unit after a number
 also a unit, and every reading of a window of five words is hashed and looked
-up in a hash table of the readings of the items' windows.  Where enough of
+up in a hash table of the readings of the items' windows.  Windows with too few
+words besides placeholders are looked up by their real values.  Where enough of
 an item's windows occur, the values behind the placeholders are compared: an
 item's value must stand for the same value throughout the document, so a
 question with new numbers is caught, while unrelated text of the same form is
@@ -95,11 +96,14 @@ def windows(w: Words, f: Forms, width: int, places: np.ndarray) -> tuple[np.ndar
 
     A capitalised word is read as itself and as a name, a unit after a number as
     itself and as a unit, so no reading hangs on what stands before the window.
-    Readings of fewer than LITERALS words besides placeholders are left out.
+    Readings of fewer than LITERALS words besides placeholders are left out; a
+    window without any other is read by its real values instead.
     """
     least = min(width, LITERALS)
     at, h, slots = places, np.full(len(places), np.uint64(width)), np.zeros(len(places), np.int8)
+    few = np.zeros(len(places), np.int64)
     for k in range(width):
+        few += w.number[places + k]
         word = at + k
         number = w.number[word]
         ways = [(at, _add(h, w.own[word]), slots + number)]
@@ -110,7 +114,13 @@ def windows(w: Words, f: Forms, width: int, places: np.ndarray) -> tuple[np.ndar
         at, h, slots = (np.concatenate(x) for x in zip(*ways, strict=True)) if len(ways) > 1 else ways[0]
         if (over := slots > width - least).any():
             at, h, slots = at[~over], h[~over], slots[~over]
-    return h, at, np.ones(len(at), bool)
+    exact = places[few > width - least]
+    if not len(exact):
+        return h, at, np.ones(len(at), bool)
+    real = np.full(len(exact), np.uint64(~width & 0xFFFFFFFF))
+    for k in range(width):
+        real = _add(real, f.literal[w.code[exact + k]])
+    return np.concatenate((h, real)), np.concatenate((at, exact)), np.arange(len(at) + len(exact)) < len(at)
 
 
 @dataclass
@@ -238,7 +248,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     An item counts if 0.8 or more of its distinct windows occur with consistent
     values, either of those by form or of all; ties of the best go to the
     smallest item_id.  Windows of fewer than three words besides placeholders
-    are not used.  A null or empty text
+    have no form and occur only with their real values.  A null or empty text
     holds nothing, as does an empty benchmark; repeated rows are judged each on
     its own unless the benchmark takes several blocks, when rows of one doc_id
     are judged together; an empty table gives an empty result.

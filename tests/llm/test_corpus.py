@@ -393,6 +393,17 @@ def test_names_that_open_sentences_are_slots():
     assert benchmark_score(item, "Q: Maria sold tins to 3 of her aunts in June. Maria ran home") == 0
 
 
+@pytest.mark.parametrize("item, other", [("What is 12 + 30?", "What is 13 + 30?"), ("Alice met Bob", "Carol met Dan"), ("12 30 45 7 8 9", "12 30 45 7 8 1"), ("Add 3 4 5 6 7 8", "Add 3 4 5 6 7 9")])
+def test_items_of_few_words_besides_slots_are_found_exactly(item, other):
+    assert benchmark_score(item, "Question: " + item) == 1 and benchmark_score(item, "a b " + item.lower() + " c") == 1
+    assert benchmark_score(item, "Question: " + other) == 0
+
+
+def test_numbers_of_an_item_with_few_forms_may_change():
+    item = "1 2 3 4 5 6 are the six numbers that he wrote down"
+    assert benchmark_score(item, item) == 1 and benchmark_score(item, item.replace("5 6", "8 9").replace("1 2", "3 3")) >= 0.8
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     text = prose(120, 50)

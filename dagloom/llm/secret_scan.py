@@ -24,10 +24,10 @@ KINDS = ["assign", "access", "hex", "literal"]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: One assignment: name, operator, value (a quoted literal, joined ones, or a bare word).
+#: One assignment: name, operator, value (a quoted literal, joined ones, or a bare word), of any length.
 _PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.-])["']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})["']?[ \t]*(?P<op>:=|=>|[:=])[ \t]*"""
-    r"""(?P<value>(?:"[^"\n]{0,512}"|'[^'\n]{0,512}')(?:[ \t]*\+[ \t]*(?:"[^"\n]{0,512}"|'[^'\n]{0,512}'))*|[A-Za-z0-9+/_.=-]{1,512})"""
+    r"""(?<![A-Za-z0-9_.-])["']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]*+(?P<op>:=|=>|[:=])[ \t]*+"""
+    r"""(?P<value>(?:"[^"\n]*+"|'[^'\n]*+')(?:[ \t]*+\+[ \t]*+(?:"[^"\n]*+"|'[^'\n]*+'))*+|[A-Za-z0-9+/_.=-]++)"""
 )
 _LITERAL = re.compile(r""""([^"\n]*)"|'([^'\n]*)'""")
 #: Parts of names, and how sensitive a value they make.
@@ -73,9 +73,13 @@ def pairs(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
 def literals(text: str) -> list[tuple[int, int, float]]:
     """Start, end and score of literals worth reporting."""
     best: dict[tuple[int, int], float] = {}
-    for name, parts in pairs(text):
+    random: dict[int, float] = {}
+    found = pairs(text)
+    for name, parts in found:
         if s := sensitivity(name):
-            score = s * (0.4 + 0.6 * randomness("".join(v for v, _, _ in parts)))
+            if id(parts) not in random:
+                random[id(parts)] = randomness("".join(v for v, _, _ in parts))
+            score = s * (0.4 + 0.6 * random[id(parts)])
             if score >= THRESHOLD and sum(len(v) for v, _, _ in parts) >= 6:
                 for _, a, b in parts:
                     if b > a:

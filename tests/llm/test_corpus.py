@@ -343,6 +343,15 @@ def test_secret_scan(spark, docs, rows, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("name", ["private_key", "pwd", "x" * 100 + "_credential"])
+def test_long_secrets_are_found_whole(name):
+    value = "Zk39fjslQ0pWm2xT" * 125
+    for text, at in ((f'{name} = "{value}"', len(name) + 4), (f"{name} = {value} x", len(name) + 3), (f"{name}: '{value}' + '{value}'", len(name) + 3)):
+        base, added = secret_scan.find_in(text)
+        assert not base and added[0] == (at, 3, at + 2000)
+        assert len(added) == text.count(value)
+
+
 def test_decontamination(spark, docs, empty):
     q = "A farmer named Bob bought 12 sheep for 30 dollars each and later sold 12 of the animals at twice that price"
     bench = spark.createDataFrame([(1, q), (2, "short one here"), (3, None), (4, "")], "item_id long, text string")

@@ -24,16 +24,20 @@ KINDS = ["assign", "access", "hex", "literal"]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+#: Characters of names and of bare values.
+_IN_NAME, _IN_VALUE = "A-Za-z0-9_.-", "A-Za-z0-9+/_.=-"
+_OPERATOR = ":=|=>|[:=]"
 #: One assignment: name, operator, value (a quoted literal, joined ones, or a bare word), of any length.
 _PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.-])["']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]*+(?P<op>:=|=>|[:=])[ \t]*+"""
-    r"""(?P<value>(?:"[^"\n]*+"|'[^'\n]*+')(?:[ \t]*+\+[ \t]*+(?:"[^"\n]*+"|'[^'\n]*+'))*+|[A-Za-z0-9+/_.=-]++)"""
+    rf"""(?<![{_IN_NAME}])["']?(?P<name>[A-Za-z_][{_IN_NAME}]*+)["']?[ \t]*+(?P<op>{_OPERATOR})[ \t]*+"""
+    rf"""(?P<value>(?:"[^"\n]*+"|'[^'\n]*+')(?:[ \t]*+\+[ \t]*+(?:"[^"\n]*+"|'[^'\n]*+'))*+|[{_IN_VALUE}]++)"""
 )
 _LITERAL = re.compile(r""""([^"\n]*)"|'([^'\n]*)'""")
 #: Parts of names, and how sensitive a value they make.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "private": 0.6, "key": 0.5, "auth": 0.5, "bearer": 0.8, "signature": 0.4}
 THRESHOLD = 0.6
-_ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|[A-Za-z_][\"']?[ \t]*[:=]>?=?[ \t]*[\"'A-Za-z0-9+/]"
+#: What a text must have for any span to be found: fixed wording, or the middle of a pair.
+_ANY = rf"""(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{{24}}|[{_IN_NAME}]["']?[ \t]*(?:{_OPERATOR})[ \t]*["'{_IN_VALUE}]"""
 
 
 def sensitivity(name: str) -> float:

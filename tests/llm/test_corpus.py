@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,6 +353,16 @@ def test_long_secrets_are_found_whole(name):
         assert len(added) == text.count(value)
 
 
+def test_nothing_is_found_where_the_filter_says_no(rows):
+    given = ['DB_PWD2 = "hunter2hunter2Z9"', 'pwd2="Zk39fjslQ0pWm2xT"', "pwd.\t:=\t_Zk39fjslQ0pWm2xT", "pwd- => .Zk39fjslQ0pWm2xT", "'pwd9': =Zk39fjslQ0pWm2xT"]
+    parts = ["pwd", "pwd2", "pwd_", "x", "9", ".", "-", '"', "'", " ", "\t", "\n", ":", "=", ">", "+", "/", "é", "hunter2hunter2Z9", "AKIA", "secret"]
+    r = np.random.default_rng(8)
+    texts = given + [t for t in rows.values() if t] + ["".join(r.choice(parts, 8)) for _ in range(4000)]
+    for t, hit in zip(texts, pc.match_substring_regex(pa.array(texts), secret_scan._ANY).to_pylist(), strict=True):
+        assert hit or secret_scan.find_in(t) == ([], []) and secret_scan.pairs(t) == []
+    assert all(secret_scan.find_in(t)[1] for t in given)
+
+
 def test_decontamination(spark, docs, empty):
     q = "A farmer named Bob bought 12 sheep for 30 dollars each and later sold 12 of the animals at twice that price"
     bench = spark.createDataFrame([(1, q), (2, "short one here"), (3, None), (4, "")], "item_id long, text string")

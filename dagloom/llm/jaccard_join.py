@@ -226,12 +226,9 @@ def _u64(x) -> np.ndarray:
     return np.frombuffer(x, np.uint64)
 
 
-def _block_links(ids: np.ndarray, side: np.ndarray, core: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join parts not yet joined, between sides 0 and 1 or within side 2.
-
-    ``core`` names the pivot that a set is linked to (negative: none).
-    """
-    n = len(ids)
+def _block_matrix(side: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Which sets are linked, between sides 0 and 1 or within side 2 (above the diagonal)."""
+    n = len(sets)
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -249,6 +246,14 @@ def _block_links(ids: np.ndarray, side: np.ndarray, core: np.ndarray, sets: list
         both += m @ m.T
     link = both * DEN >= (size[:, None] + size[None, :] - both) * NUM
     link &= (side[:, None] != side[None, :]) | (side[:, None] == 2)
+    return np.triu(link, 1)
+
+
+def _block_links(ids: np.ndarray, link: np.ndarray, core: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join parts not yet joined.
+
+    ``core`` names the pivot that a set is linked to (negative: none).
+    """
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -258,7 +263,7 @@ def _block_links(ids: np.ndarray, side: np.ndarray, core: np.ndarray, sets: list
 
     top = [int(-1 - c) if c >= 0 else i for i, c in enumerate(core)]
     out = []
-    for i, j in zip(*np.nonzero(np.triu(link, 1)), strict=True):
+    for i, j in zip(*np.nonzero(link), strict=True):
         if (x := root(top[i])) != (y := root(top[j])):
             parent[x] = y
             out.append((int(ids[i]), int(ids[j])))
@@ -266,19 +271,59 @@ def _block_links(ids: np.ndarray, side: np.ndarray, core: np.ndarray, sets: list
 
 
 def _verify(members: DataFrame, key: str) -> DataFrame:
-    """Exact links within every ``key``; columns key, rep, side, core, s."""
+    """Exact links that span the parts of every ``key``; columns key, rep, side, core, s."""
 
     def one(t: pa.Table) -> pa.RecordBatch | None:
         if t.num_rows < 2:
             return None
         ids, side, core = (t.column(c).to_numpy() for c in ("rep", "side", "core"))
-        found = _block_links(ids, side, core, [_u64(x) for x in t.column("s").to_pylist()])
+        found = _block_links(ids, _block_matrix(side, [_u64(x) for x in t.column("s").to_pylist()]), core)
         return pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"]) if found else None
 
     dealt = members.select(key, "rep", "side", "core", "s").repartition(key).sortWithinPartitions(key, "rep")
     return dealt.mapInArrow(C.runs(key, one), "a long, b long")
 
 
+def _verify_all(members: DataFrame, key: str, pairs: bool) -> DataFrame:
+    """All exact links within every ``key``; columns key, rep, side, s.
+
+    With ``pairs`` one row a link: ``a, b``, the digests ``d1, d2`` of a and
+    ``o1, o2`` of b.  Otherwise one row a set with links: ``a``, its digest
+    ``d1, d2``, its ``n`` links, and ``b``, the same for all sets joined by them.
+    """
+
+    def one(t: pa.Table) -> pa.RecordBatch | None:
+        if t.num_rows < 2:
+            return None
+        ids, side = (t.column(c).to_numpy() for c in ("rep", "side"))
+        sets = [_u64(x) for x in t.column("s").to_pylist()]
+        link = _block_matrix(side, sets)
+        i, j = np.nonzero(link)
+        if not len(i):
+            return None
+        d = np.zeros((len(ids), 2), np.int64)
+        there = np.unique(np.concatenate((i, j)))
+        for k in there:
+            d[k] = digest(sets[k])
+        if pairs:
+            columns = [ids[i], ids[j], d[i, 0], d[i, 1], d[j, 0], d[j, 1]]
+        else:
+            link, part = link | link.T, np.full(len(ids), -1)
+            for k in there:
+                todo = [k] if part[k] < 0 else []
+                part[todo] = k
+                while todo:
+                    new = np.flatnonzero(link[todo.pop()] & (part < 0))
+                    part[new] = k
+                    todo += new.tolist()
+            columns = [ids[there], ids[part[there]], d[there, 0], d[there, 1], link.sum(1)[there]]
+        return pa.record_batch([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names)
+
+    names = ["a", "b", "d1", "d2", *(["o1", "o2"] if pairs else ["n"])]
+    dealt = members.select(key, "rep", "side", "s").repartition(key).sortWithinPartitions(key, "rep")
+    return dealt.mapInArrow(C.runs(key, one), ", ".join(f"{c} long" for c in names))
+
+
 def _to_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
     """``g, rep, n, s, d`` with the distances to the group's pivots and the pivots' ids."""
 
@@ -291,8 +336,11 @@ def _to_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
     return members.join(pivots, "g").select("g", "rep", "s", "p").mapInArrow(C.batches(one), "g long, rep long, s binary, d array<double>, pivots array<long>")
 
 
-def _blocks_of_large(large: DataFrame, pivots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links through pivots, and the members of the block pairs left to compare."""
+def _blocks_of_large(large: DataFrame, pivots: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Links through pivots, and the members of the block pairs left to compare.
+
+    With ``every`` those are all that may hold a link, joined by a pivot or not.
+    """
     eps = (DEN - NUM) / DEN + 1e-9
     far = C.write_out(_to_pivots(large, pivots), "jaccard-pivots")
     near = F.array_position(F.transform("d", lambda x: x <= eps), True)
@@ -314,7 +362,7 @@ def _blocks_of_large(large: DataFrame, pivots: DataFrame) -> tuple[DataFrame, Da
     for i in range(PIVOTS):
         apart = (F.col(f"x.l{i}") > F.col(f"y.h{i}") + eps) | (F.col(f"y.l{i}") > F.col(f"x.h{i}") + eps)
         joined = (F.col(f"x.h{i}") <= eps) & (F.col(f"y.h{i}") <= eps)
-        meet = meet & ~F.coalesce(apart | joined, F.lit(False))
+        meet = meet & ~F.coalesce(apart if every else apart | joined, F.lit(False))
     pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & meet).select(F.col("x.g").alias("g"), F.col("x.block").alias("x"), F.col("y.block").alias("y"))
     pairs = pairs.withColumn("task", F.xxhash64("x", "y"))
     same = F.col("x") == F.col("y")
@@ -336,6 +384,38 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     treated as documents of their own that share the id.  An empty table gives
     an empty result.
     """
+    table, reps, groups, met, docs = _candidates(docs, width)
+    joined = C.connected_components(_links(docs, reps, groups, met, width), "jaccard-links")
+    top = reps.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    return table.join(top, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def jaccard_join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The same with all links: ``doc_id, n_shingles, class_id, n_links, component_id`` per row.
+
+    Rows of equal sets are one class, named by its smallest doc_id; ``n_links``
+    counts the other classes that a row's class is linked with.
+    """
+    table, reps, groups, met, docs = _candidates(docs, width)
+    links = _links(docs, reps, groups, met, width, lambda m: _verify_all(m, "task", pairs=False))
+    joined = C.connected_components(links.select("a", "b"), "jaccard-links")
+    top = reps.join(joined.withColumnRenamed("id", "rep"), "rep", "left").join(links.groupBy("d1", "d2").agg(F.sum("n").alias("n")), ["d1", "d2"], "left")
+    top = top.select("d1", "d2", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    out = table.join(top, ["d1", "d2"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def jaccard_pairs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Every linked pair of classes once: ``a, b``, their digests ``d1, d2`` and ``o1, o2``.
+
+    ``classes`` gives the members by digest.
+    """
+    _, reps, groups, met, docs = _candidates(docs, width)
+    return _links(docs, reps, groups, met, width, lambda m: _verify_all(m, "task", pairs=True))
+
+
+def _candidates(docs: DataFrame, width: int) -> tuple[DataFrame, ...]:
+    """Classes of rows, their representatives, candidate groups, meetings, and the rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = C.write_out(classes(docs, width), "jaccard-classes")
     reps = C.write_out(table.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
@@ -343,14 +423,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     other = reps.select(F.col("d1").alias("o1"), F.col("d2").alias("o2"), F.col("rep").alias("b"))
     met = C.write_out(met.join(reps, ["d1", "d2"]).join(other, ["o1", "o2"]).select(F.col("rep").alias("a"), "b", "deg"), "jaccard-edges")
     groups = C.write_out(C.connected_components(met, "jaccard-candidates").withColumnRenamed("id", "rep").withColumnRenamed("component", "g"), "jaccard-groups")
-    links = _links(docs, reps, groups, met, width)
-    joined = C.connected_components(links, "jaccard-links")
-    top = reps.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    return table.join(top, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return table, reps, groups, met, docs
 
 
-def _links(docs: DataFrame, reps: DataFrame, groups: DataFrame, met: DataFrame, width: int) -> DataFrame:
-    """Links that span the components, from the candidate groups."""
+def _links(docs: DataFrame, reps: DataFrame, groups: DataFrame, met: DataFrame, width: int, every=None) -> DataFrame:
+    """Links that span the components, from the candidate groups, or what ``every`` makes of all their blocks."""
     degree = met.select(F.col("a").alias("rep"), "deg").unionByName(met.select(F.col("b").alias("rep"), "deg")).groupBy("rep").agg(F.sum("deg").alias("deg"))
     wanted = reps.select(F.col("rep").alias("doc_id"), "d1").join(groups.withColumnRenamed("rep", "doc_id"), "doc_id").join(degree.withColumnRenamed("rep", "doc_id"), "doc_id")
     wanted = C.write_out(wanted, "jaccard-wanted")
@@ -369,13 +446,13 @@ def _links(docs: DataFrame, reps: DataFrame, groups: DataFrame, met: DataFrame,
     sizes = members.groupBy("g").agg(F.count("*").alias("rows"), F.sum(F.length("s")).alias("bytes"))
     large = C.write_out(sizes.where((F.col("rows") > BLOCK_ROWS) | (F.col("bytes") > BLOCK_BYTES) & (F.col("rows") > 2)).select("g"), "jaccard-large")
     small = members.join(C.broadcast_if_small(large), "g", "left_anti").select(F.col("g").alias("task"), "rep", F.lit(2).alias("side"), F.lit(-1).alias("core"), "s")
-    links = [_verify(small, "task")]
+    links = [(every or (lambda m: _verify(m, "task")))(small)]
     if not large.isEmpty():
         big = members.join(C.broadcast_if_small(large), "g")
         best = big.groupBy("g", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("k")).agg(F.max_by(F.struct("rep", "s"), F.struct("deg", -F.col("rep"))).alias("p"))
         pivots = best.groupBy("g").agg(F.array_sort(F.collect_list("p")).alias("p"))
-        through, todo = _blocks_of_large(big, pivots)
-        links += [through, _verify(todo, "task")]
+        through, todo = _blocks_of_large(big, pivots, every is not None)
+        links += [every(todo)] if every else [through, _verify(todo, "task")]
     out = links[0]
     for x in links[1:]:
         out = out.unionByName(x)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from . import decontaminate, language_id, license_scan, pii, quality_rules, secret_scan
 from .dac import round_trip
-from .jaccard_join import jaccard_components
+from .jaccard_join import jaccard_join
 from .packing import pack
 from .token_counts import count_tokens
 
@@ -61,7 +61,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_docs(spark, sf_dir))
+    return jaccard_join(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,30 @@ def test_jaccard_join_of_a_large_group(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts)
 
 
+def test_jaccard_join_gives_every_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 8)
+    words, texts = prose(200, 7).split(), {}
+    for k in range(40):
+        w, r = list(words), np.random.default_rng(k)
+        for j in r.choice(198, r.integers(0, 3), replace=False):
+            w[j] = f"n{k}_{j}"
+        texts[k] = " ".join(w)
+    texts |= {40: texts[3], 41: "", 42: prose(90, 23), 43: prose(90, 24), 44: prose(90, 24) + " end"}
+    sets = {i: frozenset(shingles(t)) for i, t in texts.items()}
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(s or i, i)
+    linked = {(first[s], first[t]) for s in first for t in first if isinstance(s, frozenset) and isinstance(t, frozenset) and first[s] < first[t] and 100 * len(s & t) >= 90 * len(s | t)}
+    d = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    pairs = [tuple(sorted((r.a, r.b))) for r in jaccard_join.jaccard_pairs(d).collect()]
+    assert len(linked) > 200 and len(pairs) == len(linked) and set(pairs) == linked
+    n = collections.Counter(x for p in linked for x in p)
+    brute = brute_components(texts)
+    for r in jaccard_join.jaccard_join(d).collect():
+        own = first[sets[r.doc_id] or r.doc_id]
+        assert (r.n_shingles, r.class_id, r.n_links, r.component_id) == (brute[r.doc_id][0], own, n[own], brute[r.doc_id][1])
+
+
 def test_a_member_near_two_pivots_links_both(spark):
     first, second, between = set(range(100)), set(range(10, 110)), set(range(5, 105))
     rows = [(1, k, 1, np.array(sorted(s), np.uint64).tobytes()) for k, s in enumerate((first, second, between))]

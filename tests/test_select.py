@@ -137,3 +137,11 @@ def test_policies_and_lists():
         parse_file_list("a\na\n")
     assert len(sample_names(list("abcdef"), 3, 1)) == 3
     assert words_outside('theorem x /- by /- n -/ by -/ "by" r#"by"# -- by\n lemma') == {"theorem", "x", "lemma"}
+
+
+def test_shared_folder_has_a_scheme(spark, tmp_path):
+    from dagloom.operators import tables
+
+    assert tables.qualified(spark, str(tmp_path)) == f"file://{tmp_path}"
+    assert tables.qualified(spark, f"file:{tmp_path}/") == f"file://{tmp_path}"
+    assert "://" in tables.shared_dir(spark)

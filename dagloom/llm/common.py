@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,24 +11,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a two-column id table that may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 500_000
+from ..operators.tables import BROADCAST_ROWS, settle, shared_dir, small
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only when the session names none (tests, local runs) is one made.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="dagloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/") if "://" in at else "file://" + os.path.abspath(at)
+#: Tasks that a list of files or blocks is dealt to at most.
+TASKS = 10_000
 
 
 def new_dir(spark: SparkSession, what: str) -> str:
@@ -40,18 +27,15 @@ def new_dir(spark: SparkSession, what: str) -> str:
 
 def write_out(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    at = new_dir(df.sparkSession, what)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return settle(df, what)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if ``df`` is counted at ``rows`` rows or fewer.
+def dealt(written: DataFrame) -> DataFrame:
+    """A written list of work (files, blocks), a task for each row up to ``TASKS``."""
+    return written.repartition(max(1, min(TASKS, written.count())))
 
-    ``df`` must be cheap to count (a written table); a larger one is returned
-    without a hint and joins by shuffle.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+broadcast_if_small = small
 
 
 def release() -> None:
@@ -162,26 +146,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def connected_components(edges: DataFrame, what: str = "links", rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, what: str = "links") -> DataFrame:
     """Smallest id reachable from every id, by alternating star contraction.
 
     ``edges`` has long columns ``a`` and ``b``.  Each round first points every
     neighbour above a vertex at the smallest neighbour, then does so for the
-    neighbours below it; the component's smallest id wins.  Vertices of high
-    degree are only ever aggregated by minimum, with partial sums before the
-    shuffle, and every round's table is written to the shared folder.
+    neighbours below it; the component's smallest id wins.  Rounds go on until
+    one changes nothing.  Every round's table is written to the shared folder;
+    rows of a vertex of high degree are spread over all tasks (:func:`_star`).
 
     Returns ``id`` and ``component`` for ids that have an edge; an edge from an
     id to itself is ignored.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = write_out(edges, what)
-    before = None
-    for _ in range(rounds):
-        large = _star(edges, False)
-        small = write_out(_star(large, True), what)
-        now = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        edges = small
+    before = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    while True:
+        large = _star(edges, False, 2 * before[0])
+        edges = write_out(_star(large, True, 2 * before[0]), what)
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == now:
             break
         before = now
@@ -189,15 +172,26 @@ def connected_components(edges: DataFrame, what: str = "links", rounds: int = 50
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(tops)
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, rows: int) -> DataFrame:
+    """One contraction; ``rows`` is about how many rows the neighbour lists have.
+
+    The rows of a vertex with more than ``rows / BROADCAST_ROWS`` neighbours (1000
+    at least) do not move: there can be no more than ``BROADCAST_ROWS`` such
+    vertices, so their minima are broadcast.
+    """
     if small:  # each vertex with its neighbours below it
         near = edges.select(F.col("a").alias("v"), F.col("b").alias("n"))
     else:
         near = edges.select(F.col("a").alias("v"), F.col("b").alias("n")).unionByName(
             edges.select(F.col("b").alias("v"), F.col("a").alias("n"))
         )
-    low = near.groupBy("v").agg(F.min("n").alias("m")).select("v", F.least("v", "m").alias("m"))
-    met = near.join(low, "v")
+    low = near.groupBy("v").agg(F.min("n").alias("m"), F.count("*").alias("k")).select("v", F.least("v", "m").alias("m"), "k")
+    hub = F.col("k") > max(1000, -(-2 * rows // BROADCAST_ROWS))
+    hubs = F.broadcast(low.where(hub).select("v", F.col("m").alias("hub_m")))
+    # vertices without a hub's minimum meet theirs by shuffle; hubs' rows keep a key of their own there
+    apart = near.join(hubs, "v", "left").withColumn("key", F.when(F.col("hub_m").isNull(), F.col("v")).otherwise(F.xxhash64("v", "n")))
+    rest = low.where(~hub).select(F.col("v").alias("own_key"), F.col("v").alias("own"), "m")
+    met = apart.join(rest, (F.col("key") == F.col("own_key")) & (F.col("v") == F.col("own")), "left").select("v", "n", F.coalesce("hub_m", "m").alias("m"))
     if small:
         out = met.select(F.col("n").alias("a"), F.col("m").alias("b")).unionByName(
             low.select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -207,3 +201,17 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
             low.where("m < v").select(F.col("v").alias("a"), F.col("m").alias("b"))
         )
     return out.where("a <> b").distinct()
+
+
+def join_small(rows: DataFrame, keyed: DataFrame, on: list[str], how: str, most: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
+    """Join ``rows`` with a written table that has each key once, whatever the keys' skew.
+
+    ``keyed`` is broadcast if it is counted at ``most`` rows or fewer.  A larger
+    one is repeated ``salts`` times and ``rows`` are dealt by key and salt, so a
+    key that holds a third of all rows is in as many tasks.
+    """
+    if keyed.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(keyed), on, how)
+    salted = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns]), F.lit(salts)).cast("int"))
+    return spread.join(salted, [*on, "_salt"], how).drop("_salt")

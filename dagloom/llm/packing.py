@@ -103,8 +103,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """Pack every document's ids; one row for each piece, with its ids.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  A null
-    or empty text is the end id alone.  Rows that repeat a doc_id are packed
-    each on its own; an empty table gives an empty result.  ``ids`` are
+    or empty text is the end id alone; a null doc_id stays null.  Rows that
+    repeat a doc_id are packed each on its own; an empty table gives an empty
+    result.  ``ids`` are
     little-endian unsigned 32-bit.  ``capacity`` must be a power of two.
     A task's result depends on its rows and their order only, so a task that
     runs again after a loss gives the same rows.

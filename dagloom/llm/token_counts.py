@@ -30,6 +30,8 @@ def write_flat(docs: DataFrame, out: str, tokenizer: str | None = None, separato
 
     The result tells which document is a file's number 0, 1, ... and repeats
     the file's size.  It is written to the shared folder, as the files are.
+    The wording of special tokens in a text is read as ordinary text, so that
+    no separator occurs within a document.
     """
     path = tokenizer or tokenizer_path(BYTE_BPE)
 
@@ -37,20 +39,20 @@ def write_flat(docs: DataFrame, out: str, tokenizer: str | None = None, separato
         from pyspark import TaskContext
 
         task, k, docs, ids = TaskContext.get().partitionId(), 0, [], []
-        enc = encoder(path)
+        enc = encoder(path, plain=True)
 
         def flush() -> pa.RecordBatch:
             nonlocal k, docs, ids
             uri, n = f"{out}/part-{task:06d}-{k:05d}.bin", sum(map(len, ids))
             save(uri, *(x.astype(kind) for x in ids))
-            who = np.concatenate(docs)
+            who = pa.concat_arrays(docs)
             k, docs, ids = k + 1, [], []
-            return pa.record_batch([pa.array([uri] * len(who)), pa.array(np.full(len(who), n)), pa.array(np.arange(len(who))), pa.array(who)], ["file", "ids", "number", "doc_id"])
+            return pa.record_batch([pa.array([uri] * len(who)), pa.array(np.full(len(who), n)), pa.array(np.arange(len(who))), who], ["file", "ids", "number", "doc_id"])
 
         for batch in it:
             for part in C.parts(batch):
                 x, _ = enc.encode_documents(C.texts(part), separator)
-                docs.append(part.column(0).to_numpy(zero_copy_only=False))
+                docs.append(part.column(0))
                 ids.append(x.astype(kind))
                 if sum(map(len, ids)) >= FILE_IDS:
                     yield flush()
@@ -81,7 +83,7 @@ def scan_flat(files: DataFrame, separator: int = SEPARATOR, kind: str = "<u2", b
                     ends = np.append(ends, total - 1)
                 yield pa.record_batch([pa.array([file]), pa.array([b]), pa.array([ends], pa.list_(pa.int64()))], ["file", "block", "ends"])
 
-    found = blocks.repartition("file", "block").mapInArrow(body, "file string, block long, ends array<long>")
+    found = C.dealt(C.write_out(blocks, "flat-blocks")).mapInArrow(body, "file string, block long, ends array<long>")
     found = C.write_out(found, "flat-ends")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     scan = found.select("file", "block", F.size("ends").cast("long").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last")).select(
@@ -98,8 +100,10 @@ def scan_flat(files: DataFrame, separator: int = SEPARATOR, kind: str = "<u2", b
 def count_tokens(docs: DataFrame, out: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """Tokens of every document (``doc_id, file, number, start, n_tokens``) through flat files.
 
-    A null or empty text is its separator alone; rows that repeat a doc_id are
-    counted each on its own; an empty table gives an empty result.
+    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  A null
+    or empty text is its separator alone; a null doc_id stays null; rows that
+    repeat a doc_id are counted each on its own; an empty table gives an empty
+    result.
     """
     named = write_flat(docs, out or C.new_dir(docs.sparkSession, "flat"), tokenizer)
     files = named.select("file", "ids").distinct()

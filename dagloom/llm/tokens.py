@@ -3,12 +3,15 @@
 Both tokenizers cut a text before they merge, and never across the boundaries
 used here, so every distinct chunk of a batch is encoded once by the tokenizers
 library and its ids are laid out by index.  Texts with white space that such a
-cut would change are encoded whole.
+cut would change, and texts that hold the wording of a special token, are
+encoded whole.  Special tokens' wording gives their ids, as the library does by
+default; ``plain`` reads it as ordinary text instead.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 
 import numpy as np
@@ -35,12 +38,14 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Ids of texts by one tokenizer file; distinct chunks are encoded once."""
 
-    def __init__(self, path: str, most: int = CACHE_CHUNKS):
+    def __init__(self, path: str, most: int = CACHE_CHUNKS, plain: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        self.t.encode_special_tokens = plain
+        special = [] if plain else sorted(x.content for x in self.t.get_added_tokens_decoder().values())
+        self.special = "|".join(re.escape(x) for x in special)
         self.most = most
         self.spaced = os.path.basename(path) == BYTE_BPE
         self.known: dict[str, int] = {}
@@ -113,11 +118,9 @@ class Encoder:
         """Ids of all texts one after another, and where each text's begin (one more entry)."""
         if len(self.known) > self.most:
             self.clear()
-        if self.spaced:
-            odd = np.flatnonzero(pc.match_substring_regex(text, _ODD).to_numpy(zero_copy_only=False))
-            lists = pc.split_pattern(text, " ")
-        else:
-            odd, lists = np.empty(0, np.int64), pc.ascii_split_whitespace(pc.ascii_lower(text))
+        ways = [x for x in (_ODD if self.spaced else "", self.special) if x]
+        odd = np.flatnonzero(pc.match_substring_regex(text, "|".join(ways)).to_numpy(zero_copy_only=False)) if ways else np.empty(0, np.int64)
+        lists = pc.split_pattern(text, " ") if self.spaced else pc.ascii_split_whitespace(pc.ascii_lower(text))
         bounds = lists.offsets.to_numpy()
         bounds = bounds - bounds[0]
         coded = lists.flatten().dictionary_encode()
@@ -169,9 +172,9 @@ class Encoder:
         return np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))
 
 
-def encoder(path: str, most: int = CACHE_CHUNKS) -> Encoder:
+def encoder(path: str, most: int = CACHE_CHUNKS, plain: bool = False) -> Encoder:
     """This worker's encoder of ``path``; kept from task to task, with ``most`` chunks or so."""
     kept = sys.modules.setdefault("_dagloom_encoders", type(sys)("_dagloom_encoders")).__dict__
-    if path not in kept:
-        kept[path] = Encoder(path, most)
-    return kept[path]
+    if (path, plain) not in kept:
+        kept[path, plain] = Encoder(path, most, plain)
+    return kept[path, plain]

@@ -183,16 +183,24 @@ def test_rules_find_a_planted_conjunction(spark):
 
 @pytest.mark.parametrize("name", [tokens.WORD_BPE, tokens.BYTE_BPE])
 def test_encoder_equals_the_library(name, rows):
-    e = tokens.Encoder(tokens.tokenizer_path(name))
-    texts = [t or "" for t in rows.values()] + ["  a  b", "a\n\n b", " lead", "trail ", "don't 's it'll", "é́ É", "a　 　b", "\x85 x"]
-    ids, at = e.encode(pa.array(texts, pa.large_string()))
-    for k, t in enumerate(texts):
-        assert ids[at[k] : at[k + 1]].tolist() == e.t.encode(t, add_special_tokens=False).ids
+    from tokenizers import Tokenizer
 
+    special = ["lead <|endoftext|> tail", "<|endoftext|>", "a<|endoftext|>b<|startoftext|><|ENDOFTEXT|> c", " <|endoftext|>\n\n x "]
+    texts = [t or "" for t in rows.values()] + ["  a  b", "a\n\n b", " lead", "trail ", "don't 's it'll", "é́ É", "a　 　b", "\x85 x"] + special
+    for plain in (False, True):
+        e, own = tokens.Encoder(tokens.tokenizer_path(name), plain=plain), Tokenizer.from_file(tokens.tokenizer_path(name))
+        own.encode_special_tokens = plain
+        ids, at = e.encode(pa.array(texts, pa.large_string()))
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == own.encode(t, add_special_tokens=False).ids
 
-def brute_ids(rows, name, end):
-    e = tokens.Encoder(tokens.tokenizer_path(name))
-    return {i: np.array(e.t.encode(t or "", add_special_tokens=False).ids + [end], "<u4") for i, t in rows.items()}
+
+def brute_ids(rows, name, end, plain=False):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokens.tokenizer_path(name))
+    own.encode_special_tokens = plain
+    return {i: np.array(own.encode(t or "", add_special_tokens=False).ids + [end], "<u4") for i, t in rows.items()}
 
 
 def test_packing(docs, rows, empty):
@@ -241,11 +249,42 @@ def test_dac_round_trip_and_random_access(docs, rows, empty):
 
 
 def test_token_counts(docs, rows, empty):
-    want = brute_ids(rows, tokens.BYTE_BPE, token_counts.SEPARATOR)
+    want = brute_ids(rows, tokens.BYTE_BPE, token_counts.SEPARATOR, plain=True)
     assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs).collect()} == {i: len(x) for i, x in want.items()}
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def test_token_files_of_repeated_rows_and_null_ids(spark):
+    given = [(None, "no id"), (3, "three a"), (None, None), (3, "three a"), (3, "b <|endoftext|>"), (1, ""), (-4, prose(50, 1))]
+    d = spark.createDataFrame([(i, t, 1, "x") for i, t in given], "doc_id long, text string, ids long, start string").repartition(3)
+    ids = {k: x for k, x in zip(range(len(given)), brute_ids({k: t for k, (_, t) in enumerate(given)}, tokens.BYTE_BPE, 2).values(), strict=True)}
+    got = sorted(dac.round_trip(d).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -4, 1, 3, 3, 3]
+    assert sorted((r.doc_id or 0, bytes(r.ids)) for r in got) == sorted((i or 0, ids[k].tobytes()) for k, (i, _) in enumerate(given))
+    assert [r.start for r in got] == np.cumsum([0] + [len(r.ids) // 4 for r in got])[:-1].tolist()
+    plain = brute_ids({k: t for k, (_, t) in enumerate(given)}, tokens.BYTE_BPE, token_counts.SEPARATOR, plain=True)
+    counted = token_counts.count_tokens(d).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in counted) == sorted((i or 0, len(plain[k])) for k, (i, _) in enumerate(given))
+    packed = brute_ids({k: t for k, (_, t) in enumerate(given)}, tokens.WORD_BPE, 2)
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in packing.pack(d).where("start = 0").collect()) == sorted((i or 0, len(packed[k])) for k, (i, _) in enumerate(given))
+
+
+def test_components_of_hubs_and_long_paths(spark, monkeypatch):
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 50)
+    pairs = [(0, k) for k in range(1, 1500)] + [(k, 5000) for k in range(1500, 3000)] + [(2999, 1)] + [(10_000 + k, 10_001 + k) for k in range(300)]
+    got = C.connected_components(spark.createDataFrame(pairs, "a long, b long"))
+    want = {k: 0 for k in range(3000)} | {5000: 0} | {10_000 + k: 10_000 for k in range(301)}
+    assert {r.id: r.component for r in got.collect()} == want
+
+
+def test_join_of_a_large_keyed_table(spark):
+    rows = spark.createDataFrame([(k % 3, k) for k in range(90)], "k long, v long")
+    keyed = C.write_out(spark.createDataFrame([(0, "a"), (1, "b")], "k long, w string"), "keyed")
+    for most in (0, 10):
+        assert sorted(C.join_small(rows, keyed, ["k"], "left_anti", most).collect()) == [(2, k) for k in range(90) if k % 3 == 2]
+        assert C.join_small(rows, keyed, ["k"], "inner", most).count() == 60
+
+
 def test_separators_are_stitched_across_blocks(spark):
     from dagloom.llm.files import save
 

@@ -213,5 +213,5 @@ def join_small(rows: DataFrame, keyed: DataFrame, on: list[str], how: str, most:
     if keyed.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(keyed), on, how)
     salted = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns]), F.lit(salts)).cast("int"))
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind]), F.lit(salts)).cast("int"))
     return spread.join(salted, [*on, "_salt"], how).drop("_salt")

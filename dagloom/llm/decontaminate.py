@@ -2,21 +2,26 @@
 
 Words of benchmark items and documents are put in canonical form: numbers
 become typed placeholders, all else is lower-cased without surrounding
-punctuation; a capitalised word may also be a name and a unit after a number
-also a unit, and every reading of a window of five words is hashed and looked
-up in a hash table of the readings of the items' windows.  Windows with too few
-words besides placeholders are looked up by their real values.  Where enough of
-an item's windows occur, the values behind the placeholders are compared: an
-item's value must stand for the same value throughout the document, so a
-question with new numbers is caught, while unrelated text of the same form is
-not.
+punctuation; a capitalised word may also be a name, a unit after a number also
+a unit and a spelled number also a number, and every reading of a window of
+five words is hashed.  Windows with too few words besides placeholders are
+hashed by their real values.
+
+Both sides' windows are tables: a bit filter of bounded size, made of the
+items' hashes, leaves few of the documents' windows, which are then hash-joined
+with the items' in Spark.  Where enough of an item's windows occur, the values
+behind the placeholders are compared: an item's value must stand for the same
+value throughout the document, so a question with new numbers is caught, while
+unrelated text of the same form is not.  Verdicts are of texts, not of rows:
+rows of equal text have one.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +31,12 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WIDTH, SIMILARITY, LITERALS = 5, 0.8, 3
-#: Items whose windows are held in memory at once; more are searched block by block.
-BLOCK_ITEMS = 20_000
+#: Bits of the filter at most (16 MiB); with more windows it passes more, and the join decides.
+FILTER_BITS = 1 << 27
 #: Windows whose readings are formed at once.
 STEP = 1 << 17
 UNITS = frozenset("kg g mg km m cm mm mile miles hour hours hr minute minutes min second seconds s day days week weeks month months year years dollar dollars euro euros cent cents percent liter liters litre litres l ml lb lbs pound pounds foot feet inch inches degree degrees mph kmh".split())
+SPELLED = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(%|[a-z]{1,4})?")
 _EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 _NONE, _WORD, _NUM, _UNIT, _NAME = range(5)
@@ -44,12 +50,14 @@ class Forms:
     literal: np.ndarray
     capital: np.ndarray
     unit: np.ndarray
+    spelled: np.ndarray
     value: list[str]
 
 
 def forms(words: list[bytes]) -> Forms:
     n = len(words)
-    kind, capital, unit, value, plain = np.zeros(n, np.int8), np.zeros(n, bool), np.zeros(n, bool), [], []
+    kind, value, plain = np.zeros(n, np.int8), [], []
+    capital, unit, spelled = np.zeros((3, n), bool)
     for i, raw in enumerate(words):
         w = raw.decode()
         s = w if w.isalnum() else _EDGE.sub("", w)
@@ -60,8 +68,8 @@ def forms(words: list[bytes]) -> Forms:
             continue
         kind[i] = _NUM if _NUMBER.fullmatch(low) else _WORD
         capital[i] = s[0].isupper() and s[1:].islower()
-        unit[i] = low in UNITS
-    return Forms(kind, C.word_hashes(plain), capital, unit, value)
+        unit[i], spelled[i] = low in UNITS, low in SPELLED
+    return Forms(kind, C.word_hashes(plain), capital, unit, spelled, value)
 
 
 @dataclass
@@ -73,10 +81,11 @@ class Words:
     number: np.ndarray
     name: np.ndarray
     unit: np.ndarray
+    spelled: np.ndarray
     own: np.ndarray
 
 
-def canonical(codes: np.ndarray, f: Forms, at: np.ndarray | None = None) -> tuple[Words]:
+def canonical(codes: np.ndarray, f: Forms, at: np.ndarray | None = None) -> Words:
     """For the words in ``codes`` that count; text k has those from ``at[k]`` to ``at[k + 1]``."""
     text = np.zeros(len(codes), np.int64) if at is None else np.repeat(np.arange(len(at) - 1), np.diff(at))
     keep = f.kind[codes] != _NONE
@@ -84,7 +93,7 @@ def canonical(codes: np.ndarray, f: Forms, at: np.ndarray | None = None) -> tupl
     number = f.kind[codes] == _NUM
     after = np.zeros(len(codes), bool)
     after[1:] = number[:-1] & (text[1:] == text[:-1])
-    return (Words(text, codes, number, f.capital[codes] & ~number, f.unit[codes] & ~number & after, np.where(number, np.uint64(_NUM), f.literal[codes])),)
+    return Words(text, codes, number, f.capital[codes] & ~number, f.unit[codes] & ~number & after, f.spelled[codes] & ~number, np.where(number, np.uint64(_NUM), f.literal[codes]))
 
 
 def _add(h: np.ndarray, word) -> np.ndarray:
@@ -95,7 +104,7 @@ def windows(w: Words, f: Forms, width: int, places: np.ndarray) -> tuple[np.ndar
     """Hash and place of every reading of the windows at ``places``, and whether it is by form.
 
     A capitalised word is read as itself and as a name, a unit after a number as
-    itself and as a unit, so no reading hangs on what stands before the window.
+    itself and as a unit, a spelled number as itself and as a number, so no reading hangs on what stands before the window.
     Readings of fewer than LITERALS words besides placeholders are left out; a
     window without any other is read by its real values instead.
     """
@@ -107,7 +116,7 @@ def windows(w: Words, f: Forms, width: int, places: np.ndarray) -> tuple[np.ndar
         word = at + k
         number = w.number[word]
         ways = [(at, _add(h, w.own[word]), slots + number)]
-        for may, kind in ((w.name, _NAME), (w.unit, _UNIT)):
+        for may, kind in ((w.name, _NAME), (w.unit, _UNIT), (w.spelled, _NUM)):
             m = may[word] & (slots < width - least)
             if m.any():
                 ways.append((at[m], _add(h[m], np.uint64(kind)), slots[m] + np.int8(1)))
@@ -123,160 +132,175 @@ def windows(w: Words, f: Forms, width: int, places: np.ndarray) -> tuple[np.ndar
     return np.concatenate((h, real)), np.concatenate((at, exact)), np.arange(len(at) + len(exact)) < len(at)
 
 
-@dataclass
-class Item:
-    """An item's words, which of them are slots, and its distinct windows by form and of all."""
-
-    id: int
-    width: int
-    values: list[str]
-    slot: np.ndarray
-    window: list[int]
-    by_form: set[int]
-    every: set[int]
-
+def item_row(text: str | None) -> dict | None:
+    """An item's words and windows; one of fewer words than a window is one window of its own length.
 
-@dataclass
-class Index:
-    """Readings of the windows of a block of items, by hash."""
-
-    keys: np.ndarray
-    item: np.ndarray = field(repr=False)
-    place: np.ndarray = field(repr=False)
-    items: list[Item] = field(repr=False)
-    there: np.ndarray = field(repr=False)
-    widths: tuple[int, ...] = (WIDTH,)
-
-
-def build(items: list[tuple[int, str]]) -> Index:
-    """Index of items; one of fewer words than a window is one window of its own length."""
-    kept: list[Item] = []
-    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for item, text in items:
-        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
-        f = forms(words)
-        (w,) = canonical(np.arange(len(words)), f)
-        width = min(WIDTH, len(w.code))
-        if not width:
-            continue
-        h, at, form = windows(w, f, width, np.arange(len(w.code) - width + 1))
-        # equal windows are one: by form those of the same words, else those of the same values
-        n = len(w.code) - width + 1
-        by_form, window, seen = np.zeros(n, bool), [], {}
-        by_form[at[form]] = True
-        for p in range(n):
-            words_of = w.own[p : p + width] if by_form[p] else f.literal[w.code[p : p + width]]
-            window.append(seen.setdefault((bool(by_form[p]), words_of.tobytes()), len(seen)))
-        found.append((h, np.full(len(h), len(kept)), at))
-        kept.append(Item(item, width, [f.value[c] for c in w.code], w.number | w.name | w.unit, window, {window[p] for p in np.flatnonzero(by_form)}, set(window)))
-    keys, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(keys, kind="stable")
-    there = np.zeros(1 << max(16, (16 * len(keys)).bit_length()), bool)
-    there[keys & np.uint64(len(there) - 1)] = True
-    return Index(keys[order], item[order], place[order], kept, there, tuple(sorted({i.width for i in kept} | {WIDTH})))
-
-
-def _share(found: list[tuple[int, int]], item: Item, value) -> float:
-    """Share of the item's windows found, at (place in document, in item), with consistent values.
+    ``values`` and ``slot`` are by word; ``window`` (which windows are equal) and
+    ``by_form`` by place; ``h`` and ``place`` list every reading.
+    """
+    words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    f = forms(words)
+    w = canonical(np.arange(len(words)), f)
+    width = min(WIDTH, len(w.code))
+    if not width:
+        return None
+    n = len(w.code) - width + 1
+    h, at, form = windows(w, f, width, np.arange(n))
+    # equal windows are one: by form those of the same words, else those of the same values
+    by_form, window, seen = np.zeros(n, bool), [], {}
+    by_form[at[form]] = True
+    for p in range(n):
+        words_of = w.own[p : p + width] if by_form[p] else f.literal[w.code[p : p + width]]
+        window.append(seen.setdefault((bool(by_form[p]), words_of.tobytes()), len(seen)))
+    slot = w.number | w.name | w.unit | w.spelled
+    return {"width": width, "values": [f.value[c] for c in w.code], "slot": slot.tolist(), "window": window, "by_form": by_form.tolist(), "h": h.view(np.int64).tolist(), "place": at.tolist()}
+
+
+def share_of(item: dict, found: list[tuple[int, int, list[str]]]) -> float:
+    """Share of the item's windows found, at (place in document, in item, words there), with consistent values.
 
     Values are consistent if each stands for itself or each for what it mostly
     stands for.  The share is that of the windows by form or of all windows.
     """
-    of = {item.window[p] for _, p in found}
+    window, values, slot = item["window"], item["values"], item["slot"]
+    every, by_form = set(window), {x for x, f in zip(window, item["by_form"], strict=True) if f}
 
     def share(of: set[int]) -> float:
-        return max(len(of & s) / len(s) if s else 0.0 for s in (item.by_form, item.every))
+        return max(len(of & s) / len(s) if s else 0.0 for s in (by_form, every))
 
-    if share(of) < SIMILARITY:
+    if share({window[p] for _, p, _ in found}) < SIMILARITY:
         return 0.0
     seen: dict[str, Counter] = defaultdict(Counter)
-    slots = [[(item.values[p + k], value(d + k)) for k in range(item.width) if item.slot[p + k]] for d, p in found]
-    for (_, p), x in zip(found, slots, strict=True):
+    slots = [[(values[p + k], v) for k, v in enumerate(there) if slot[p + k]] for _, p, there in found]
+    for x in slots:
         for a, b in x:
             seen[a][b] += 1
-    most = {a: c.most_common(1)[0][0] for a, c in seen.items()}
-    same = {item.window[p] for (_, p), x in zip(found, slots, strict=True) if all(a == b for a, b in x)}
-    mostly = {item.window[p] for (_, p), x in zip(found, slots, strict=True) if all(most[a] == b for a, b in x)}
+    most = {a: max(c.items(), key=lambda kv: (kv[1], kv[0]))[0] for a, c in seen.items()}
+    same = {window[p] for (_, p, _), x in zip(found, slots, strict=True) if all(a == b for a, b in x)}
+    mostly = {window[p] for (_, p, _), x in zip(found, slots, strict=True) if all(most[a] == b for a, b in x)}
     return max(share(same), share(mostly))
 
 
-def judge_all(w: Words, f: Forms, index: Index, texts: int) -> list[dict[int, float]]:
-    """Share of each item's windows that each text has consistently, where it is enough."""
-    found: list[dict[int, set[tuple[int, int]]]] = [defaultdict(set) for _ in range(texts)]
-    for width in index.widths:
+def _items(benchmark: DataFrame) -> DataFrame:
+    """A row of :func:`item_row` for every distinct item, with ``item_id`` and a number ``item``."""
+    kinds = {"width": pa.int32(), "values": pa.list_(pa.string()), "slot": pa.list_(pa.bool_()), "window": pa.list_(pa.int32()), "by_form": pa.list_(pa.bool_()), "h": pa.list_(pa.int64()), "place": pa.list_(pa.int32())}
+
+    def body(it):
+        from pyspark import TaskContext
+
+        item = TaskContext.get().partitionId() << 40
+        for batch in it:
+            for part in C.parts(batch):
+                rows = [(k, r) for k, r in zip(part.column(0).to_pylist(), map(item_row, part.column(1).to_pylist()), strict=True) if r]
+                columns = [pa.array([k for k, _ in rows], pa.int64()), pa.array(range(item, item + len(rows)), pa.int64())]
+                item += len(rows)
+                yield pa.record_batch([*columns, *(pa.array([r[c] for _, r in rows], t) for c, t in kinds.items())], ["item_id", "item", *kinds])
+
+    given = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    schema = "item_id long, item long, width int, values array<string>, slot array<boolean>, window array<int>, by_form array<boolean>, h array<long>, place array<int>"
+    return C.write_out(given.mapInArrow(body, schema), "benchmark-items")
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """Which low bits the hashes ``h`` have; at most ``FILTER_BITS`` bits, made in Spark."""
+    n = min(FILTER_BITS, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
+    bit = F.col("h").bitwiseAND(n - 1)
+    words = keys.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    there = np.zeros(n >> 6, np.int64)
+    for r in words.toLocalIterator():
+        there[r["at"]] = r["bits"]
+    return there
+
+
+def _survivors(batch: pa.RecordBatch, widths: list[int], there: np.ndarray) -> pa.RecordBatch | None:
+    """``t1, t2, h, at, words``: the windows of a batch's distinct texts that pass the filter."""
+    t1, t2 = (batch.column(k).to_numpy() for k in (0, 1))
+    _, first = np.unique(np.stack((t1, t2)), axis=1, return_index=True)
+    batch = batch.take(pa.array(np.sort(first)))
+    t1, t2 = (batch.column(k).to_numpy() for k in (0, 1))
+    at, words, codes = C.split_words(C.texts(batch), lower=False)
+    f = forms(words)
+    w = canonical(codes, f, np.asarray(at))
+    begin = np.searchsorted(w.text, np.arange(len(t1)))
+    mask = np.uint64(len(there) * 64 - 1)
+    out = []
+    for width in widths:
         starts = np.arange(max(0, len(w.code) - width + 1))
         starts = starts[w.text[starts] == w.text[starts + width - 1]] if len(starts) else starts
         for lo in range(0, len(starts), STEP):
-            h, at, _ = windows(w, f, width, starts[lo : lo + STEP])
-            hit = index.there[h & np.uint64(len(index.there) - 1)]
-            h, at = h[hit], at[hit]
-            a, b = np.searchsorted(index.keys, h, "left"), np.searchsorted(index.keys, h, "right")
-            for k in np.flatnonzero(b > a):
-                d = int(at[k])
-                for x in range(a[k], b[k]):
-                    found[w.text[d]][int(index.item[x])].add((d, int(index.place[x])))
-    out: list[dict[int, float]] = [{} for _ in range(texts)]
-    for got, hits in zip(out, found, strict=True):
-        for i, at in hits.items():
-            item = index.items[i]
-            if (s := _share(sorted(at), item, lambda d: f.value[w.code[d]])) >= SIMILARITY:
-                got[item.id] = max(s, got.get(item.id, 0.0))
-    return out
-
-
-def judge(w: Words, f: Forms, index: Index) -> dict[int, float]:
-    """The same of one text."""
-    return judge_all(w, f, index, 1)[0]
-
-
-def _rows(batch: pa.RecordBatch, index: Index) -> list[dict[int, float]]:
-    at, words, codes = C.split_words(C.texts(batch), lower=False)
-    f = forms(words)
-    return judge_all(*canonical(codes, f, np.asarray(at)), f, index, len(at) - 1)
-
-
-def blocks(benchmark: DataFrame, items: int = BLOCK_ITEMS) -> list[Index]:
-    """Indexes of all items, ``items`` or so at a time."""
-    given = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = max(1, -(-given.count() // items))
-    return [build(sorted((r.item_id, r.text or "") for r in given.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect())) for k in range(n)]
+            h, place, _ = windows(w, f, width, starts[lo : lo + STEP])
+            bit = (h & mask).astype(np.int64)
+            hit = np.flatnonzero(there[bit >> 6] >> (bit & 63) & 1)
+            if len(hit):
+                out.append((h[hit].view(np.int64), place[hit], np.full(len(hit), width)))
+    if not out:
+        return None
+    h, place, width = (np.concatenate(x) for x in zip(*out, strict=True))
+    text = w.text[place]
+    value = [[f.value[c] for c in w.code[p : p + n]] for p, n in zip(place.tolist(), width.tolist(), strict=True)]
+    return pa.record_batch([pa.array(t1[text]), pa.array(t2[text]), pa.array(h), pa.array(place - begin[text]), pa.array(value, pa.list_(pa.string()))], ["t1", "t2", "h", "at", "words"])
+
+
+def _told(docs: DataFrame) -> DataFrame:
+    """``docs`` with a 128-bit name of each text (null: empty)."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({"t1": F.xxhash64(F.lit(1), text), "t2": F.xxhash64(F.lit(2), text)})
+
+
+def _scores(batch: pa.RecordBatch) -> pa.RecordBatch:
+    score = []
+    for r in batch.to_pylist():
+        found = sorted((x["at"], x["place"], x["words"]) for x in r["found"])
+        score.append(share_of(r, found))
+    return pa.record_batch([*(batch.column(c) for c in ("t1", "t2", "item_id")), pa.array(score, pa.float64())], ["t1", "t2", "item_id", "score"])
+
+
+def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``t1, t2, n_items, best_item, best_score`` of the texts that hold an item."""
+    items = _items(benchmark)
+    keys = items.select("item", F.explode(F.arrays_zip("h", "place")).alias("r")).select("item", "r.*").distinct()
+    keys = C.write_out(keys.groupBy("h").agg(F.collect_list(F.struct("item", "place")).alias("of")), "benchmark-windows")
+    widths = sorted(r.width for r in items.select("width").distinct().collect())
+    there = docs.sparkSession.sparkContext.broadcast(_filter(keys.select("h")))
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        return _survivors(batch, widths, there.value)
+
+    left = _told(docs.select("text")).select("t1", "t2", "text").mapInArrow(C.batches(one), "t1 long, t2 long, h long, at long, words array<string>")
+    met = C.join_small(left, keys, ["h"], "inner").select("t1", "t2", "at", "words", F.explode("of").alias("of")).select("t1", "t2", "of.item", "at", "of.place", "words")
+    # copies of a text meet the same items: each hit counts once, spread by its place too
+    hits = met.dropDuplicates(["t1", "t2", "item", "at", "place"]).groupBy("t1", "t2", "item").agg(F.collect_list(F.struct("at", "place", "words")).alias("found"))
+    judged = C.join_small(hits, items.drop("h", "place", "width"), ["item"], "inner").drop("item")
+    scored = judged.mapInArrow(C.batches(_scores), "t1 long, t2 long, item_id long, score double").where(F.col("score") >= SIMILARITY)
+    by_item = scored.groupBy("t1", "t2", "item_id").agg(F.max("score").alias("score"))
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("item_id").isNull().alias("unnamed"), "item_id"))
+    out = by_item.groupBy("t1", "t2").agg(F.count("*").alias("n_items"), best.alias("best"))
+    return C.write_out(out.select("t1", "t2", "n_items", F.col("best.item_id").alias("best_item"), (-F.col("best.s")).alias("best_score")), "contaminated")
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, contaminated, n_items, best_item, best_score`` of every document.
 
-    An item counts if 0.8 or more of its distinct windows occur with consistent
-    values, either of those by form or of all; ties of the best go to the
-    smallest item_id.  Windows of fewer than three words besides placeholders
-    have no form and occur only with their real values.  A null or empty text
-    holds nothing, as does an empty benchmark; repeated rows are judged each on
-    its own unless the benchmark takes several blocks, when rows of one doc_id
-    are judged together; an empty table gives an empty result.
+    ``docs`` needs ``doc_id`` and ``text``, ``benchmark`` ``item_id`` and
+    ``text``; other columns are ignored.  An item counts if 0.8 or more of its
+    distinct windows occur with consistent values, either of those by form or of
+    all; ties of the best go to the smallest item_id.  Windows of fewer than
+    three words besides placeholders have no form and occur only with their real
+    values.  Items of one item_id are counted once, by their best; items without
+    one count together as one item.  A null or empty text holds nothing, as does
+    an empty benchmark; repeated rows are each given; a null doc_id stays null;
+    an empty table gives an empty result.
     """
-    schema = "doc_id long, n_items long, best_item long, best_score double"
-    out = None
-    indexes = blocks(benchmark)
-    for index in indexes:
-
-        def one(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
-            got = _rows(batch, index)
-            best = [min(((-s, i) for i, s in g.items()), default=(None, None)) for g in got]
-            return pa.record_batch([batch.column(0), pa.array([len(g) for g in got], pa.int64()), pa.array([b[1] for b in best], pa.int64()), pa.array([None if b[0] is None else -b[0] for b in best], pa.float64())], ["doc_id", "n_items", "best_item", "best_score"])
-
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(C.batches(one), schema)
-        out = part if out is None else out.unionByName(part)
-    if len(indexes) > 1:
-        top = F.max_by("best_item", F.struct("best_score", -F.col("best_item")))
-        out = out.groupBy("doc_id").agg(F.sum("n_items").alias("n_items"), top.alias("best_item"), F.max("best_score").alias("best_score"))
-    return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "best_item", "best_score")
+    named = _told(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "t1", "t2")
+    got = C.join_small(named, verdicts(docs, benchmark), ["t1", "t2"], "left")
+    n = F.coalesce("n_items", F.lit(0).cast("long"))
+    return got.select("doc_id", (n > 0).alias("contaminated"), n.alias("n_items"), "best_item", "best_score")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated rows, all columns as they are."""
-    for index in blocks(benchmark):
-
-        def one(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
-            return batch.filter(pa.array([not g for g in _rows(batch, index)], pa.bool_()))
-
-        docs = docs.mapInArrow(C.batches(one), docs.schema)
-    return docs
+    """``docs`` without the contaminated rows (see :func:`find`), all columns as they are."""
+    t1, t2 = (f"_t{k}_{uuid.uuid4().hex}" for k in (1, 2))
+    text = F.coalesce("text", F.lit(""))
+    named = docs.withColumns({t1: F.xxhash64(F.lit(1), text), t2: F.xxhash64(F.lit(2), text)})
+    bad = verdicts(docs, benchmark).select(F.col("t1").alias(t1), F.col("t2").alias(t2))
+    return C.join_small(named, bad, [t1, t2], "left_anti").select(*docs.columns)

@@ -370,7 +370,7 @@ def test_boosting():
 
 
 def test_license_scan(spark, docs, rows, empty):
-    lines = ["Licensed under CC BY-NC 4.0.", "All rights reserved", "x_cc by", "GNU General Public License, version 3", "Released under the MIT License.", "the MIT licence", "rights reserved all"]
+    lines = ["Licensed under CC BY-NC 4.0.", "All rights reserved", "x_cc by", "GNU General Public License, version 3", "Released under the MIT License.", "the MIT licence", "rights reserved all", "Copyright (c) 2019 Foo", "CC Attribution: Creative Commons Attribution-ShareAlike 4.0", MIT]
     texts = rows | {1000 + i: t for i, t in enumerate(lines)}
     d = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.scan(d).collect()}
@@ -381,9 +381,87 @@ def test_license_scan(spark, docs, rows, empty):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
     assert got[1000].labels == "cc-by,cc-by-nc" and got[1003].labels == "gpl,gpl-3" and got[1004].labels == "mit" and got[1005].labels == ""
+    assert (got[1007].labels, got[1008].labels, got[1009].labels) == ("copyright", "cc-by", "copyright,mit-text")
     assert license_scan.scan(empty).count() == 0
 
 
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2021-2023 Jane Q. Doe and others
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def labels_of(text):
+    a = license_scan.Automaton(license_scan.TEMPLATES)
+    return {x for x, _, _ in license_scan.scan_words(license_scan.WORD.findall(text.translate(LOW)), a)[1]}
+
+
+def test_whole_license_texts():
+    assert labels_of(MIT) == {"mit", "mit-text", "copyright"} - {"mit"}
+    # replaceable and optional regions may differ, mandatory wording may not
+    assert "mit-text" in labels_of(MIT.replace("Jane Q. Doe and others", "ACME").replace("(MIT)", "").replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS"))
+    for a, b in (("free of charge", "for a fee"), ("without restriction", "with care"), ("AS IS", "AS WAS"), ("sublicense, ", ""), ("DEALINGS IN", "DEALINGS NOT IN")):
+        assert a in MIT and "mit-text" not in labels_of(MIT.replace(a, b))
+    assert "mit-text" not in labels_of(MIT[: MIT.index("THE SOFTWARE IS")] + " You may not sell it.")
+
+
+@pytest.mark.parametrize("label, markup", [x for x in license_scan.TEMPLATES])
+def test_every_template_accepts_its_own_wording_only(label, markup):
+    """Texts drawn from the template match; without any one mandatory word they do not (against a regex of the markup)."""
+    def draw(parts, r):
+        out = []
+        for p in parts:
+            if isinstance(p, str):
+                out.append(p)
+            elif p[0] == "any":
+                out += ["zzz"] * int(r.integers(p[1], p[2] + 1))
+            elif p[0] == "year":
+                out.append(str(r.integers(1900, 2100)))
+            elif p[0] == "one":
+                out += draw(p[1][r.integers(len(p[1]))], r)
+            elif r.random() < 0.5:
+                out += draw(p[1], r)
+        return out
+
+    def pattern(parts):
+        out = ""
+        for p in parts:
+            if isinstance(p, str):
+                out += p + " "
+            elif p[0] == "any":
+                out += rf"(?:\S+ ){{{p[1]},{p[2]}}}"
+            elif p[0] == "year":
+                out += r"(?:19|20)\d\d "
+            elif p[0] == "one":
+                out += "(?:" + "|".join(pattern(w) for w in p[1]) + ")"
+            else:
+                out += f"(?:{pattern(p[1])})?"
+        return out
+
+    parts, r = license_scan.parse(markup), np.random.default_rng(len(markup))
+    a, brute = license_scan.Automaton([(label, markup)]), re.compile(pattern(parts))
+    key = license_scan._key_words([(label, markup)])
+    for _ in range(6):
+        w = draw(parts, r)
+        assert any(b == 0 and e == len(w) for _, b, e in a.matches(w)) and (key is None or key & set(w))
+        for k in r.choice(len(w), min(len(w), 12), replace=False):
+            less = w[:k] + w[k + 1 :]
+            got = {b for _, b, _ in a.matches(less)}
+            assert got == {i for i in range(len(less)) if brute.match(" ".join(less[i:]) + " ")}
+
+
+def test_templates_without_a_mandatory_word_and_other_columns(spark):
+    d = spark.createDataFrame([(1, "red house", 3, "x"), (1, "red house", 4, "x"), (None, "blue cc", 5, "y"), (2, "a by b", 6, "z")], "doc_id long, text string, n_words long, labels string")
+    got = sorted((r.doc_id or 0, r.labels) for r in license_scan.scan(d, [("c", "<red|blue> <house|cc>")]).collect())
+    assert got == [(0, "c"), (1, "c"), (1, "c"), (2, "")]
+    assert [r.labels for r in license_scan.scan(d, [("c", "cc {x}")]).where("doc_id is null").collect()] == ["c"]
+
+
 def test_template_automaton():
     a = license_scan.Automaton([("t", "one {two} <1-2> <x|y z> end")])
     ok = lambda s: any(e == len(s.split()) for _, b, e in a.matches(s.split()) if b == 0)

@@ -5,7 +5,8 @@ A word's probability is the sum over all its segmentations into pieces, which
 a forward pass over its letters gives; a text's is the product over its words.
 Piece probabilities are fitted by expectation maximisation (forward-backward
 over the same lattice) on the words of a bounded sample of labelled documents.
-Words of equal length are scored together as arrays, each distinct word once.
+Words of equal length are scored together as arrays, each distinct word once;
+long words are scored one by one, with their probabilities rescaled on the way.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from . import common as C
 VOCABULARY = "piece_bpe_32k.model"
 #: Labelled documents for each language that a fit reads at most (about).
 SAMPLE_DOCS = 400
-#: Letters of the longest piece used, and of a word's parts (longer words are cut).
-MAX_PIECE, MAX_WORD = 8, 30
+#: Letters of the longest words that are scored together (and that a fit reads), and positions of a longer one held at once.
+MAX_WORD, STEP = 30, 4096
 ROUNDS = 3
 #: A letter that is no piece, and a piece never seen, have this probability.
 FLOOR = 1e-7
@@ -41,7 +42,7 @@ def pieces(path: str | None = None) -> list[str]:
     out = set()
     for k in range(p.get_piece_size()):
         w = p.id_to_piece(k).replace("▁", "_").lower()
-        if 0 < len(w) <= MAX_PIECE and (w.removeprefix("_").isalpha() or w == "_"):
+        if w and (w.removeprefix("_").isalpha() or w == "_"):
             out.add(w)
     return sorted(out)
 
@@ -59,10 +60,11 @@ class Lattice:
 
     def __init__(self, vocabulary: list[str]):
         self.n = len(vocabulary)
+        self.most = max(map(len, vocabulary), default=1)
         with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(MAX_PIECE, _MIX))))
+            self.power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(self.most, _MIX))))
         self.keys, self.ids = {}, {}
-        for m in range(1, MAX_PIECE + 1):
+        for m in range(1, self.most + 1):
             at = [k for k, w in enumerate(vocabulary) if len(w) == m]
             if at:
                 key = self._prefix(_codes([vocabulary[k] for k in at], m))[:, m]
@@ -71,6 +73,11 @@ class Lattice:
 
     def _prefix(self, codes: np.ndarray) -> np.ndarray:
         out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+        if len(codes) == 1:
+            h, mask, plain = 0, (1 << 64) - 1, codes[0].tolist()
+            mixed = int(_MIX)
+            out[0, 1:] = [h := (h * mixed + c) & mask for c in plain]
+            return out
         for j in range(codes.shape[1]):
             out[:, j + 1] = out[:, j] * _MIX + codes[:, j]
         return out
@@ -80,11 +87,18 @@ class Lattice:
         size = len(words[0])
         prefix = self._prefix(_codes(words, size))
         for j in range(1, size + 1):
-            for m in range(1, min(j, MAX_PIECE) + 1):
+            for m in range(1, min(j, self.most) + 1):
                 if m in self.keys:
-                    h = _hash(prefix, self.power, j - m, j)
-                    k = np.minimum(np.searchsorted(self.keys[m], h), len(self.keys[m]) - 1)
-                    yield j - m, j, np.where(self.keys[m][k] == h, self.ids[m][k], self.n)
+                    yield j - m, j, self._find(m, _hash(prefix, self.power, j - m, j))
+
+    def _find(self, m: int, h: np.ndarray) -> np.ndarray:
+        k = np.minimum(np.searchsorted(self.keys[m], h), len(self.keys[m]) - 1)
+        return np.where(self.keys[m][k] == h, self.ids[m][k], self.n)
+
+    def pieces_at(self, word: str) -> dict[int, np.ndarray]:
+        """For every length m the piece at each place of one word (``n``: none)."""
+        prefix = self._prefix(_codes([word], len(word)))[0]
+        return {m: self._find(m, prefix[m:] - prefix[:-m] * self.power[m]) for m in self.keys if m <= len(word)}
 
 
 def _by_length(words: list[str]):
@@ -106,6 +120,33 @@ def _forward(arcs: list, words: int, size: int, table: np.ndarray, n: int) -> np
     return alpha
 
 
+def _long_score(word: str, table: np.ndarray, lattice: Lattice) -> np.ndarray:
+    """Log of the forward sum of one word of any length, rescaled at every letter."""
+    at, n, width = lattice.pieces_at(word), len(word), table.shape[1]
+    last = np.zeros((lattice.most, width))  # sums at the letters before, the nearest first
+    last[0] = 1
+    log = np.zeros(width)
+    for lo in range(0, n, STEP):
+        size = min(STEP, n - lo)
+        weight = np.zeros((size, lattice.most, width))
+        for m, piece in at.items():
+            begin = np.arange(lo, lo + size) + 1 - m  # pieces of m letters that end there
+            ok = begin >= 0
+            weight[ok, m - 1] = table[piece[begin[ok]]]
+            if m == 1:
+                weight[ok, 0] += (FLOOR * (piece[begin[ok]] == lattice.n))[:, None]
+        if 1 not in at:
+            weight[:, 0] = FLOOR
+        for w in weight:
+            now = (last * w).sum(0)
+            last[1:] = last[:-1]
+            last[0] = now
+            top = last.max(0)
+            last /= top
+            log += np.log(top)
+    return log + np.log(last[0])
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
@@ -117,32 +158,18 @@ class Model:
         """Log probability of every word in every language."""
         out = np.zeros((len(words), len(self.languages)))
         for at, part in _by_length(words):
-            alpha = _forward(list(lattice.arcs(part)), len(part), len(part[0]), self.table, lattice.n)
-            out[at] = np.log(alpha[-1])
+            if len(part[0]) > MAX_WORD:
+                out[at] = [_long_score(w, self.table, lattice) for w in part]
+            else:
+                alpha = _forward(list(lattice.arcs(part)), len(part), len(part[0]), self.table, lattice.n)
+                out[at] = np.log(alpha[-1])
         return out
 
 
-def cut_words(text: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Lower-case letter runs of every text with a leading mark, cut to ``MAX_WORD``; as ``split_words``."""
-    plain = pc.utf8_lower(pc.replace_substring_regex(text, r"\PL+", " "))
-    at, words, codes = C.split_words(plain, lower=False)
-    names = ["_" + w.decode() for w in words]
-    long = [k for k, w in enumerate(names) if len(w) > MAX_WORD]
-    if not long:
-        return at, names, codes
-    parts = [[k] for k in range(len(names))]
-    for k in long:
-        w = names[k]
-        cut = [w[i : i + MAX_WORD] for i in range(0, len(w), MAX_WORD)]
-        names[k] = cut[0]
-        parts[k] += range(len(names), len(names) + len(cut) - 1)
-        names += cut[1:]
-    n = np.array([len(p) for p in parts])
-    flat, first = np.concatenate([np.array(p) for p in parts]), np.concatenate(([0], np.cumsum(n)))
-    count = n[codes]
-    ends = np.concatenate(([0], np.cumsum(count)))
-    new = flat[np.repeat(first[codes] - ends[:-1], count) + np.arange(ends[-1])]
-    return ends[at], names, new
+def letter_words(text: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Lower-case letter runs of every text with a leading mark; as ``split_words``."""
+    at, words, codes = C.split_words(pc.utf8_lower(pc.replace_substring_regex(text, r"\PL+", " ")), lower=False)
+    return at, ["_" + w.decode() for w in words], codes
 
 
 def _sample(docs: DataFrame, per_language: int) -> DataFrame:
@@ -159,12 +186,12 @@ def _counts(sample: DataFrame) -> list:
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         lang = np.array(batch.column("lang").to_pylist(), object)
-        at, words, codes = cut_words(C.texts(batch))
+        at, words, codes = letter_words(C.texts(batch))
         where = np.repeat(lang, np.diff(at))
         got: dict = {}
         for name in sorted(set(lang)):
             n = np.bincount(codes[where == name], minlength=len(words))
-            got[name] = [(words[k], int(n[k])) for k in np.flatnonzero(n)]
+            got[name] = [(words[k], int(n[k])) for k in np.flatnonzero(n) if len(words[k]) <= MAX_WORD]
         rows = [(x, w, n) for x, v in got.items() for w, n in v]
         return pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
 
@@ -175,8 +202,8 @@ def _counts(sample: DataFrame) -> list:
 def learn(docs: DataFrame, per_language: int = SAMPLE_DOCS, vocabulary: list[str] | None = None) -> Model:
     """Fit on at most about ``per_language`` documents of each value of ``lang``.
 
-    Collected are the sample's distinct words with their counts.  Languages
-    count as equally likely beforehand.
+    Collected are the sample's distinct words of up to ``MAX_WORD`` letters with
+    their counts.  Languages count as equally likely beforehand.
     """
     vocabulary = vocabulary or pieces()
     lattice = Lattice(vocabulary)
@@ -221,8 +248,10 @@ def predict(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
 
     ``score`` is the language's share of the summed probability.  A text that is
     null or has no letters is ``und`` with score 0, as is any text if nothing
-    was learned.  Ties go to the first language by name; repeated rows are
-    predicted each on its own; an empty table gives an empty result.
+    was learned.  Words of any length are summed over all their segmentations.
+    Ties go to the first language by name; repeated rows are predicted each on
+    its own; a null doc_id stays null; other columns are ignored unless carried;
+    an empty table gives an empty result.
     """
     languages = np.array([*model.languages, "und"], object)
 
@@ -232,7 +261,7 @@ def predict(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
         kept = np.zeros((1 << 12, len(model.languages)))
         for batch in it:
             for part in C.parts(batch):
-                at, words, codes = cut_words(C.texts(part))
+                at, words, codes = letter_words(C.texts(part))
                 if len(known) > 200_000:
                     known.clear()
                 new = [w for w in dict.fromkeys(words) if w not in known]
@@ -243,6 +272,8 @@ def predict(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
                     kept[len(known) : need] = model.word_scores(new, lattice)
                     known.update(zip(new, range(len(known), need), strict=True))
                 where = np.fromiter((known[w] for w in words), np.int64, len(words))
+                if sum(len(w) for w in new if len(w) > MAX_WORD) > 4 << 20:
+                    known.clear()
                 rows, n = part.num_rows, np.diff(at)
                 doc = np.repeat(np.arange(rows), n)
                 ids = where[codes]

@@ -323,6 +323,49 @@ def test_forward_sums_all_segmentations():
         assert model.word_scores([w], language_id.Lattice(vocabulary))[0, 0] == pytest.approx(math.log(brute(w)))
 
 
+def test_long_words_are_summed_whole(monkeypatch):
+    vocabulary = ["_", "a", "ab", "b", "ba", "abba", "bbaabbaab"]
+    table = np.vstack((RNG.random((7, 2)) / 7, np.zeros((1, 2))))
+    lattice, model = language_id.Lattice(vocabulary), language_id.Model(("x", "y"), tuple(vocabulary), table)
+    words = ["_" + "".join(RNG.choice(list("abc"), n, p=[0.48, 0.48, 0.04])) for n in (3, 20, 29, 29)]
+    whole = model.word_scores(words, lattice)
+    monkeypatch.setattr(language_id, "STEP", 7)
+    for w, want in zip(words, whole, strict=True):
+        assert language_id._long_score(w, table, lattice) == pytest.approx(want)
+    long = language_id._long_score("_" + "ab" * 50_000, table, lattice)
+    assert np.isfinite(long).all() and (long < -10_000).all()
+
+
+def test_vocabulary_keeps_every_piece_of_letters():
+    import public_tokenizers
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(language_id.VOCABULARY))
+    letters = {w for k in range(p.get_piece_size()) if (w := p.id_to_piece(k).replace("▁", "_").lower()).removeprefix("_").isalpha()}
+    assert letters <= set(language_id.pieces())
+
+
+def test_prediction_by_brute_force_with_ties_and_carried_columns(spark):
+    vocabulary, table = ["_", "a", "b", "ab", "c"], np.array([[0.2, 0.2, 0.2], [0.2, 0.3, 0.2], [0.3, 0.2, 0.3], [0.2, 0.1, 0.2], [0.1, 0.2, 0.1], [0, 0, 0]])
+    model = language_id.Model(("l1", "l2", "l3"), tuple(vocabulary), table)
+
+    def brute(w, k):
+        return 1.0 if not w else sum(table[vocabulary.index(w[:m]), k] * brute(w[m:], k) for m in (1, 2) if w[:m] in vocabulary and m <= len(w))
+
+    given = [(1, "ab abc", 7, "x"), (1, "ab abc", 7, "x"), (None, "C c-c", 8, "y"), (2, None, 9, "z"), (3, "1 2", 9, "z"), (4, "b " * 3000, 1, "w")]
+    d = spark.createDataFrame(given, "doc_id long, text string, score int, lang_pred string")
+    got = language_id.predict(d, model, carry=True)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"]
+    for r in got.collect():
+        words = re.findall(r"[a-z]+", (r.text or "").lower())
+        logs = [sum(math.log(brute("_" + w, k)) for w in words) for k in range(3)]
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        best = max(range(3), key=lambda k: (round(logs[k], 9), -k))
+        assert r.lang_pred == model.languages[best] and r.score == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs))
+
+
 def luhn(s):
     t = 0
     for i, c in enumerate(reversed(s)):

@@ -391,15 +391,87 @@ PERSONAL = ["a@b.c_d@e.f x@y", "a@b.", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255",
 def test_pii(spark, docs, rows):
     d = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(PERSONAL)], "doc_id long, text string"))
     texts = rows | {1000 + i: t for i, t in enumerate(PERSONAL)}
-    x = RNG.random((400, 12))
     from dagloom.llm.boosting import fit
 
-    for model in (None, fit(x, x[:, 0] > 0.5)):
+    x = RNG.random((400, 22)) * 20
+    for model in (None, fit(x, x[:, 0] > 10)):
         for r in pii.find(d, model).select("doc_id", pii.told("base").alias("b"), pii.told("spans").alias("s")).collect():
             assert r.b == brute_pii(texts[r.doc_id] or "")
             assert set(filter(None, r.b.split(","))) <= set(r.s.split(","))
     out = {r.doc_id: r.text for r in pii.redact(d, None).collect()}
-    assert out[1000] == "[EMAIL][EMAIL] x@y" and out[0] is None and out[1005] == "é [EMAIL] [IP][PHONE]."
+    assert out[1000] == "[EMAIL][EMAIL] x@y" and out[0] is None and out[1] == "" and out[1005] == "é [EMAIL] [IP][PHONE]."
+    assert pii.find(docs.limit(0), None).count() == 0 and pii.redact(docs.limit(0), None).columns == docs.columns
+
+
+def redacted(text, spans):
+    """By letters: everything that a span covers goes, a name for each run of overlapping spans."""
+    out, at, i = "", 0, 0
+    spans = sorted(spans)
+    while i < len(spans):
+        a, k, b = spans[i]
+        i += 1
+        while i < len(spans) and spans[i][0] < b:
+            b, i = max(b, spans[i][2]), i + 1
+        out, at = out + text[at:a] + f"[{pii.KINDS[k].upper()}]", b
+    return out + text[at:]
+
+
+def test_redaction_covers_the_union_of_spans(spark):
+    texts = ["call +1 10.0.0.1 23456 now", "+1 10.0.0.1 23456", "4111 1111 1111 1111 10.0.0.1", "a@b.c " * 100 + "é +1 (017) 555-7713", "x +1 4111 1111 1111 1111 y a@b.c", "", None, "+1 10.0.0.1 23456 é " * 50]
+    d = spark.createDataFrame([(k % 5, t, t, k, "s") for k, t in enumerate(texts)], "doc_id long, text string, email string, spans long, `a.b` string")
+    found = {r.i: [(s.start, s.kind, s.end) for s in r.spans] for r in pii.find(d.select(F.col("spans").alias("doc_id"), "text"), None).withColumnRenamed("doc_id", "i").collect()}
+    got = pii.redact(d, None)
+    assert got.columns == d.columns
+    for r in got.collect():
+        t = texts[r.spans]
+        assert r.text == (None if t is None else redacted(t, found[r.spans])) and r.email == t and r["a.b"] == "s"
+    assert got.where("spans = 0").first().text == "call [PHONE] now"
+
+
+def test_trees_as_columns_equal_their_scores(spark):
+    from dagloom.llm.boosting import fit
+
+    x = RNG.random((600, 4))
+    m = fit(x, (x[:, 0] > 0.5) ^ (x[:, 2] > 0.3), trees=9)
+    d = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "i long, f0 double, f1 double, f2 double, f3 double")
+    got = dict(d.select("i", m.column(lambda f: F.col(f"f{f}"))).collect())
+    assert [got[k] for k in range(len(x))] == pytest.approx(m.score(x).tolist())
+
+
+@pytest.fixture(scope="module")
+def personal(spark):
+    r, rows = np.random.default_rng(3), []
+    for k in range(240):
+        text = prose(60, 5000 + k)
+        n = "".join(map(str, r.integers(0, 10, 10)))
+        extra = [f"{text.split()[0]}.{k}@mail.example.com", f"+1 ({n[:3]}) {n[3:6]}-{n[6:]}", f"10.{k}.3.{k % 9}", "4111 1111 1111 1111", ""][k % 5]
+        rows.append((k, f"{text} {extra} end"))
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_corrupted_spans_are_found_in_other_documents(personal):
+    model = pii.learn(personal.where("doc_id < 160"))
+    rows = pii.measure(personal.where("doc_id >= 160"), model).collect()
+    hit = {y: sum(r.found for r in rows if r.y == y) / sum(r.n for r in rows if r.y == y) for y in (0, 1)}
+    assert hit[1] >= 0.95 and hit[0] <= 0.1 and {r.form.split()[0] for r in rows if r.y} == set(pii.KINDS[:4])
+    assert all(r.found >= 0.8 * r.n for r in rows if r.y)
+    d = personal.sparkSession.createDataFrame([(1, "reach bob (at) site (dot) com today", 1), (1, "reach bob (at) site (dot) com today", 2), (None, "on 2024-03-15 we saw 3.14159265", 3)], "doc_id long, text string, number long")
+    got = sorted((r.doc_id or 0, r.s) for r in pii.find(d, model).select("doc_id", pii.told("spans").alias("s")).collect())
+    assert got == [(0, ""), (1, "handle:6:29"), (1, "handle:6:29")]
+    assert pii.redact(d, model).where("number = 1").first().text == "reach [HANDLE] today"
+
+
+def test_candidates_of_any_length(spark):
+    long = "a" * 300 + " (at) " + "b" * 300 + " (dot) c" + "d" * 80
+    digits = " ".join(["12"] * 500)
+    d = spark.createDataFrame([(1, f"x {long} y"), (2, f"x {digits}, y")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.candidates(pii.base_spans(d)).collect()}
+    assert [(s.start, s.end) for s in got[1].handle] == [(2, 2 + len(long))] and [(s.start, s.end) for s in got[2].number] == [(2, 2 + len(digits))]
+
+
+def test_personal_data_of_a_corpus_without_documents(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.learn(none) is None and pii.learn(spark.createDataFrame([(None, None)], "doc_id long, text string")) is None
 
 
 def test_boosting():

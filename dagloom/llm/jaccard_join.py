@@ -15,15 +15,20 @@ few regions of the space.  Three levels of regions are used, each exact:
    again under another cut, until no slice is empty, so no region consists of
    sets that merely lack the same shingles.
 3. *Voronoi regions of pivots.*  Sets that meet in some region form candidate
-   groups.  A group over the bound takes its best-connected members as pivots:
-   members join the cell of the nearest pivot, cells are cut into rings by that
-   distance, and two blocks are compared only if their intervals of distance to
-   every pivot come within eps of each other (triangle inequality).  Members
-   within eps of a pivot are linked through it and are not compared again.
-
-Pivots of the whole space instead of level 2 cannot work on text: sets of
+   groups.  A group over the bound takes some members as pivots; each member is
+   at home in the cell of its nearest pivot and is replicated to every cell whose
+   pivot is at most 2 * eps farther (triangle inequality: a linked pair meets in
+   the home cell of either set).  Cells over the bound are divided in the same way
+   again.  A link counts in the region where its set of the smaller number is at
+   home at every level, so exactly once.  A region that pivots do not divide (near
+   copies that are all about equally far from them) is cut into blocks, and two
+   blocks are compared only if their intervals of distance to every pivot come
+   within eps of each other.
+
+Pivots of the whole space instead of level 2 do not work on text: sets of
 unrelated documents are all at a distance near 1 from any pivot, so windows of
-2 * eps would replicate every document to every region.
+2 * eps replicate nearly every document to every region (``replication``
+measures it).
 
 Equal sets are one class before anything else, so groups of copies of any size
 cost one row.  Shingles and classes are identified by 64-bit and 128-bit
@@ -32,13 +37,14 @@ hashes; sizes, intersections and the threshold are exact over these.
 
 from __future__ import annotations
 
-import math
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -46,8 +52,10 @@ from . import common as C
 NUM, DEN = 90, 100
 #: Members, and bytes of shingles, that one block of a candidate group may hold.
 BLOCK_ROWS, BLOCK_BYTES = 128, 32 << 20
-#: Pivots of a candidate group above a block.
-PIVOTS = 4
+#: Pivots of a region above a block, and the share of it that its largest cell may have for it to count as divided.
+PIVOTS, DIVIDED = 6, 0.7
+#: Bytes of pivots that may be broadcast.
+PIVOT_BYTES = 64 << 20
 WIDTH = 3
 
 
@@ -128,16 +136,19 @@ def signatures(s: np.ndarray, rings: Rings) -> np.ndarray:
 
 
 def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2`` of every document; no digest if its set is empty."""
+    """All columns but ``text`` and ``n_shingles, d1, d2`` of every row; no digest if its set is empty."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, d = [], []
         for s in sets_of(batch, width):
             n.append(len(s))
             d.append(digest(s))
-        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64())], ["doc_id", "n_shingles", "d1", "d2"])
+        columns = [*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64())]
+        return pa.record_batch(columns, [*kept, "n_shingles", "d1", "d2"])
 
-    return docs.select("doc_id", "text").mapInArrow(C.batches(one), "doc_id long, n_shingles long, d1 long, d2 long")
+    kinds = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, T.LongType()) for c in ("n_shingles", "d1", "d2"))])
+    return docs.select(*kept, "text").mapInArrow(C.batches(one), kinds)
 
 
 def _region_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -183,7 +194,7 @@ def _region_rows(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _meetings(regions: DataFrame) -> DataFrame:
-    """``d1, d2, o1, o2, deg``: two classes that meet in ``deg`` regions, along stars."""
+    """``d1, d2, o1, o2``: two classes that meet in some region, along stars."""
 
     def body(it):
         last = None  # the region being read, and its first class
@@ -210,11 +221,7 @@ def _meetings(regions: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in rows], ["d1", "d2", "o1", "o2"])
 
     dealt = regions.repartition("sig").sortWithinPartitions("sig", "d1", "d2")
-    return dealt.mapInArrow(body, "d1 long, d2 long, o1 long, o2 long").groupBy("d1", "d2", "o1", "o2").agg(F.count("*").alias("deg"))
-
-
-def _linked(a: int, b: int, both: np.ndarray) -> np.ndarray:
-    return both * DEN >= (a + b - both) * NUM
+    return dealt.mapInArrow(body, "d1 long, d2 long, o1 long, o2 long").distinct()
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> float:
@@ -226,8 +233,8 @@ def _u64(x) -> np.ndarray:
     return np.frombuffer(x, np.uint64)
 
 
-def _block_matrix(side: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """Which sets are linked, between sides 0 and 1 or within side 2 (above the diagonal)."""
+def _block_matrix(side: np.ndarray, inner: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Which sets are linked, between sides 0 and 1 or within side 2, above the diagonal and where the first is ``inner``."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
@@ -246,214 +253,250 @@ def _block_matrix(side: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
         both += m @ m.T
     link = both * DEN >= (size[:, None] + size[None, :] - both) * NUM
     link &= (side[:, None] != side[None, :]) | (side[:, None] == 2)
-    return np.triu(link, 1)
-
-
-def _block_links(ids: np.ndarray, link: np.ndarray, core: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join parts not yet joined.
-
-    ``core`` names the pivot that a set is linked to (negative: none).
-    """
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
-        return x
-
-    top = [int(-1 - c) if c >= 0 else i for i, c in enumerate(core)]
-    out = []
-    for i, j in zip(*np.nonzero(link), strict=True):
-        if (x := root(top[i])) != (y := root(top[j])):
-            parent[x] = y
-            out.append((int(ids[i]), int(ids[j])))
-    return out
+    return np.triu(link & inner[:, None], 1)
 
 
-def _verify(members: DataFrame, key: str) -> DataFrame:
-    """Exact links that span the parts of every ``key``; columns key, rep, side, core, s."""
+def _verify(members: DataFrame, pairs: bool) -> DataFrame:
+    """All exact links within every ``task``; columns task, cid, side, inner, s.
 
-    def one(t: pa.Table) -> pa.RecordBatch | None:
-        if t.num_rows < 2:
-            return None
-        ids, side, core = (t.column(c).to_numpy() for c in ("rep", "side", "core"))
-        found = _block_links(ids, _block_matrix(side, [_u64(x) for x in t.column("s").to_pylist()]), core)
-        return pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"]) if found else None
-
-    dealt = members.select(key, "rep", "side", "core", "s").repartition(key).sortWithinPartitions(key, "rep")
-    return dealt.mapInArrow(C.runs(key, one), "a long, b long")
-
-
-def _verify_all(members: DataFrame, key: str, pairs: bool) -> DataFrame:
-    """All exact links within every ``key``; columns key, rep, side, s.
-
-    With ``pairs`` one row a link: ``a, b``, the digests ``d1, d2`` of a and
-    ``o1, o2`` of b.  Otherwise one row a set with links: ``a``, its digest
-    ``d1, d2``, its ``n`` links, and ``b``, the same for all sets joined by them.
+    With ``pairs`` one row a link: ``a, b``.  Otherwise one row a set with links:
+    ``a``, its ``n`` links, and ``b``, the same for all sets joined by them.
     """
 
     def one(t: pa.Table) -> pa.RecordBatch | None:
         if t.num_rows < 2:
             return None
-        ids, side = (t.column(c).to_numpy() for c in ("rep", "side"))
-        sets = [_u64(x) for x in t.column("s").to_pylist()]
-        link = _block_matrix(side, sets)
+        ids, side, inner = (t.column(c).to_numpy() for c in ("cid", "side", "inner"))
+        link = _block_matrix(side, inner, [_u64(x) for x in t.column("s").to_pylist()])
         i, j = np.nonzero(link)
         if not len(i):
             return None
-        d = np.zeros((len(ids), 2), np.int64)
+        if pairs:
+            return pa.record_batch([pa.array(ids[i]), pa.array(ids[j])], names)
         there = np.unique(np.concatenate((i, j)))
+        link, part = link | link.T, np.full(len(ids), -1)
         for k in there:
-            d[k] = digest(sets[k])
-        if pairs:
-            columns = [ids[i], ids[j], d[i, 0], d[i, 1], d[j, 0], d[j, 1]]
-        else:
-            link, part = link | link.T, np.full(len(ids), -1)
-            for k in there:
-                todo = [k] if part[k] < 0 else []
-                part[todo] = k
-                while todo:
-                    new = np.flatnonzero(link[todo.pop()] & (part < 0))
-                    part[new] = k
-                    todo += new.tolist()
-            columns = [ids[there], ids[part[there]], d[there, 0], d[there, 1], link.sum(1)[there]]
-        return pa.record_batch([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names)
-
-    names = ["a", "b", "d1", "d2", *(["o1", "o2"] if pairs else ["n"])]
-    dealt = members.select(key, "rep", "side", "s").repartition(key).sortWithinPartitions(key, "rep")
-    return dealt.mapInArrow(C.runs(key, one), ", ".join(f"{c} long" for c in names))
+            todo = [k] if part[k] < 0 else []
+            part[todo] = k
+            while todo:
+                new = np.flatnonzero(link[todo.pop()] & (part < 0))
+                part[new] = k
+                todo += new.tolist()
+        return pa.record_batch([pa.array(ids[there]), pa.array(ids[part[there]]), pa.array(link.sum(1)[there])], names)
+
+    names = ["a", "b"] if pairs else ["a", "b", "n"]
+    dealt = members.select("task", "cid", "side", "inner", "s").repartition("task").sortWithinPartitions("task", "cid")
+    return dealt.mapInArrow(C.runs("task", one), ", ".join(f"{c} long" for c in names))
 
 
 def _to_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """``g, rep, n, s, d`` with the distances to the group's pivots and the pivots' ids."""
+    """``region, cid, inner, s, d`` with the distances to the region's pivots, in their order."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = {k: batch.column(k).to_pylist() for k in ("s", "p")}
-        d = [[_distance(_u64(s), _u64(q["s"])) for q in p] for s, p in zip(c["s"], c["p"], strict=True)]
-        ids = [[q["rep"] for q in p] for p in c["p"]]
-        return pa.record_batch([batch.column("g"), batch.column("rep"), batch.column("s"), pa.array(d, pa.list_(pa.float64())), pa.array(ids, pa.list_(pa.int64()))], ["g", "rep", "s", "d", "pivots"])
+        d = [[_distance(_u64(s), _u64(q)) for q in p] for s, p in zip(c["s"], c["p"], strict=True)]
+        return pa.record_batch([*(batch.column(c) for c in ("region", "cid", "inner", "s")), pa.array(d, pa.list_(pa.float64()))], ["region", "cid", "inner", "s", "d"])
 
-    return members.join(pivots, "g").select("g", "rep", "s", "p").mapInArrow(C.batches(one), "g long, rep long, s binary, d array<double>, pivots array<long>")
+    size = pivots.agg(F.sum(F.expr("aggregate(p, 0L, (a, x) -> a + length(x))"))).first()[0] or 0
+    met = C.join_small(members, pivots, ["region"], "inner", C.BROADCAST_ROWS if size <= PIVOT_BYTES else 0)
+    return met.select("region", "cid", "inner", "s", "p").mapInArrow(C.batches(one), "region long, cid long, inner boolean, s binary, d array<double>")
 
 
-def _blocks_of_large(large: DataFrame, pivots: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Links through pivots, and the members of the block pairs left to compare.
+def _eps() -> float:
+    return (DEN - NUM) / DEN + 1e-9
 
-    With ``every`` those are all that may hold a link, joined by a pivot or not.
+
+def _cells(far: DataFrame) -> DataFrame:
+    """A row for each cell that a member is at home in or within the window of: ``cell``, and ``inner`` there."""
+    near = F.array_min("d")
+    home = F.array_position("d", near).cast("int")
+    window = F.filter(F.transform("d", lambda x, i: F.when(x <= near + 2 * _eps(), i + 1)), lambda c: c.isNotNull())
+    return far.withColumn("home", home).withColumn("cell", F.explode(window)).withColumn("inner", F.col("inner") & (F.col("cell") == F.col("home")))
+
+
+def regions(members: DataFrame, keep: list | None = None) -> list[DataFrame]:
+    """Divide candidate groups (``g, cid, s``) recursively; tables of ``task, cid, side, inner, s`` to compare.
+
+    Two members meet in a task, with the smaller cid ``inner``, exactly once if
+    they are linked; ``keep`` gets a row (members, replicas) for each division.
     """
-    eps = (DEN - NUM) / DEN + 1e-9
-    far = C.write_out(_to_pivots(large, pivots), "jaccard-pivots")
-    near = F.array_position(F.transform("d", lambda x: x <= eps), True)
-    far = far.withColumns({"core": (near - 1).cast("int"), "cell": F.array_position("d", F.array_min("d")).cast("int")})
-    far = far.withColumn("ring", F.floor(F.array_min("d") / (eps / 2)).cast("int"))
-    # a link to every near pivot, not only the core: block pairs are passed over on account of any of them
-    met = F.filter(F.arrays_zip("d", "pivots"), lambda x: x["d"] <= eps)
-    links = far.select(F.col("rep").alias("a"), F.explode(met).alias("b")).select("a", F.col("b.pivots").alias("b"))
-    place = ["g", "cell", "ring"]
-    count = far.groupBy(*place).agg(F.count("*").alias("rows"), F.sum(F.length("s")).alias("bytes"))
-    count = count.select(*place, F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("cuts"))
-    placed = far.join(count, place).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("cuts")).cast("int"))
-    placed = placed.withColumn("block", F.xxhash64("g", "cell", "ring", "part")).drop("cuts", "part")
-    placed = C.write_out(placed, "jaccard-blocks")
-    low, high = [F.min(F.col("d")[i]).alias(f"l{i}") for i in range(PIVOTS)], [F.max(F.col("d")[i]).alias(f"h{i}") for i in range(PIVOTS)]
-    block = placed.select("g", "block", F.expr(f"transform(sequence(0, {PIVOTS - 1}), i -> get(d, i))").alias("d")).groupBy("g", "block").agg(*low, *high)
+    state = members.select(F.col("g").alias("region"), "cid", "s", F.lit(True).alias("inner"))
+    done = []
+    for level in count():
+        sizes = state.groupBy("region").agg(F.count("*").alias("rows"), F.sum(F.length("s")).alias("bytes"))
+        large = C.write_out(sizes.where((F.col("rows") > BLOCK_ROWS) | (F.col("bytes") > BLOCK_BYTES) & (F.col("rows") > 2)).select("region", "rows"), "jaccard-large")
+        if large.isEmpty():
+            done.append(state.select(F.col("region").alias("task"), "cid", F.lit(2).alias("side"), "inner", "s"))
+            return done
+        small = state.join(C.broadcast_if_small(large), "region", "left_anti")
+        done.append(small.select(F.col("region").alias("task"), "cid", F.lit(2).alias("side"), "inner", "s"))
+        big = C.join_small(state, large.select("region"), ["region"], "left_semi")
+        order = F.xxhash64("cid", F.lit(level))
+        best = big.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("k")).agg(F.max_by("s", F.struct("inner", order, "cid")).alias("s"))
+        pivots = C.write_out(best.groupBy("region").agg(F.array_sort(F.collect_list("s")).alias("p")), "jaccard-pivots")
+        far = C.write_out(_to_pivots(big, pivots), "jaccard-distances")
+        stats = _cells(far).groupBy("region", "cell").agg(F.count("*").alias("n"), F.min(F.when(F.col("inner"), F.col("cid"))).alias("least"))
+        stats = C.write_out(stats.join(large, "region").select("region", "cell", "least", "n", "rows"), "jaccard-cells")
+        whole = C.write_out(stats.groupBy("region").agg(F.max("n").alias("n"), F.first("rows").alias("rows")).where(F.col("n") > DIVIDED * F.col("rows")).select("region"), "jaccard-whole")
+        if not whole.isEmpty():
+            done.append(_blocks(C.join_small(far, whole, ["region"], "left_semi")))
+        parts = stats.where("least is not null").select("region", "cell", "least")
+        # a replica of a smaller number than all that are at home there meets none that counts
+        placed = C.join_small(_cells(C.join_small(far, whole, ["region"], "left_anti")), C.write_out(parts, "jaccard-parts"), ["region", "cell"], "inner")
+        placed = placed.where(F.col("inner") | (F.col("cid") > F.col("least")))
+        state = C.write_out(placed.select(F.xxhash64("region", "cell", F.lit(level)).alias("region"), "cid", "s", "inner"), "jaccard-state")
+        if keep is not None:
+            keep.append((far.count(), state.count()))
+        if state.isEmpty():
+            return done
+
+
+def _blocks(far: DataFrame) -> DataFrame:
+    """Pairs of blocks of undivided regions that may hold a link, as tasks of two sides or one."""
+    eps = _eps()
+    far = far.withColumns({"cell": F.array_position("d", F.array_min("d")).cast("int"), "ring": F.floor(F.array_min("d") / (eps / 2)).cast("int")})
+    place = ["region", "cell", "ring"]
+    size = far.groupBy(*place).agg(F.count("*").alias("rows"), F.sum(F.length("s")).alias("bytes"))
+    cuts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    placed = C.join_small(far, C.write_out(size.select(*place, cuts.alias("cuts")), "jaccard-sizes"), place, "inner")
+    part = F.pmod(F.xxhash64("cid", F.lit(7)), F.col("cuts")).cast("int")
+    placed = C.write_out(placed.withColumn("block", F.xxhash64(*place, part)).select("region", "block", "cid", "inner", "s", "d"), "jaccard-blocks")
+    low, high = [F.min(F.get("d", F.lit(i))).alias(f"l{i}") for i in range(PIVOTS)], [F.max(F.get("d", F.lit(i))).alias(f"h{i}") for i in range(PIVOTS)]
+    block = C.write_out(placed.groupBy("region", "block").agg(*low, *high, F.max("inner").alias("inner")), "jaccard-intervals")
     x, y = block.alias("x"), block.alias("y")
-    meet = F.col("x.block") <= F.col("y.block")
+    meet = (F.col("x.block") <= F.col("y.block")) & (F.col("x.inner") | F.col("y.inner"))
     for i in range(PIVOTS):
         apart = (F.col(f"x.l{i}") > F.col(f"y.h{i}") + eps) | (F.col(f"y.l{i}") > F.col(f"x.h{i}") + eps)
-        joined = (F.col(f"x.h{i}") <= eps) & (F.col(f"y.h{i}") <= eps)
-        meet = meet & ~F.coalesce(apart if every else apart | joined, F.lit(False))
-    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & meet).select(F.col("x.g").alias("g"), F.col("x.block").alias("x"), F.col("y.block").alias("y"))
+        meet = meet & ~F.coalesce(apart, F.lit(False))
+    pairs = x.join(y, (F.col("x.region") == F.col("y.region")) & meet).select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
     pairs = pairs.withColumn("task", F.xxhash64("x", "y"))
     same = F.col("x") == F.col("y")
     sides = pairs.select("task", F.col("x").alias("block"), F.when(same, 2).otherwise(0).alias("side")).unionByName(
         pairs.where(~same).select("task", F.col("y").alias("block"), F.lit(1).alias("side"))
     )
-    todo = placed.join(sides, "block").select("task", "rep", "side", F.coalesce("core", F.lit(-1)).alias("core"), "s")
-    return links, todo
+    return placed.join(sides, "block").select("task", "cid", "side", "inner", "s")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Components of documents whose shingle sets have a Jaccard similarity of 0.9 or more.
+def replication(docs: DataFrame, pivots: int = 64, width: int = WIDTH) -> float:
+    """Regions per document if ``pivots`` documents divided the whole space in one step (a measurement)."""
+    d = docs.select("doc_id", "text")
+    some = [s for s in (s for b in [pa.RecordBatch.from_pylist([{"text": r.text} for r in d.where("text is not null").orderBy(F.xxhash64("doc_id")).limit(pivots).collect()])] for s in sets_of(b, width)) if len(s)]
 
-    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  Returns
-    ``doc_id, n_shingles, component_id`` per row.  Words are runs of anything
-    but ASCII white space, A-Z lower-cased; a text of fewer words than
-    ``width`` is one shingle; a null, empty or blank text has none, is linked
-    with nothing and is its own component.  Rows that repeat a doc_id are
-    treated as documents of their own that share the id.  An empty table gives
-    an empty result.
-    """
-    table, reps, groups, met, docs = _candidates(docs, width)
-    joined = C.connected_components(_links(docs, reps, groups, met, width), "jaccard-links")
-    top = reps.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    return table.join(top, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = []
+        for s in sets_of(batch, width):
+            far = np.array([_distance(s, p) for p in some]) if len(s) else np.zeros(0)
+            n.append(int((far <= far.min() + 2 * _eps()).sum()) if len(far) else 0)
+        return pa.record_batch([pa.array(n, pa.int64())], ["n"])
 
+    return d.mapInArrow(C.batches(one), "n long").where("n > 0").agg(F.avg("n")).first()[0] or 0.0
 
-def jaccard_join(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The same with all links: ``doc_id, n_shingles, class_id, n_links, component_id`` per row.
 
-    Rows of equal sets are one class, named by its smallest doc_id; ``n_links``
-    counts the other classes that a row's class is linked with.
+class Found:
+    """What one join finds: a row's class, classes, and links of classes.
+
+    ``rows`` has the kept columns, ``n_shingles, d1, d2`` of every row; ``reps``
+    a row for each class of equal sets: ``d1, d2, cid``, its smallest doc_id
+    ``rep`` and how many ``rows`` it has.
     """
-    table, reps, groups, met, docs = _candidates(docs, width)
-    links = _links(docs, reps, groups, met, width, lambda m: _verify_all(m, "task", pairs=False))
-    joined = C.connected_components(links.select("a", "b"), "jaccard-links")
-    top = reps.join(joined.withColumnRenamed("id", "rep"), "rep", "left").join(links.groupBy("d1", "d2").agg(F.sum("n").alias("n")), ["d1", "d2"], "left")
-    top = top.select("d1", "d2", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    out = table.join(top, ["d1", "d2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "doc_id").alias("component_id"))
 
+    def __init__(self, docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()):
+        self.width = width
+        text = F.coalesce("text", F.lit(""))
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), text).alias("t"), *keep, "text")
+        self.rows = C.write_out(classes(self.docs, width), "jaccard-classes")
+        each = self.rows.where("d1 is not null").groupBy("d1", "d2", "doc_id", "t").agg(F.count("*").alias("n"))
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "t", "n")).alias("m")
+        reps = each.groupBy("d1", "d2").agg(least, F.sum("n").alias("rows"))
+        reps = reps.select("d1", "d2", F.monotonically_increasing_id().alias("cid"), F.col("m.doc_id").alias("rep"), "m.t", "m.n", "rows")
+        self.reps = C.write_out(reps, "jaccard-reps")
+
+    def members(self) -> DataFrame:
+        """``g, cid, s``: candidate groups of two classes or more, with their sets."""
+        met = C.write_out(_meetings(_region_rows(self.docs, self.width)), "jaccard-meetings")
+        id_of = self.reps.select("d1", "d2", "cid")
+        # the head of a star may be in very many rows: heads are told apart first
+        heads = met.select("o1", "o2").distinct().join(id_of.toDF("o1", "o2", "b"), ["o1", "o2"])
+        met = C.join_small(met.join(id_of, ["d1", "d2"]), C.write_out(heads, "jaccard-heads"), ["o1", "o2"], "inner")
+        groups = C.connected_components(C.write_out(met.select(F.col("cid").alias("a"), "b"), "jaccard-edges"), "jaccard-candidates")
+        wanted = C.write_out(self.reps.join(groups.toDF("cid", "g"), "cid").drop("rows"), "jaccard-wanted").toDF(*(f"w_{c}" for c in ("cid", "d1", "d2", "rep", "t", "n", "g")))
+        width = self.width
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            told = list(zip(batch.column("w_d1").to_pylist(), batch.column("w_d2").to_pylist(), strict=True))
+            sets = list(sets_of(batch, width))
+            keep = np.array([digest(s) == d for s, d in zip(sets, told, strict=True)])
+            if not keep.any():
+                return None
+            s = pa.array([x.tobytes() for x, k in zip(sets, keep, strict=True) if k], pa.binary())
+            return pa.record_batch([*(batch.column(c).filter(pa.array(keep)) for c in ("w_g", "w_cid", "w_n")), s], ["g", "cid", "n", "s"])
+
+        same = (F.col("t") == F.col("w_t")) & F.col("doc_id").eqNullSafe(F.col("w_rep"))
+        got = self.docs.select("doc_id", "t", "text").join(C.broadcast_if_small(wanted), same).mapInArrow(C.batches(one), "g long, cid long, n long, s binary")
+        got = C.write_out(got, "jaccard-members")
+        # rows that repeat a doc_id and its text are one member
+        return got.where("n = 1").unionByName(got.where("n > 1").dropDuplicates(["cid"])).drop("n")
+
+    def links(self, pairs: bool) -> DataFrame:
+        """Links of classes (see :func:`_verify`), verified region by region."""
+        out = None
+        for part in regions(self.members()):
+            got = _verify(part, pairs)
+            out = got if out is None else out.unionByName(got)
+        return C.write_out(out, "jaccard-verified")
+
+    def components(self, links: DataFrame) -> DataFrame:
+        """``cid, component, part``: of linked classes, the smallest doc_id of the component and its number."""
+        joined = C.write_out(C.connected_components(links.select("a", "b"), "jaccard-links").toDF("cid", "part"), "jaccard-parts")
+        named = joined.join(self.reps.select("cid", "rep"), "cid")
+        least = C.write_out(named.groupBy("part").agg(F.min("rep").alias("component")), "jaccard-components")
+        return C.join_small(joined, least, ["part"], "inner").select("cid", "component", "part")
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Components of documents whose shingle sets have a Jaccard similarity of 0.9 or more.
 
-def jaccard_pairs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Every linked pair of classes once: ``a, b``, their digests ``d1, d2`` and ``o1, o2``.
+    ``docs`` needs ``doc_id`` and ``text``; other columns are ignored, but those
+    in ``keep`` are given back (no names of the result's own).  Returns
+    ``doc_id, n_shingles, class_id, n_links, component_id, part`` per row.  Words
+    are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer
+    words than ``width`` is one shingle; a null, empty or blank text has none, is
+    linked with nothing and is its own component.
 
-    ``classes`` gives the members by digest.
+    Rows of equal sets are one class, named by its smallest doc_id; ``n_links``
+    counts the other classes that a row's class is linked with; ``part`` is a
+    number that rows of one component share, and null for a row without a
+    shingle or alone in its component.  Rows that repeat a doc_id are documents
+    of their own that share the id, so ``part`` tells components apart where
+    ``component_id`` does not; a null doc_id stays null and counts as larger than
+    any.  An empty table gives an empty result.
     """
-    _, reps, groups, met, docs = _candidates(docs, width)
-    return _links(docs, reps, groups, met, width, lambda m: _verify_all(m, "task", pairs=True))
+    found = Found(docs, width, keep)
+    links = found.links(pairs=False)
+    n = links.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
+    linked = found.components(links).join(n, "cid", "left")
+    # classes of one row without a link need no names
+    top = found.reps.drop("n").join(linked, "cid", "left").where("rows > 1 or part is not null")
+    top = C.write_out(top.select("d1", "d2", "rep", F.col("n").alias("links"), F.coalesce("part", "cid").alias("part"), F.coalesce("component", "rep").alias("component")), "jaccard-top")
+    out = C.join_small(found.rows, top, ["d1", "d2"], "left")
+    return out.select(
+        "doc_id", *keep, "n_shingles",
+        F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"),
+        F.coalesce("component", "doc_id").alias("component_id"), "part",
+    )
 
 
-def _candidates(docs: DataFrame, width: int) -> tuple[DataFrame, ...]:
-    """Classes of rows, their representatives, candidate groups, meetings, and the rows."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = C.write_out(classes(docs, width), "jaccard-classes")
-    reps = C.write_out(table.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
-    met = C.write_out(_meetings(_region_rows(docs, width)), "jaccard-meetings")
-    other = reps.select(F.col("d1").alias("o1"), F.col("d2").alias("o2"), F.col("rep").alias("b"))
-    met = C.write_out(met.join(reps, ["d1", "d2"]).join(other, ["o1", "o2"]).select(F.col("rep").alias("a"), "b", "deg"), "jaccard-edges")
-    groups = C.write_out(C.connected_components(met, "jaccard-candidates").withColumnRenamed("id", "rep").withColumnRenamed("component", "g"), "jaccard-groups")
-    return table, reps, groups, met, docs
+#: The join and its components are one; the name says which is meant.
+jaccard_join = jaccard_components
 
 
-def _links(docs: DataFrame, reps: DataFrame, groups: DataFrame, met: DataFrame, width: int, every=None) -> DataFrame:
-    """Links that span the components, from the candidate groups, or what ``every`` makes of all their blocks."""
-    degree = met.select(F.col("a").alias("rep"), "deg").unionByName(met.select(F.col("b").alias("rep"), "deg")).groupBy("rep").agg(F.sum("deg").alias("deg"))
-    wanted = reps.select(F.col("rep").alias("doc_id"), "d1").join(groups.withColumnRenamed("rep", "doc_id"), "doc_id").join(degree.withColumnRenamed("rep", "doc_id"), "doc_id")
-    wanted = C.write_out(wanted, "jaccard-wanted")
+def jaccard_pairs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Every linked pair of classes once: ``a, b`` (their smallest doc_ids), their digests ``d1, d2`` and ``o1, o2``.
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        d1 = batch.column("d1").to_pylist()
-        sets = list(sets_of(batch, width))
-        keep = np.array([digest(s)[0] == d for s, d in zip(sets, d1, strict=True)])
-        s = pa.array([x.tobytes() for x, k in zip(sets, keep, strict=True) if k], pa.binary())
-        if not len(s):
-            return None
-        return pa.record_batch([*(batch.column(c).filter(pa.array(keep)) for c in ("g", "doc_id", "deg")), s], ["g", "rep", "deg", "s"])
-
-    members = docs.join(C.broadcast_if_small(wanted), "doc_id").mapInArrow(C.batches(one), "g long, rep long, deg long, s binary")
-    members = C.write_out(members, "jaccard-members")
-    sizes = members.groupBy("g").agg(F.count("*").alias("rows"), F.sum(F.length("s")).alias("bytes"))
-    large = C.write_out(sizes.where((F.col("rows") > BLOCK_ROWS) | (F.col("bytes") > BLOCK_BYTES) & (F.col("rows") > 2)).select("g"), "jaccard-large")
-    small = members.join(C.broadcast_if_small(large), "g", "left_anti").select(F.col("g").alias("task"), "rep", F.lit(2).alias("side"), F.lit(-1).alias("core"), "s")
-    links = [(every or (lambda m: _verify(m, "task")))(small)]
-    if not large.isEmpty():
-        big = members.join(C.broadcast_if_small(large), "g")
-        best = big.groupBy("g", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("k")).agg(F.max_by(F.struct("rep", "s"), F.struct("deg", -F.col("rep"))).alias("p"))
-        pivots = best.groupBy("g").agg(F.array_sort(F.collect_list("p")).alias("p"))
-        through, todo = _blocks_of_large(big, pivots, every is not None)
-        links += [every(todo)] if every else [through, _verify(todo, "task")]
-    out = links[0]
-    for x in links[1:]:
-        out = out.unionByName(x)
-    return C.write_out(out, "jaccard-verified")
+    ``classes`` gives the members by digest.
+    """
+    found = Found(docs, width)
+    links, reps = found.links(pairs=True), found.reps
+    x = reps.select(F.col("cid").alias("a"), "d1", "d2", F.col("rep").alias("left"))
+    y = reps.select(F.col("cid").alias("b"), F.col("d1").alias("o1"), F.col("d2").alias("o2"), F.col("rep").alias("right"))
+    return links.join(x, "a").join(y, "b").select(F.col("left").alias("a"), F.col("right").alias("b"), "d1", "d2", "o1", "o2")

@@ -121,14 +121,33 @@ def test_jaccard_join_gives_every_link(spark, monkeypatch):
         assert (r.n_shingles, r.class_id, r.n_links, r.component_id) == (brute[r.doc_id][0], own, n[own], brute[r.doc_id][1])
 
 
-def test_a_member_near_two_pivots_links_both(spark):
-    first, second, between = set(range(100)), set(range(10, 110)), set(range(5, 105))
-    rows = [(1, k, 1, np.array(sorted(s), np.uint64).tobytes()) for k, s in enumerate((first, second, between))]
-    large = spark.createDataFrame(rows, "g long, rep long, deg long, s binary")
-    pivots = spark.createDataFrame([(1, [(0, rows[0][3]), (1, rows[1][3])])], "g long, p array<struct<rep: long, s: binary>>")
-    through, todo = jaccard_join._blocks_of_large(large, pivots)
-    links = {tuple(sorted(x)) for x in through.unionByName(jaccard_join._verify(todo, "task")).collect()}
-    assert {(0, 2), (1, 2)} <= links and (0, 1) not in links
+def test_regions_divide_recursively_and_count_every_link_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 10)
+    r, sets = np.random.default_rng(2), []
+    for c in range(8):  # clusters, each overlapping the next one by half
+        base = np.arange(100 * c, 100 * c + 200)
+        for _ in range(20):
+            sets.append(np.unique(np.where(r.random(200) < 0.04, r.integers(10_000, 10**9, 200), base)).astype(np.uint64))
+    ids = r.permutation(len(sets))
+    members = spark.createDataFrame([(1, int(i), x.tobytes()) for i, x in zip(ids, sets, strict=True)], "g long, cid long, s binary")
+    told: list = []
+    tasks = jaccard_join.regions(members, told)
+    found = [tuple(sorted(x)) for t in tasks for x in jaccard_join._verify(t, True).collect()]
+    by = dict(zip(ids.tolist(), sets, strict=True))
+    want = {(i, j) for i in by for j in by if i < j and 100 * len(np.intersect1d(by[i], by[j])) >= 90 * len(np.union1d(by[i], by[j]))}
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+    assert len(told) > 1 and told[0][1] < 3 * told[0][0]
+
+
+def test_a_region_of_equally_far_sets_is_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 5)
+    base = np.arange(200)
+    sets = [np.unique(np.append(base[k % 3 :], 1000 + k)).astype(np.uint64) for k in range(31)]
+    tasks = jaccard_join.regions(spark.createDataFrame([(1, k, x.tobytes()) for k, x in enumerate(sets)], "g long, cid long, s binary"))
+    found = [tuple(sorted(x)) for t in tasks for x in jaccard_join._verify(t, True).collect()]
+    assert len(found) == len(set(found)) == 31 * 30 // 2
+    rows = [r for t in tasks for r in t.groupBy("task").count().collect()]
+    assert max(r["count"] for r in rows) <= 20  # blocks are dealt by hash, so they are about even
 
 
 def test_jaccard_join_of_texts_that_share_an_id(spark):
@@ -136,6 +155,19 @@ def test_jaccard_join_of_texts_that_share_an_id(spark):
     rows = [(5, near), (5, far), (5, far), (6, near + " end"), (7, far + " end"), (8, prose(90, 23))]
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5)] * 3 + [(6, 5), (7, 5), (8, 8)]
+    parts = [{r.part for r in got if r.doc_id == i and r.n_shingles == n} for i, n in ((5, got[0].n_shingles), (8, 88))]
+    assert {r.part for r in got if r.doc_id == 8} == {None} and {r.part for r in got if r.doc_id == 6} != {r.part for r in got if r.doc_id == 7}
+    assert all(r.n_links == (0 if r.doc_id == 8 else 1) for r in got) and len(parts) == 2
+
+
+def test_jaccard_join_of_nulls_repeats_and_other_columns(spark, monkeypatch):
+    near = prose(300, 31)
+    rows = [(None, near, 1, "a"), (None, near + " end", 2, "a"), (None, near + " end", 2, "a"), (4, near + " end", 3, "b"), (None, None, 4, "c"), (7, "", 5, "c"), (7, "", 5, "c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, d1 long, part string")
+    for most in (C.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(C.join_small, "__defaults__", (most, 4))
+        got = jaccard_join.jaccard_components(d).collect()
+        assert sorted(((r.doc_id or 0, r.n_shingles > 0, r.class_id or 0, r.n_links, r.component_id or 0) for r in got)) == [(0, False, 0, 0, 0)] + [(0, True, 0, 1, 4)] + [(0, True, 4, 1, 4)] * 2 + [(4, True, 4, 1, 4)] + [(7, False, 7, 0, 7)] * 2
 
 
 def test_every_linked_pair_meets_in_a_region():

@@ -37,6 +37,7 @@ hashes; sizes, intersections and the threshold are exact over these.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -48,18 +49,38 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-#: Similarity is at least NUM / DEN.
-NUM, DEN = 90, 100
+@dataclass(frozen=True)
+class Rule:
+    """Shingles of ``width`` words; two sets are linked at a similarity of ``num / den`` or more."""
+
+    width: int = 3
+    num: int = 90
+    den: int = 100
+
+    @property
+    def eps(self) -> float:
+        """The largest distance of a link, with room for rounding."""
+        return (self.den - self.num) / self.den + 1e-9
+
+    def linked(self, a, b, both):
+        return both * self.den >= (a + b - both) * self.num
+
+    def most_apart(self, size: int) -> int:
+        """Largest symmetric difference of a linked pair of sets of at most ``size`` each."""
+        return (self.den - self.num) * 2 * size // (self.den + self.num)
+
+
+#: The join's own rule, and that of stages that look for near duplicates.
+LINKED, NEAR_DUPLICATE = Rule(), Rule(5, 80, 100)
 #: Members, and bytes of shingles, that one block of a candidate group may hold.
 BLOCK_ROWS, BLOCK_BYTES = 128, 32 << 20
 #: Pivots of a region above a block, and the share of it that its largest cell may have for it to count as divided.
 PIVOTS, DIVIDED = 6, 0.7
 #: Bytes of pivots that may be broadcast.
 PIVOT_BYTES = 64 << 20
-WIDTH = 3
 
 
-def shingle_hashes(codes: np.ndarray, hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
+def shingle_hashes(codes: np.ndarray, hashes: np.ndarray, width: int = LINKED.width) -> np.ndarray:
     """Distinct shingles of one document's words, sorted (uint64)."""
     n = len(codes)
     if not n:
@@ -73,7 +94,7 @@ def shingle_hashes(codes: np.ndarray, hashes: np.ndarray, width: int = WIDTH) ->
     return np.unique(out)
 
 
-def sets_of(batch: pa.RecordBatch, width: int = WIDTH):
+def sets_of(batch: pa.RecordBatch, width: int = LINKED.width):
     """The shingle set of every row's text (null: empty)."""
     at, words, codes = C.split_words(C.texts(batch), lower=True)
     hashes = C.word_hashes(words)
@@ -87,28 +108,24 @@ def digest(s: np.ndarray) -> tuple[int | None, int | None]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _most_apart(size: int) -> int:
-    """Largest symmetric difference of a linked pair of sets of at most ``size`` each."""
-    return (DEN - NUM) * 2 * size // (DEN + NUM)
-
-
 class Rings:
     """Sizes cut so that a linked pair is in the same ring or in neighbours."""
 
-    def __init__(self) -> None:
+    def __init__(self, rule: Rule = LINKED) -> None:
+        self.rule = rule
         self.low, n = [], 1
         while n < 1 << 40:
             self.low.append(n)
-            n = max(n + 1, n * DEN // NUM + 1)
+            n = max(n + 1, n * rule.den // rule.num + 1)
         self.low = np.array(self.low, np.int64)
 
     def of(self, n: int) -> list[int]:
         r = int(np.searchsorted(self.low, n, "right")) - 1
         nxt = int(self.low[r + 1])
-        return [r, r + 1] if n * DEN >= nxt * NUM else [r]
+        return [r, r + 1] if n * self.rule.den >= nxt * self.rule.num else [r]
 
     def slices(self, r: int) -> int:
-        return _most_apart(int(self.low[r + 1]) - 1) + 1
+        return self.rule.most_apart(int(self.low[r + 1]) - 1) + 1
 
 
 def signatures(s: np.ndarray, rings: Rings) -> np.ndarray:
@@ -135,7 +152,7 @@ def signatures(s: np.ndarray, rings: Rings) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def classes(docs: DataFrame, width: int = LINKED.width) -> DataFrame:
     """All columns but ``text`` and ``n_shingles, d1, d2`` of every row; no digest if its set is empty."""
     kept = [c for c in docs.columns if c != "text"]
 
@@ -151,19 +168,19 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select(*kept, "text").mapInArrow(C.batches(one), kinds)
 
 
-def _region_rows(docs: DataFrame, width: int) -> DataFrame:
+def _region_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     """``sig, d1, d2, o1, o2``: a class in a region, with a class known to be there.
 
     Within a batch all classes of a region but the smallest leave the region
     with a link to that one (their ``sig`` becomes their own, so that they
     spread), which keeps a region's rows near the number of batches.
     """
-    rings = Rings()
+    rings = Rings(rule)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         seen: dict[tuple, int] = {}
         sigs = []
-        for s in sets_of(batch, width):
+        for s in sets_of(batch, rule.width):
             d = digest(s)
             if d[0] is not None and d not in seen:
                 seen[d] = len(seen)
@@ -233,7 +250,7 @@ def _u64(x) -> np.ndarray:
     return np.frombuffer(x, np.uint64)
 
 
-def _block_matrix(side: np.ndarray, inner: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+def _block_matrix(side: np.ndarray, inner: np.ndarray, sets: list[np.ndarray], rule: Rule) -> np.ndarray:
     """Which sets are linked, between sides 0 and 1 or within side 2, above the diagonal and where the first is ``inner``."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
@@ -251,12 +268,12 @@ def _block_matrix(side: np.ndarray, inner: np.ndarray, sets: list[np.ndarray]) -
         m = np.zeros((n, step), np.float32)
         m[row[a:b], code[a:b] - lo] = 1
         both += m @ m.T
-    link = both * DEN >= (size[:, None] + size[None, :] - both) * NUM
+    link = rule.linked(size[:, None], size[None, :], both)
     link &= (side[:, None] != side[None, :]) | (side[:, None] == 2)
     return np.triu(link & inner[:, None], 1)
 
 
-def _verify(members: DataFrame, pairs: bool) -> DataFrame:
+def _verify(members: DataFrame, pairs: bool, rule: Rule = LINKED) -> DataFrame:
     """All exact links within every ``task``; columns task, cid, side, inner, s.
 
     With ``pairs`` one row a link: ``a, b``.  Otherwise one row a set with links:
@@ -267,7 +284,7 @@ def _verify(members: DataFrame, pairs: bool) -> DataFrame:
         if t.num_rows < 2:
             return None
         ids, side, inner = (t.column(c).to_numpy() for c in ("cid", "side", "inner"))
-        link = _block_matrix(side, inner, [_u64(x) for x in t.column("s").to_pylist()])
+        link = _block_matrix(side, inner, [_u64(x) for x in t.column("s").to_pylist()], rule)
         i, j = np.nonzero(link)
         if not len(i):
             return None
@@ -302,19 +319,15 @@ def _to_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
     return met.select("region", "cid", "inner", "s", "p").mapInArrow(C.batches(one), "region long, cid long, inner boolean, s binary, d array<double>")
 
 
-def _eps() -> float:
-    return (DEN - NUM) / DEN + 1e-9
-
-
-def _cells(far: DataFrame) -> DataFrame:
+def _cells(far: DataFrame, rule: Rule) -> DataFrame:
     """A row for each cell that a member is at home in or within the window of: ``cell``, and ``inner`` there."""
     near = F.array_min("d")
     home = F.array_position("d", near).cast("int")
-    window = F.filter(F.transform("d", lambda x, i: F.when(x <= near + 2 * _eps(), i + 1)), lambda c: c.isNotNull())
+    window = F.filter(F.transform("d", lambda x, i: F.when(x <= near + 2 * rule.eps, i + 1)), lambda c: c.isNotNull())
     return far.withColumn("home", home).withColumn("cell", F.explode(window)).withColumn("inner", F.col("inner") & (F.col("cell") == F.col("home")))
 
 
-def regions(members: DataFrame, keep: list | None = None) -> list[DataFrame]:
+def regions(members: DataFrame, rule: Rule = LINKED, keep: list | None = None) -> list[DataFrame]:
     """Divide candidate groups (``g, cid, s``) recursively; tables of ``task, cid, side, inner, s`` to compare.
 
     Two members meet in a task, with the smaller cid ``inner``, exactly once if
@@ -335,14 +348,14 @@ def regions(members: DataFrame, keep: list | None = None) -> list[DataFrame]:
         best = big.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("k")).agg(F.max_by("s", F.struct("inner", order, "cid")).alias("s"))
         pivots = C.write_out(best.groupBy("region").agg(F.array_sort(F.collect_list("s")).alias("p")), "jaccard-pivots")
         far = C.write_out(_to_pivots(big, pivots), "jaccard-distances")
-        stats = _cells(far).groupBy("region", "cell").agg(F.count("*").alias("n"), F.min(F.when(F.col("inner"), F.col("cid"))).alias("least"))
+        stats = _cells(far, rule).groupBy("region", "cell").agg(F.count("*").alias("n"), F.min(F.when(F.col("inner"), F.col("cid"))).alias("least"))
         stats = C.write_out(stats.join(large, "region").select("region", "cell", "least", "n", "rows"), "jaccard-cells")
         whole = C.write_out(stats.groupBy("region").agg(F.max("n").alias("n"), F.first("rows").alias("rows")).where(F.col("n") > DIVIDED * F.col("rows")).select("region"), "jaccard-whole")
         if not whole.isEmpty():
-            done.append(_blocks(C.join_small(far, whole, ["region"], "left_semi")))
+            done.append(_blocks(C.join_small(far, whole, ["region"], "left_semi"), rule.eps))
         parts = stats.where("least is not null").select("region", "cell", "least")
         # a replica of a smaller number than all that are at home there meets none that counts
-        placed = C.join_small(_cells(C.join_small(far, whole, ["region"], "left_anti")), C.write_out(parts, "jaccard-parts"), ["region", "cell"], "inner")
+        placed = C.join_small(_cells(C.join_small(far, whole, ["region"], "left_anti"), rule), C.write_out(parts, "jaccard-parts"), ["region", "cell"], "inner")
         placed = placed.where(F.col("inner") | (F.col("cid") > F.col("least")))
         state = C.write_out(placed.select(F.xxhash64("region", "cell", F.lit(level)).alias("region"), "cid", "s", "inner"), "jaccard-state")
         if keep is not None:
@@ -351,9 +364,8 @@ def regions(members: DataFrame, keep: list | None = None) -> list[DataFrame]:
             return done
 
 
-def _blocks(far: DataFrame) -> DataFrame:
+def _blocks(far: DataFrame, eps: float) -> DataFrame:
     """Pairs of blocks of undivided regions that may hold a link, as tasks of two sides or one."""
-    eps = _eps()
     far = far.withColumns({"cell": F.array_position("d", F.array_min("d")).cast("int"), "ring": F.floor(F.array_min("d") / (eps / 2)).cast("int")})
     place = ["region", "cell", "ring"]
     size = far.groupBy(*place).agg(F.count("*").alias("rows"), F.sum(F.length("s")).alias("bytes"))
@@ -377,16 +389,16 @@ def _blocks(far: DataFrame) -> DataFrame:
     return placed.join(sides, "block").select("task", "cid", "side", "inner", "s")
 
 
-def replication(docs: DataFrame, pivots: int = 64, width: int = WIDTH) -> float:
+def replication(docs: DataFrame, pivots: int = 64, rule: Rule = LINKED) -> float:
     """Regions per document if ``pivots`` documents divided the whole space in one step (a measurement)."""
     d = docs.select("doc_id", "text")
-    some = [s for s in (s for b in [pa.RecordBatch.from_pylist([{"text": r.text} for r in d.where("text is not null").orderBy(F.xxhash64("doc_id")).limit(pivots).collect()])] for s in sets_of(b, width)) if len(s)]
+    some = [s for s in (s for b in [pa.RecordBatch.from_pylist([{"text": r.text} for r in d.where("text is not null").orderBy(F.xxhash64("doc_id")).limit(pivots).collect()])] for s in sets_of(b, rule.width)) if len(s)]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = []
-        for s in sets_of(batch, width):
+        for s in sets_of(batch, rule.width):
             far = np.array([_distance(s, p) for p in some]) if len(s) else np.zeros(0)
-            n.append(int((far <= far.min() + 2 * _eps()).sum()) if len(far) else 0)
+            n.append(int((far <= far.min() + 2 * rule.eps).sum()) if len(far) else 0)
         return pa.record_batch([pa.array(n, pa.int64())], ["n"])
 
     return d.mapInArrow(C.batches(one), "n long").where("n > 0").agg(F.avg("n")).first()[0] or 0.0
@@ -400,11 +412,11 @@ class Found:
     ``rep`` and how many ``rows`` it has.
     """
 
-    def __init__(self, docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()):
-        self.width = width
+    def __init__(self, docs: DataFrame, rule: Rule = LINKED, keep: tuple[str, ...] = ()):
+        self.rule = rule
         text = F.coalesce("text", F.lit(""))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), text).alias("t"), *keep, "text")
-        self.rows = C.write_out(classes(self.docs, width), "jaccard-classes")
+        self.rows = C.write_out(classes(self.docs, rule.width), "jaccard-classes")
         each = self.rows.where("d1 is not null").groupBy("d1", "d2", "doc_id", "t").agg(F.count("*").alias("n"))
         least = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "t", "n")).alias("m")
         reps = each.groupBy("d1", "d2").agg(least, F.sum("n").alias("rows"))
@@ -413,14 +425,14 @@ class Found:
 
     def members(self) -> DataFrame:
         """``g, cid, s``: candidate groups of two classes or more, with their sets."""
-        met = C.write_out(_meetings(_region_rows(self.docs, self.width)), "jaccard-meetings")
+        met = C.write_out(_meetings(_region_rows(self.docs, self.rule)), "jaccard-meetings")
         id_of = self.reps.select("d1", "d2", "cid")
         # the head of a star may be in very many rows: heads are told apart first
         heads = met.select("o1", "o2").distinct().join(id_of.toDF("o1", "o2", "b"), ["o1", "o2"])
         met = C.join_small(met.join(id_of, ["d1", "d2"]), C.write_out(heads, "jaccard-heads"), ["o1", "o2"], "inner")
         groups = C.connected_components(C.write_out(met.select(F.col("cid").alias("a"), "b"), "jaccard-edges"), "jaccard-candidates")
         wanted = C.write_out(self.reps.join(groups.toDF("cid", "g"), "cid").drop("rows"), "jaccard-wanted").toDF(*(f"w_{c}" for c in ("cid", "d1", "d2", "rep", "t", "n", "g")))
-        width = self.width
+        width = self.rule.width
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             told = list(zip(batch.column("w_d1").to_pylist(), batch.column("w_d2").to_pylist(), strict=True))
@@ -440,8 +452,8 @@ class Found:
     def links(self, pairs: bool) -> DataFrame:
         """Links of classes (see :func:`_verify`), verified region by region."""
         out = None
-        for part in regions(self.members()):
-            got = _verify(part, pairs)
+        for part in regions(self.members(), self.rule):
+            got = _verify(part, pairs, self.rule)
             out = got if out is None else out.unionByName(got)
         return C.write_out(out, "jaccard-verified")
 
@@ -453,14 +465,14 @@ class Found:
         return C.join_small(joined, least, ["part"], "inner").select("cid", "component", "part")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Components of documents whose shingle sets have a Jaccard similarity of 0.9 or more.
+def jaccard_components(docs: DataFrame, rule: Rule = LINKED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Components of documents whose shingle sets are linked by ``rule``: three words and a Jaccard similarity of 0.9.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored, but those
     in ``keep`` are given back (no names of the result's own).  Returns
     ``doc_id, n_shingles, class_id, n_links, component_id, part`` per row.  Words
     are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer
-    words than ``width`` is one shingle; a null, empty or blank text has none, is
+    words than a shingle's is one; a null, empty or blank text has none, is
     linked with nothing and is its own component.
 
     Rows of equal sets are one class, named by its smallest doc_id; ``n_links``
@@ -471,7 +483,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...
     ``component_id`` does not; a null doc_id stays null and counts as larger than
     any.  An empty table gives an empty result.
     """
-    found = Found(docs, width, keep)
+    found = Found(docs, rule, keep)
     links = found.links(pairs=False)
     n = links.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
     linked = found.components(links).join(n, "cid", "left")
@@ -490,12 +502,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...
 jaccard_join = jaccard_components
 
 
-def jaccard_pairs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def jaccard_pairs(docs: DataFrame, rule: Rule = LINKED) -> DataFrame:
     """Every linked pair of classes once: ``a, b`` (their smallest doc_ids), their digests ``d1, d2`` and ``o1, o2``.
 
     ``classes`` gives the members by digest.
     """
-    found = Found(docs, width)
+    found = Found(docs, rule)
     links, reps = found.links(pairs=True), found.reps
     x = reps.select(F.col("cid").alias("a"), "d1", "d2", F.col("rep").alias("left"))
     y = reps.select(F.col("cid").alias("b"), F.col("d1").alias("o1"), F.col("d2").alias("o2"), F.col("rep").alias("right"))

@@ -70,6 +70,11 @@ def _passes(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _held(c: Column) -> Column:
+    """``c`` itself, as an expression that the optimizer does not copy into filters and projections above."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def _cut(d: DataFrame, column: str, pattern: str, there: Column) -> DataFrame:
     """Add ``_gaps`` and ``_found`` of a pattern in ``column``; empty where ``there`` is false."""
     empty = F.array().cast("array<string>")
@@ -109,7 +114,7 @@ def _spans(d: DataFrame, kind: str, column: str, pattern: str, there: Column) ->
         return F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("m"), near.alias("before"), F.left(F.get("_gaps", i + 1), F.lit(2)).alias("after"))
 
     spans = F.filter(F.transform("_found", one), lambda s: _passes(kind, s["m"]))
-    return d.withColumn(kind, spans).drop("_gaps", "_found", "_size", "_ends")
+    return d.withColumn(kind, _held(spans)).drop("_gaps", "_found", "_size", "_ends")
 
 
 def _masked_kind(d: DataFrame, kind: str, column: str, pattern: str, there: Column) -> DataFrame:
@@ -117,7 +122,7 @@ def _masked_kind(d: DataFrame, kind: str, column: str, pattern: str, there: Colu
     d = _cut(d, column, pattern, there)
     one = lambda m, i: F.concat(F.get("_gaps", i), F.when(_passes(kind, m), F.repeat(F.lit("\u0001"), F.length(m))).otherwise(m))
     new = F.concat(F.array_join(F.transform("_found", one), ""), F.element_at("_gaps", -1))
-    return d.withColumn(column, F.when(F.size("_found") > 0, new).otherwise(F.col(column))).drop("_gaps", "_found")
+    return d.withColumn(column, _held(F.when(F.size("_found") > 0, new).otherwise(F.col(column)))).drop("_gaps", "_found")
 
 
 #: For every kind: its pattern and a quick test of whether it can occur.
@@ -321,8 +326,8 @@ def find(docs: DataFrame, model: Boosted | None) -> DataFrame:
     if model is not None:
         d, accept = candidates(d), _accepts(model)
         extra = [plain(k, F.filter(k, lambda c: accept(c["m"], c["before"], c["after"]))) for k in KINDS[4:]]
-    d = d.withColumn("base", F.sort_array(F.concat(*[plain(k, k) for k in KINDS[:4]])))
-    return d.withColumn("spans", F.sort_array(F.concat("base", *extra)) if extra else F.col("base")).drop(*KINDS[4:])
+    d = d.withColumn("base", _held(F.sort_array(F.concat(*[plain(k, k) for k in KINDS[:4]]))))
+    return d.withColumn("spans", _held(F.sort_array(F.concat("base", *extra))) if extra else F.col("base")).drop(*KINDS[4:])
 
 
 def told(spans: str) -> Column:
@@ -367,6 +372,6 @@ def redact(docs: DataFrame, model: Boosted | None) -> DataFrame:
     empty result.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    d = find(docs.select(row.alias("doc_id"), "text"), model).withColumn("spans", _union(F.col("spans")))
-    new = F.when(F.col("doc_id.text").isNotNull(), _rebuilt(F.col("text"), F.col("spans")))
+    d = find(docs.select(row.alias("doc_id"), "text"), model).withColumn("spans", _held(_union(F.col("spans"))))
+    new = _held(F.when(F.col("doc_id.text").isNotNull(), _rebuilt(F.col("text"), F.col("spans"))))
     return d.select(*[new.alias(c) if c == "text" else F.col("doc_id")[c].alias(c) for c in docs.columns])

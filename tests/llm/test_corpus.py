@@ -131,7 +131,7 @@ def test_regions_divide_recursively_and_count_every_link_once(spark, monkeypatch
     ids = r.permutation(len(sets))
     members = spark.createDataFrame([(1, int(i), x.tobytes()) for i, x in zip(ids, sets, strict=True)], "g long, cid long, s binary")
     told: list = []
-    tasks = jaccard_join.regions(members, told)
+    tasks = jaccard_join.regions(members, keep=told)
     found = [tuple(sorted(x)) for t in tasks for x in jaccard_join._verify(t, True).collect()]
     by = dict(zip(ids.tolist(), sets, strict=True))
     want = {(i, j) for i in by for j in by if i < j and 100 * len(np.intersect1d(by[i], by[j])) >= 90 * len(np.union1d(by[i], by[j]))}
@@ -170,6 +170,32 @@ def test_jaccard_join_of_nulls_repeats_and_other_columns(spark, monkeypatch):
         assert sorted(((r.doc_id or 0, r.n_shingles > 0, r.class_id or 0, r.n_links, r.component_id or 0) for r in got)) == [(0, False, 0, 0, 0)] + [(0, True, 0, 1, 4)] + [(0, True, 4, 1, 4)] * 2 + [(4, True, 4, 1, 4)] + [(7, False, 7, 0, 7)] * 2
 
 
+@pytest.mark.parametrize("rule", [jaccard_join.NEAR_DUPLICATE, jaccard_join.Rule(2, 50, 100)])
+def test_components_by_other_rules(spark, rule):
+    words, texts = prose(120, 8).split(), {}
+    for k in range(40):
+        w, r = list(words), np.random.default_rng(k)
+        for j in r.choice(118, r.integers(0, 9), replace=False):
+            w[j] = f"n{k}_{j}"
+        texts[k] = " ".join(w[: 120 - k % 7])
+    texts[40] = prose(70, 77)
+    sets = {}
+    for i, t in texts.items():
+        w = t.split()
+        sets[i] = {tuple(w[k : k + rule.width]) for k in range(len(w) - rule.width + 1)}
+    top = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if rule.linked(len(sets[i]), len(sets[j]), len(sets[i] & sets[j])):
+                    top[i] = top[j] = min(top[i], top[j])
+    got = jaccard_join.jaccard_components(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"), rule)
+    kinds = {frozenset(x) for x in sets.values()}
+    n = {i: sum(sets[i] != x and rule.linked(len(sets[i]), len(x), len(sets[i] & x)) for x in kinds) for i in sets}
+    rows = got.collect()
+    assert {r.doc_id: r.component_id for r in rows} == top and {r.doc_id: r.n_links for r in rows} == n and len(set(top.values())) > 1
+
+
 def test_every_linked_pair_meets_in_a_region():
     rings = jaccard_join.Rings()
     for n in (10, 19, 20, 57, 200, 1000):
@@ -892,6 +918,91 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in got.collect()} == {0, 3}
 
 
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    at = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame([(1, prose(30, 52)), (None, prose(20, 53)), (2, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return dict(corpus_pipeline.STAGES), at
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _k1 long, lang_pred string, score double, t1 long, d1 string, spans string, c0 int, email map<string,int>"
+
+
+def odd_rows(spark, given):
+    rows = [(i, t, x, "s", len(t or ""), k, "lp", 0.5, 3, "d", "sp", 7, {"a": 1}) for k, (i, t, x) in enumerate(given)]
+    return spark.createDataFrame(rows, ODD).repartition(3)
+
+
+LONG = prose(9000, 60)
+CASES = [(None, prose(70, 61), "en"), (5, prose(70, 62), "en"), (5, prose(70, 63), None), (3, prose(70, 62), "en"), (9, prose(70, 63) + " end", "de"), (9, prose(70, 63) + " end", "de"), (6, None, "en"), (7, "", None), (7, "", None), (8, "12 34 --", "en"), (10, LONG, "en"), (11, LONG, "en"), (12, "tail " + prose(30, 52) + " end", "fr"), (13, prose(20, 53), None), (14, "write a@b.c or +1 10.0.0.1 23456 now " + prose(60, 64), "en")]
+
+
+def test_stages_keep_columns_and_empty_tables(spark, stages):
+    d = odd_rows(spark, CASES)
+    for name, stage in list(stages[0].items())[:-1]:
+        got = stage(spark, d, stages[1])
+        assert got.columns == d.columns and [t for _, t in got.dtypes] == [t for _, t in d.dtypes]
+        for r in got.where("doc_id is not null and text is not null").collect():
+            assert (r.lang_pred, r.score, r.t1, r.d1, r.spans, r.c0, r.email) == ("lp", 0.5, 3, "d", "sp", 7, {"a": 1}) and name
+        assert stage(spark, d.limit(0), stages[1]).count() == 0
+    assert stages[0]["harmonic_packing"](spark, d.limit(0), stages[1]).count() == 0
+
+
+def test_language_stage(spark, stages):
+    d = odd_rows(spark, CASES)
+    got = sorted((r["_k1"], r.lang) for r in stages[0]["language_id"](spark, d, stages[1]).collect())
+    kept = [k for k, (_, t, _) in enumerate(CASES) if re.search(r"[a-z]", t or "")]
+    assert [k for k, _ in got] == kept and all(x == CASES[k][2] or CASES[k][2] is None and x in ("en", "de", "fr") for k, x in got)
+    none = odd_rows(spark, [(1, "words", None)])
+    assert stages[0]["language_id"](spark, none, stages[1]).count() == 0
+
+
+def near_duplicates(given):
+    """By brute force: the rows that stay, of rows (doc_id, text, ...) as a sorted list of their numbers' sets."""
+    def five(t):
+        w = WORD.findall((t or "").translate(LOW))
+        return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+
+    sets = [five(t) for _, t, *_ in given]
+    top = list(range(len(given)))
+    for _ in given:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    top[i] = top[j] = min(top[i], top[j])
+    out = []
+    for c in sorted(set(top)):
+        group = [k for k in range(len(given)) if top[k] == c]
+        least = min((given[k][0] is None, given[k][0] or 0) for k in group)
+        out.append({k for k in group if (given[k][0] is None, given[k][0] or 0) == least})
+    return out
+
+
+def test_duplicate_stage_by_brute_force(spark, stages, monkeypatch):
+    base = prose(80, 65).split()
+    given = CASES + [(20 + k % 7, " ".join(base[:j] + [f"x{k}"] + base[j + 1 :]), "en") for k, j in enumerate(RNG.integers(0, 80, 20))] + [(20, " ".join(base), "en")] * 2
+    for most in (C.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(C.join_small, "__defaults__", (most, 4))
+        kept = sorted(r["_k1"] for r in stages[0]["ngram_jaccard_join"](spark, odd_rows(spark, given), stages[1]).collect())
+        want = near_duplicates(given)
+        assert len(kept) == len(want) and all(len(w & set(kept)) == 1 for w in want)
+    same = spark.createDataFrame([(5, "W " * 3 + prose(70, 62), 1)] * 2 + [(5, prose(70, 63), 2), (3, "W " * 3 + prose(70, 62), 3), (9, prose(70, 63), 4), (9, prose(70, 63), 4), (None, "once more " + prose(9, 1), 5), (None, "once more " + prose(9, 1), 5)], "doc_id long, text string, n long")
+    got = sorted((r.n, r.doc_id or 0) for r in stages[0]["ngram_jaccard_join"](spark, same, stages[1]).collect())
+    assert got == [(2, 5), (3, 3), (5, 0)]
+
+
+def test_benchmark_and_personal_stages(spark, stages):
+    d = odd_rows(spark, CASES)
+    got = sorted(r["_k1"] for r in stages[0]["benchmark_decontamination"](spark, d, stages[1]).collect())
+    assert got == [k for k in range(len(CASES)) if k not in (12, 13)]
+    text = {r["_k1"]: (r.text, r.n_chars) for r in stages[0]["pii"](spark, d, stages[1]).collect()}
+    assert len(text) == len(CASES)
+    for k, (_, t, _) in enumerate(CASES):
+        want = None if t is None else t.replace("a@b.c", "[EMAIL]").replace("+1 10.0.0.1 23456", "[PHONE]")
+        assert text[k] == (want, len(want or ""))
+
+
 def test_sha_of_no_spans(docs):
     got = docs.where("doc_id = 0").select(F.sha2(F.lit(""), 256).alias("h")).first().h
     assert got == hashlib.sha256(b"").hexdigest() and zlib.crc32(b"") == 0

@@ -46,12 +46,12 @@ def release() -> None:
         trim(0)
 
 
-def batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
-    """Turn a function of one record batch into a ``mapInArrow`` body."""
+def batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], most: int = 4 << 20) -> Callable:
+    """Turn a function of one record batch into a ``mapInArrow`` body; batches are cut by :func:`parts`."""
 
     def body(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for part in parts(batch):
+            for part in parts(batch, most=most):
                 if (out := fn(part)) is not None and out.num_rows:
                     yield out
         release()

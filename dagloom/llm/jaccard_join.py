@@ -8,12 +8,11 @@ few regions of the space.  Three levels of regions are used, each exact:
    a factor of at most ``1 - eps``, so rings of that ratio are formed and every
    set is replicated to the next ring (its triangle-inequality window).
 2. *Regions of equal projection.*  Within a ring the symmetric difference of a
-   linked pair is at most ``delta``.  The shingle space is cut into
-   ``delta + 1`` slices; by the pigeonhole principle a linked pair is equal
-   (distance 0) in one slice at least, so the sets' own projections are the
-   centres of regions of radius 0.  A set with an empty slice is projected
-   again under another cut, until no slice is empty, so no region consists of
-   sets that merely lack the same shingles.
+   linked pair is at most ``delta``.  The shingle space is cut into K slices; a
+   linked pair is equal (distance 0) in K - delta of them at least, so the sets'
+   own projections are the centres of regions of radius 0.  K is such that sets
+   have fewer empty slices than that; one with more is projected again under
+   another cut, so no region consists of sets that merely lack the same shingles.
 3. *Voronoi regions of pivots.*  Sets that meet in some region form candidate
    groups.  A group over the bound takes some members as pivots; each member is
    at home in the cell of its nearest pivot and is replicated to every cell whose
@@ -37,6 +36,7 @@ hashes; sizes, intersections and the threshold are exact over these.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import count
 
@@ -51,12 +51,20 @@ from . import common as C
 
 @dataclass(frozen=True)
 class Rule:
-    """Shingles of ``width`` words; two sets are linked at a similarity of ``num / den`` or more."""
+    """Shingles of ``width`` words; two sets are linked at a similarity of ``num / den`` or more.
+
+    It must be 2/3 or more: below, a small set may have no slice in common with a
+    larger one that it is linked with but for empty ones.
+    """
 
     width: int = 3
     num: int = 90
     den: int = 100
 
+    def __post_init__(self) -> None:
+        if not 2 * self.den <= 3 * self.num <= 3 * self.den or self.width < 1:
+            raise ValueError(f"no such rule: {self}")
+
     @property
     def eps(self) -> float:
         """The largest distance of a link, with room for rounding."""
@@ -112,7 +120,7 @@ class Rings:
     """Sizes cut so that a linked pair is in the same ring or in neighbours."""
 
     def __init__(self, rule: Rule = LINKED) -> None:
-        self.rule = rule
+        self.rule, self.cut = rule, {}
         self.low, n = [], 1
         while n < 1 << 40:
             self.low.append(n)
@@ -124,30 +132,44 @@ class Rings:
         nxt = int(self.low[r + 1])
         return [r, r + 1] if n * self.rule.den >= nxt * self.rule.num else [r]
 
-    def slices(self, r: int) -> int:
-        return self.rule.most_apart(int(self.low[r + 1]) - 1) + 1
+    def slices(self, r: int) -> tuple[int, int]:
+        """How many slices ring ``r`` has, and how many of them are equal at least in a linked pair.
+
+        Slices are added until the equal ones are likely to be more than a set's
+        empty ones, of which a set of the ring has K * exp(-size / K) on average.
+        """
+        if r not in self.cut:
+            delta = self.rule.most_apart(int(self.low[r + 1]) - 1)
+            k, size = delta + 1, max(1, int(self.low[r]) * self.rule.num // self.rule.den)
+            while delta and k - delta <= (mean := k * math.exp(-size / k)) + 3 * math.sqrt(mean) and k < size:
+                k += 1
+            self.cut[r] = k, k - delta
+        return self.cut[r]
 
 
 def signatures(s: np.ndarray, rings: Rings) -> np.ndarray:
     """Names of the regions of a set (int64).
 
-    Rings of one slice hold only pairs of equal sets, which are one class
-    already, and are left out.
+    Under each cut of the shingle space the set's non-empty slices are named.
+    Cuts go on until the set has fewer empty slices than are equal in any linked
+    pair, so that one equal slice at least is not empty; of a pair the first set
+    to be done decides.  Rings of one slice hold only pairs of equal sets, which
+    are one class already, and are left out.
     """
     out = []
     for r in rings.of(len(s)):
-        k = rings.slices(r)
+        k, equal = rings.slices(r)
         if k < 2:
             continue
-        for cut in range(64):
-            salt = np.uint64((r * 64 + cut + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        for cut in count():
+            salt = C.mix(np.array([r << 32 | cut], np.uint64))[0]
             h = C.mix(s ^ salt)
             part = (h % np.uint64(k)).astype(np.int64)
             total = np.zeros(k, np.uint64)
             np.add.at(total, part, C.mix(h + salt))
             there = np.bincount(part, minlength=k) > 0
             out.append(C.mix(total[there] * np.uint64(2 * k + 1) + np.flatnonzero(there).astype(np.uint64) * salt))
-            if there.all():
+            if k - there.sum() < equal:
                 break
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
@@ -169,7 +191,7 @@ def classes(docs: DataFrame, width: int = LINKED.width) -> DataFrame:
 
 
 def _region_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``sig, d1, d2, o1, o2``: a class in a region, with a class known to be there.
+    """``sig, d, o``: a class in a region, with a class known to be there, by the first halves of their digests.
 
     Within a batch all classes of a region but the smallest leave the region
     with a link to that one (their ``sig`` becomes their own, so that they
@@ -178,17 +200,17 @@ def _region_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     rings = Rings(rule)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        seen: dict[tuple, int] = {}
+        seen: dict[int, int] = {}
         sigs = []
         for s in sets_of(batch, rule.width):
-            d = digest(s)
-            if d[0] is not None and d not in seen:
+            d = digest(s)[0]
+            if d is not None and d not in seen:
                 seen[d] = len(seen)
                 sigs.append(signatures(s, rings))
-        if not sigs or not (total := sum(map(len, sigs))):
+        if not sigs or not sum(map(len, sigs)):
             return None
         ids = np.array(list(seen), np.int64)
-        order = np.lexsort((ids[:, 1], ids[:, 0]))
+        order = np.argsort(ids)
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.arange(len(ids))
         who = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
@@ -198,47 +220,41 @@ def _region_rows(docs: DataFrame, rule: Rule) -> DataFrame:
         first = np.concatenate(([True], sig[1:] != sig[:-1]))
         head = who[np.flatnonzero(first)[np.cumsum(first) - 1]]
         # links of the same two classes by many regions are kept once
-        pair = who * np.int64(len(ids)) + head
         keep = first.copy()
-        keep[np.setdiff1d(np.unique(pair, return_index=True)[1], np.flatnonzero(first))] = True
-        keep &= first | (who != head)
+        later = np.flatnonzero(~first & (who != head))
+        keep[later[np.unique(who[later] * np.int64(len(ids)) + head[later], return_index=True)[1]]] = True
         sig, who, head, first = sig[keep], who[keep], head[keep], first[keep]
-        sig = np.where(first, sig, ids[who, 0])
-        assert len(sig) <= total
-        return pa.record_batch([pa.array(sig), pa.array(ids[who, 0]), pa.array(ids[who, 1]), pa.array(ids[head, 0]), pa.array(ids[head, 1])], ["sig", "d1", "d2", "o1", "o2"])
+        return pa.record_batch([pa.array(np.where(first, sig, ids[who])), pa.array(ids[who]), pa.array(ids[head])], ["sig", "d", "o"])
 
-    return docs.select("doc_id", "text").mapInArrow(C.batches(one), "sig long, d1 long, d2 long, o1 long, o2 long")
+    return docs.select("doc_id", "text").mapInArrow(C.batches(one, 1 << 20), "sig long, d long, o long")
 
 
 def _meetings(regions: DataFrame) -> DataFrame:
-    """``d1, d2, o1, o2``: two classes that meet in some region, along stars."""
+    """``d, o``: two classes that meet in some region, along stars."""
 
     def body(it):
         last = None  # the region being read, and its first class
         for batch in it:
             if not batch.num_rows:
                 continue
-            sig, d1, d2, o1, o2 = (c.to_numpy() for c in batch.columns)
-            own = (d1 == o1) & (d2 == o2)
-            link = ~own
-            rows = [np.stack([d1[link], d2[link], o1[link], o2[link]])]
-            sig, d1, d2 = sig[own], d1[own], d2[own]
+            sig, d, o = (c.to_numpy() for c in batch.columns)
+            own = d == o
+            rows = [np.stack([d[~own], o[~own]])]
+            sig, d = sig[own], d[own]
             if len(sig):
                 start = np.concatenate(([True], sig[1:] != sig[:-1]))
-                at = np.flatnonzero(start)[np.cumsum(start) - 1]
-                h1, h2 = d1[at], d2[at]
+                head = d[np.flatnonzero(start)[np.cumsum(start) - 1]]
                 if last is not None and sig[0] == last[0]:
-                    head = sig == last[0]
-                    h1[head], h2[head] = last[1], last[2]
-                last = (sig[-1], h1[-1], h2[-1])
-                met = (h1 != d1) | (h2 != d2)
-                rows.append(np.stack([d1[met], d2[met], h1[met], h2[met]]))
+                    head[sig == last[0]] = last[1]
+                last = (sig[-1], head[-1])
+                met = head != d
+                rows.append(np.stack([d[met], head[met]]))
             rows = np.concatenate(rows, axis=1)
             if rows.shape[1]:
-                yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in rows], ["d1", "d2", "o1", "o2"])
+                yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in rows], ["d", "o"])
 
-    dealt = regions.repartition("sig").sortWithinPartitions("sig", "d1", "d2")
-    return dealt.mapInArrow(body, "d1 long, d2 long, o1 long, o2 long").distinct()
+    dealt = regions.repartition("sig").sortWithinPartitions("sig", "d")
+    return dealt.mapInArrow(body, "d long, o long").distinct()
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> float:
@@ -426,10 +442,10 @@ class Found:
     def members(self) -> DataFrame:
         """``g, cid, s``: candidate groups of two classes or more, with their sets."""
         met = C.write_out(_meetings(_region_rows(self.docs, self.rule)), "jaccard-meetings")
-        id_of = self.reps.select("d1", "d2", "cid")
+        id_of = self.reps.select("d1", "cid")
         # the head of a star may be in very many rows: heads are told apart first
-        heads = met.select("o1", "o2").distinct().join(id_of.toDF("o1", "o2", "b"), ["o1", "o2"])
-        met = C.join_small(met.join(id_of, ["d1", "d2"]), C.write_out(heads, "jaccard-heads"), ["o1", "o2"], "inner")
+        heads = met.select("o").distinct().join(id_of.toDF("o", "b"), "o")
+        met = C.join_small(met.join(id_of.toDF("d", "cid"), "d"), C.write_out(heads, "jaccard-heads"), ["o"], "inner")
         groups = C.connected_components(C.write_out(met.select(F.col("cid").alias("a"), "b"), "jaccard-edges"), "jaccard-candidates")
         wanted = C.write_out(self.reps.join(groups.toDF("cid", "g"), "cid").drop("rows"), "jaccard-wanted").toDF(*(f"w_{c}" for c in ("cid", "d1", "d2", "rep", "t", "n", "g")))
         width = self.rule.width

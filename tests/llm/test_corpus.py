@@ -170,7 +170,7 @@ def test_jaccard_join_of_nulls_repeats_and_other_columns(spark, monkeypatch):
         assert sorted(((r.doc_id or 0, r.n_shingles > 0, r.class_id or 0, r.n_links, r.component_id or 0) for r in got)) == [(0, False, 0, 0, 0)] + [(0, True, 0, 1, 4)] + [(0, True, 4, 1, 4)] * 2 + [(4, True, 4, 1, 4)] + [(7, False, 7, 0, 7)] * 2
 
 
-@pytest.mark.parametrize("rule", [jaccard_join.NEAR_DUPLICATE, jaccard_join.Rule(2, 50, 100)])
+@pytest.mark.parametrize("rule", [jaccard_join.NEAR_DUPLICATE, jaccard_join.Rule(2, 70, 100)])
 def test_components_by_other_rules(spark, rule):
     words, texts = prose(120, 8).split(), {}
     for k in range(40):
@@ -196,6 +196,17 @@ def test_components_by_other_rules(spark, rule):
     assert {r.doc_id: r.component_id for r in rows} == top and {r.doc_id: r.n_links for r in rows} == n and len(set(top.values())) > 1
 
 
+@pytest.mark.parametrize("rule", [jaccard_join.LINKED, jaccard_join.NEAR_DUPLICATE, jaccard_join.Rule(2, 2, 3)])
+def test_every_set_is_done_with_some_cut(rule):
+    rings = jaccard_join.Rings(rule)
+    for n in [*range(1, 400), 5000]:
+        for r in rings.of(n):
+            k, equal = rings.slices(r)
+            assert k == 1 or k - min(k, n) < equal
+    with pytest.raises(ValueError):
+        jaccard_join.Rule(3, 1, 2)
+
+
 def test_every_linked_pair_meets_in_a_region():
     rings = jaccard_join.Rings()
     for n in (10, 19, 20, 57, 200, 1000):

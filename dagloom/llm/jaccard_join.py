@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -322,17 +323,47 @@ def _verify(members: DataFrame, pairs: bool, rule: Rule = LINKED) -> DataFrame:
     return dealt.mapInArrow(C.runs("task", one), ", ".join(f"{c} long" for c in names))
 
 
-def _to_pivots(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """``region, cid, inner, s, d`` with the distances to the region's pivots, in their order."""
+def _pivot_parts(sets: list[np.ndarray], rule: Rule) -> list[int]:
+    """For every pivot the first pivot that it is joined with by links of pivots."""
+    top = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if rule.linked(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))):
+                    top[i] = top[j] = min(top[i], top[j])
+    return top
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = {k: batch.column(k).to_pylist() for k in ("s", "p")}
-        d = [[_distance(_u64(s), _u64(q)) for q in p] for s, p in zip(c["s"], c["p"], strict=True)]
-        return pa.record_batch([*(batch.column(c) for c in ("region", "cid", "inner", "s")), pa.array(d, pa.list_(pa.float64()))], ["region", "cid", "inner", "s", "d"])
 
-    size = pivots.agg(F.sum(F.expr("aggregate(p, 0L, (a, x) -> a + length(x))"))).first()[0] or 0
+def _to_pivots(members: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
+    """``region, cid, inner, s, d, near, core`` of every member.
+
+    ``d`` are the distances to the region's pivots, in their order, ``near`` the
+    numbers of those it is linked with, and ``core`` names a part of the pivots
+    that these join it with (-1: none).
+    """
+
+    def body(it):
+        known: dict[int, list[int]] = {}
+        for batch in it:
+            for part in C.parts(batch, "s"):
+                rows = []
+                for region, s, p in zip(*(part.column(k).to_pylist() for k in ("region", "s", "p")), strict=True):
+                    s, sets = _u64(s), [_u64(q["s"]) for q in p]
+                    if region not in known:
+                        known[region] = _pivot_parts(sets, rule)
+                    both = [len(np.intersect1d(s, q, assume_unique=True)) for q in sets]
+                    near = [i for i, q in enumerate(sets) if rule.linked(len(s), len(q), both[i])]
+                    d = [1 - n / (len(s) + len(q) - n) for n, q in zip(both, sets, strict=True)]
+                    rows.append((d, [p[i]["cid"] for i in near], known[region][near[0]] if near else -1))
+                if rows:
+                    d, near, core = zip(*rows, strict=True)
+                    own = [part.column(c) for c in ("region", "cid", "inner", "s")]
+                    yield pa.record_batch([*own, pa.array(d, pa.list_(pa.float64())), pa.array(near, pa.list_(pa.int64())), pa.array(core, pa.int32())], ["region", "cid", "inner", "s", "d", "near", "core"])
+        C.release()
+
+    size = pivots.agg(F.sum(F.expr("aggregate(p, 0L, (a, x) -> a + length(x.s))"))).first()[0] or 0
     met = C.join_small(members, pivots, ["region"], "inner", C.BROADCAST_ROWS if size <= PIVOT_BYTES else 0)
-    return met.select("region", "cid", "inner", "s", "p").mapInArrow(C.batches(one), "region long, cid long, inner boolean, s binary, d array<double>")
+    return met.select("region", "cid", "inner", "s", "p").mapInArrow(body, "region long, cid long, inner boolean, s binary, d array<double>, near array<long>, core int")
 
 
 def _cells(far: DataFrame, rule: Rule) -> DataFrame:
@@ -343,11 +374,13 @@ def _cells(far: DataFrame, rule: Rule) -> DataFrame:
     return far.withColumn("home", home).withColumn("cell", F.explode(window)).withColumn("inner", F.col("inner") & (F.col("cell") == F.col("home")))
 
 
-def regions(members: DataFrame, rule: Rule = LINKED, keep: list | None = None) -> list[DataFrame]:
+def regions(members: DataFrame, rule: Rule = LINKED, keep: list | None = None, through: list | None = None) -> list[DataFrame]:
     """Divide candidate groups (``g, cid, s``) recursively; tables of ``task, cid, side, inner, s`` to compare.
 
     Two members meet in a task, with the smaller cid ``inner``, exactly once if
     they are linked; ``keep`` gets a row (members, replicas) for each division.
+    With ``through``, which gets tables of links ``a, b`` with pivots, members of
+    an undivided region that these links join need not meet.
     """
     state = members.select(F.col("g").alias("region"), "cid", "s", F.lit(True).alias("inner"))
     done = []
@@ -361,14 +394,17 @@ def regions(members: DataFrame, rule: Rule = LINKED, keep: list | None = None) -
         done.append(small.select(F.col("region").alias("task"), "cid", F.lit(2).alias("side"), "inner", "s"))
         big = C.join_small(state, large.select("region"), ["region"], "left_semi")
         order = F.xxhash64("cid", F.lit(level))
-        best = big.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("k")).agg(F.max_by("s", F.struct("inner", order, "cid")).alias("s"))
-        pivots = C.write_out(best.groupBy("region").agg(F.array_sort(F.collect_list("s")).alias("p")), "jaccard-pivots")
-        far = C.write_out(_to_pivots(big, pivots), "jaccard-distances")
+        best = big.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("k")).agg(F.max_by(F.struct("cid", "s"), F.struct("inner", order, "cid")).alias("p"))
+        pivots = C.write_out(best.groupBy("region").agg(F.array_sort(F.collect_list("p")).alias("p")), "jaccard-pivots")
+        far = C.write_out(_to_pivots(big, pivots, rule), "jaccard-distances")
         stats = _cells(far, rule).groupBy("region", "cell").agg(F.count("*").alias("n"), F.min(F.when(F.col("inner"), F.col("cid"))).alias("least"))
         stats = C.write_out(stats.join(large, "region").select("region", "cell", "least", "n", "rows"), "jaccard-cells")
         whole = C.write_out(stats.groupBy("region").agg(F.max("n").alias("n"), F.first("rows").alias("rows")).where(F.col("n") > DIVIDED * F.col("rows")).select("region"), "jaccard-whole")
         if not whole.isEmpty():
-            done.append(_blocks(C.join_small(far, whole, ["region"], "left_semi"), rule.eps))
+            dense = C.join_small(far, whole, ["region"], "left_semi")
+            if through is not None:
+                through.append(dense.select(F.col("cid").alias("a"), F.explode("near").alias("b")).where("a <> b"))
+            done.append(_blocks(dense, rule.eps, through is None))
         parts = stats.where("least is not null").select("region", "cell", "least")
         # a replica of a smaller number than all that are at home there meets none that counts
         placed = C.join_small(_cells(C.join_small(far, whole, ["region"], "left_anti"), rule), C.write_out(parts, "jaccard-parts"), ["region", "cell"], "inner")
@@ -380,19 +416,24 @@ def regions(members: DataFrame, rule: Rule = LINKED, keep: list | None = None) -
             return done
 
 
-def _blocks(far: DataFrame, eps: float) -> DataFrame:
-    """Pairs of blocks of undivided regions that may hold a link, as tasks of two sides or one."""
+def _blocks(far: DataFrame, eps: float, every: bool) -> DataFrame:
+    """Pairs of blocks of undivided regions that may hold a link, as tasks of two sides or one.
+
+    Unless ``every`` link is wanted, blocks that pivots join are not paired.
+    """
     far = far.withColumns({"cell": F.array_position("d", F.array_min("d")).cast("int"), "ring": F.floor(F.array_min("d") / (eps / 2)).cast("int")})
-    place = ["region", "cell", "ring"]
+    place = ["region", "cell", "ring", "core"]
     size = far.groupBy(*place).agg(F.count("*").alias("rows"), F.sum(F.length("s")).alias("bytes"))
     cuts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
     placed = C.join_small(far, C.write_out(size.select(*place, cuts.alias("cuts")), "jaccard-sizes"), place, "inner")
     part = F.pmod(F.xxhash64("cid", F.lit(7)), F.col("cuts")).cast("int")
-    placed = C.write_out(placed.withColumn("block", F.xxhash64(*place, part)).select("region", "block", "cid", "inner", "s", "d"), "jaccard-blocks")
+    placed = C.write_out(placed.withColumn("block", F.xxhash64(*place, part)).select("region", "block", "core", "cid", "inner", "s", "d"), "jaccard-blocks")
     low, high = [F.min(F.get("d", F.lit(i))).alias(f"l{i}") for i in range(PIVOTS)], [F.max(F.get("d", F.lit(i))).alias(f"h{i}") for i in range(PIVOTS)]
-    block = C.write_out(placed.groupBy("region", "block").agg(*low, *high, F.max("inner").alias("inner")), "jaccard-intervals")
+    block = C.write_out(placed.groupBy("region", "block").agg(*low, *high, F.max("inner").alias("inner"), F.first("core").alias("core")), "jaccard-intervals")
     x, y = block.alias("x"), block.alias("y")
     meet = (F.col("x.block") <= F.col("y.block")) & (F.col("x.inner") | F.col("y.inner"))
+    if not every:
+        meet = meet & ~((F.col("x.core") == F.col("y.core")) & (F.col("x.core") >= 0))
     for i in range(PIVOTS):
         apart = (F.col(f"x.l{i}") > F.col(f"y.h{i}") + eps) | (F.col(f"y.l{i}") > F.col(f"x.h{i}") + eps)
         meet = meet & ~F.coalesce(apart, F.lit(False))
@@ -467,11 +508,14 @@ class Found:
 
     def links(self, pairs: bool) -> DataFrame:
         """Links of classes (see :func:`_verify`), verified region by region."""
-        out = None
-        for part in regions(self.members(), self.rule):
-            got = _verify(part, pairs, self.rule)
-            out = got if out is None else out.unionByName(got)
-        return C.write_out(out, "jaccard-verified")
+        got = [_verify(part, pairs, self.rule) for part in regions(self.members(), self.rule)]
+        return C.write_out(reduce(DataFrame.unionByName, got), "jaccard-verified")
+
+    def joining(self) -> DataFrame:
+        """Links ``a, b`` of classes that join the same components as all do, without comparing what pivots join."""
+        through: list[DataFrame] = []
+        got = [_verify(part, False, self.rule).select("a", "b") for part in regions(self.members(), self.rule, through=through)]
+        return C.write_out(reduce(DataFrame.unionByName, got + through), "jaccard-joining")
 
     def components(self, links: DataFrame) -> DataFrame:
         """``cid, component, part``: of linked classes, the smallest doc_id of the component and its number."""
@@ -481,8 +525,8 @@ class Found:
         return C.join_small(joined, least, ["part"], "inner").select("cid", "component", "part")
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = LINKED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Components of documents whose shingle sets are linked by ``rule``: three words and a Jaccard similarity of 0.9.
+def jaccard_join(docs: DataFrame, rule: Rule = LINKED, keep: tuple[str, ...] = (), every: bool = True) -> DataFrame:
+    """Links and components of documents whose shingle sets are linked by ``rule``: three words and a Jaccard similarity of 0.9.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored, but those
     in ``keep`` are given back (no names of the result's own).  Returns
@@ -492,30 +536,32 @@ def jaccard_components(docs: DataFrame, rule: Rule = LINKED, keep: tuple[str, ..
     linked with nothing and is its own component.
 
     Rows of equal sets are one class, named by its smallest doc_id; ``n_links``
-    counts the other classes that a row's class is linked with; ``part`` is a
-    number that rows of one component share, and null for a row without a
+    counts the other classes that a row's class is linked with (null unless
+    ``every`` link is wanted, not just the components); ``part`` is a number that rows of one component share, and null for a row without a
     shingle or alone in its component.  Rows that repeat a doc_id are documents
     of their own that share the id, so ``part`` tells components apart where
     ``component_id`` does not; a null doc_id stays null and counts as larger than
     any.  An empty table gives an empty result.
     """
     found = Found(docs, rule, keep)
-    links = found.links(pairs=False)
-    n = links.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
-    linked = found.components(links).join(n, "cid", "left")
+    links = found.links(pairs=False) if every else found.joining()
+    linked = found.components(links).withColumn("n", F.lit(None).cast("long"))
+    if every:
+        linked = linked.drop("n").join(links.groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n")), "cid", "left")
     # classes of one row without a link need no names
     top = found.reps.drop("n").join(linked, "cid", "left").where("rows > 1 or part is not null")
     top = C.write_out(top.select("d1", "d2", "rep", F.col("n").alias("links"), F.coalesce("part", "cid").alias("part"), F.coalesce("component", "rep").alias("component")), "jaccard-top")
     out = C.join_small(found.rows, top, ["d1", "d2"], "left")
     return out.select(
         "doc_id", *keep, "n_shingles",
-        F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"),
+        F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0 if every else None).cast("long")).alias("n_links"),
         F.coalesce("component", "doc_id").alias("component_id"), "part",
     )
 
 
-#: The join and its components are one; the name says which is meant.
-jaccard_join = jaccard_components
+def jaccard_components(docs: DataFrame, rule: Rule = LINKED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As :func:`jaccard_join`, without counting links: what pivots join is not compared."""
+    return jaccard_join(docs, rule, keep, every=False)
 
 
 def jaccard_pairs(docs: DataFrame, rule: Rule = LINKED) -> DataFrame:

@@ -147,13 +147,17 @@ def test_a_region_of_equally_far_sets_is_cut_into_blocks(spark, monkeypatch):
     found = [tuple(sorted(x)) for t in tasks for x in jaccard_join._verify(t, True).collect()]
     assert len(found) == len(set(found)) == 31 * 30 // 2
     rows = [r for t in tasks for r in t.groupBy("task").count().collect()]
+    through: list = []
+    left = jaccard_join.regions(spark.createDataFrame([(1, k, x.tobytes()) for k, x in enumerate(sets)], "g long, cid long, s binary"), through=through)
+    joined = {tuple(sorted(x)) for t in left for x in jaccard_join._verify(t, True).collect()} | {tuple(sorted(x)) for t in through for x in t.collect()}
+    assert joined <= set(found) and len(joined) < 31 * 7 and {k for x in joined for k in x} == set(range(31))
     assert max(r["count"] for r in rows) <= 20  # blocks are dealt by hash, so they are about even
 
 
 def test_jaccard_join_of_texts_that_share_an_id(spark):
     near, far = prose(300, 21), prose(300, 22)
     rows = [(5, near), (5, far), (5, far), (6, near + " end"), (7, far + " end"), (8, prose(90, 23))]
-    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5)] * 3 + [(6, 5), (7, 5), (8, 8)]
     parts = [{r.part for r in got if r.doc_id == i and r.n_shingles == n} for i, n in ((5, got[0].n_shingles), (8, 88))]
     assert {r.part for r in got if r.doc_id == 8} == {None} and {r.part for r in got if r.doc_id == 6} != {r.part for r in got if r.doc_id == 7}
@@ -166,7 +170,7 @@ def test_jaccard_join_of_nulls_repeats_and_other_columns(spark, monkeypatch):
     d = spark.createDataFrame(rows, "doc_id long, text string, d1 long, part string")
     for most in (C.BROADCAST_ROWS, 0):
         monkeypatch.setattr(C.join_small, "__defaults__", (most, 4))
-        got = jaccard_join.jaccard_components(d).collect()
+        got = jaccard_join.jaccard_join(d).collect()
         assert sorted(((r.doc_id or 0, r.n_shingles > 0, r.class_id or 0, r.n_links, r.component_id or 0) for r in got)) == [(0, False, 0, 0, 0)] + [(0, True, 0, 1, 4)] + [(0, True, 4, 1, 4)] * 2 + [(4, True, 4, 1, 4)] + [(7, False, 7, 0, 7)] * 2
 
 
@@ -189,7 +193,8 @@ def test_components_by_other_rules(spark, rule):
             for j in sets:
                 if rule.linked(len(sets[i]), len(sets[j]), len(sets[i] & sets[j])):
                     top[i] = top[j] = min(top[i], top[j])
-    got = jaccard_join.jaccard_components(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"), rule)
+    d = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = jaccard_join.jaccard_join(d, rule)
     kinds = {frozenset(x) for x in sets.values()}
     n = {i: sum(sets[i] != x and rule.linked(len(sets[i]), len(x), len(sets[i] & x)) for x in kinds) for i in sets}
     rows = got.collect()

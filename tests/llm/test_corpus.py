@@ -976,16 +976,12 @@ def test_language_stage(spark, stages):
 
 def near_duplicates(given):
     """By brute force: the rows that stay, of rows (doc_id, text, ...) as a sorted list of their numbers' sets."""
-    def five(t):
-        w = WORD.findall((t or "").translate(LOW))
-        return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
-
-    sets = [five(t) for _, t, *_ in given]
+    sets = [shingles(t) for _, t, *_ in given]
     top = list(range(len(given)))
     for _ in given:
         for i, a in enumerate(sets):
             for j, b in enumerate(sets):
-                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                if a and b and 100 * len(a & b) >= 90 * len(a | b):
                     top[i] = top[j] = min(top[i], top[j])
     out = []
     for c in sorted(set(top)):

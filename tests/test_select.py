@@ -1,3 +1,4 @@
+import json
 import numpy as np
 import pytest
 
@@ -5,13 +6,27 @@ from dagloom.operators import distribution as D, evaluate as V, features as X, m
 from dagloom.sources.lean_files import parse_file_list, sample_names, words_outside
 from dagloom.sources.policies import Split, parse_policy
 from dagloom.sources.store import Store
-from dagloom.sources.theorems import expr_table, read_theorems, transition_table, violations
+from dagloom.sources.theorems import KINDS, FormatError, expr_table, parse, read_theorems, transition_table, violations
 from dagloom.streaming.ingest import ingest
 
 THEOREMS = [
-    '{"name":"t1","module":"m","exprs":[{"kind":"Const","name":"f"},{"kind":"Fvar","idx":7},{"kind":"App","fn":0,"args":[1,1]}],"trns":[{"tacticKind":"exact","target":2,"openGoalCount":1,"locals":[{"type":1}]}]}',
-    '{"name":"t2","module":"m","exprs":[{"kind":"Const","name":"g"}],"trns":[{"tacticKind":"simp","target":0,"openGoalCount":1,"locals":[]}]}',
+    """{"name":"t1","module":"m","srcSpan":[0,9],"exprs":[{"const":{"name":"f","universes":[{"succ":{"param":"u"}}]}},{"fvar":7},{"app":{"fn":0,"args":[1,1]}}],"trns":[{"tactic":{"kind":"exact","src":"exact h"},"srcSpan":[3,9],"openGoalCount":1,"state":{"target":2,"locals":[{"id":7,"type":0,"kind":"default","isInstance":false,"binderInfo":"default"}],"mvars":[],"lvlMvars":[]}}]}""",
+    """{"name":"t2","module":"m","srcSpan":null,"exprs":[{"natural":184467440737095516160}],"trns":[{"tactic":{"kind":"rfl","src":"rfl"},"srcSpan":[1,1],"openGoalCount":2,"state":{"target":0,"locals":[],"mvars":[],"lvlMvars":[]}}]}""",
 ]
+EVERY = {
+    "name": "all", "module": "m", "srcSpan": [1, 2],
+    "exprs": [
+        {"bvar": 2}, {"fvar": 1}, {"mvar": 3}, {"sort": {"max": ["zero", {"mvar": 4}]}}, {"const": {"name": "c", "universes": [{"imax": [{"param": "u"}, "zero"]}]}},
+        {"app": {"fn": 4, "args": [1, 0]}}, {"lambda": {"names": ["x", "y"], "type": 3, "body": 5, "binderInfo": "implicit"}}, {"forall": {"names": ["x"], "type": 3, "body": 6, "binderInfo": "instImplicit"}},
+        {"let": {"name": "z", "type": 3, "val": 4, "body": 7, "nondep": True}}, {"natural": 0}, {"string": "é"}, {"metadata": {"data": {"k": "v"}, "expr": 10}}, {"projection": {"typeName": "S", "idx": 1, "struct": 11}},
+    ],
+    "trns": [{"tactic": {"kind": "k", "src": ""}, "srcSpan": [0, 5], "openGoalCount": 3, "state": {
+        "target": 12,
+        "locals": [{"id": 0, "type": 3, "kind": "auxiliary", "isInstance": True, "val": 9, "nondep": False}],
+        "mvars": [{"id": 0, "decl": {"type": 12, "locals": [{"id": 1, "type": 4, "kind": "default", "isInstance": False, "binderInfo": "strictImplicit"}], "kind": "natural"}, "assignment": None, "delayedAssign": {"fvars": [1], "pending": 2}}, {"id": 5, "decl": None, "assignment": 11, "delayedAssign": None}],
+        "lvlMvars": [{"id": 4, "decl": {"depth": 1, "idx": 2}, "assignment": {"succ": "zero"}}, {"id": 6, "decl": None, "assignment": None}],
+    }}],
+}
 
 
 def test_cover_is_feasible_and_not_redundant(spark):
@@ -91,18 +106,52 @@ def test_class_weights():
 
 
 def test_theorem_source(spark, tmp_path):
-    (tmp_path / "a.ndjson").write_text("\n".join(THEOREMS) + "\n")
+    (tmp_path / "a.ndjson").write_text("\n".join([*THEOREMS, json.dumps(EVERY)]) + "\n")
     t = read_theorems(spark, str(tmp_path / "a.ndjson"))
-    refs = {(r.thm, r.id): r.refs for r in expr_table(t).collect()}
-    assert refs["t1", 2] == [0, 1, 1] and refs["t2", 0] == []
-    assert transition_table(t).count() == 2 and violations(t).count() == 0
-    (tmp_path / "b.ndjson").write_text(THEOREMS[0].replace('"args":[1,1]', '"args":[1,5]') + "\n")
-    assert {r.what for r in violations(read_theorems(spark, str(tmp_path / "b.ndjson"))).collect()} == {"operand out of order"}
+    e = {(r.thm, r.id): r for r in expr_table(t).collect()}
+    assert e["t1", 2].refs == [0, 1, 1] and e["t2", 0].refs == [] and e["t2", 0].val == "184467440737095516160"
+    assert transition_table(t).count() == 3 and violations(t).count() == 0
+    own = [e["all", k] for k in range(13)]
+    assert [r.kind for r in own] == KINDS
+    assert [r.idx for r in own[:3]] == [2, 1, 3] and own[3].level == '{"max":["zero",{"mvar":4}]}' and (own[4].name, own[4].level) == ("c", '[{"imax":[{"param":"u"},"zero"]}]')
+    assert (own[6].names, own[6].binder_info, own[6].refs) == (["x", "y"], "implicit", [3, 5]) and (own[8].name, own[8].nondep, own[8].refs) == ("z", True, [3, 4, 7])
+    assert (own[10].val, own[11].meta, own[11].refs) == ("é", '{"k":"v"}', [10]) and (own[12].name, own[12].idx, own[12].refs) == ("S", 1, [11])
+    x = transition_table(t).where("thm = 'all'").first()
+    assert (x.tactic, x.start, x.stop, x.open_goals, x.target) == ("k", 0, 5, 3, 12) and (x.locals[0].val, x.locals[0].binder_info, x.locals[0].nondep) == (9, None, False)
+    assert (x.mvars[0].decl_type, x.mvars[0].decl_locals[0].binder_info, x.mvars[0].fvars, x.mvars[0].pending, x.mvars[1].assignment) == (12, "strictImplicit", [1], 2, 11)
+    assert (x.lvl_mvars[0].depth, x.lvl_mvars[0].assignment, x.lvl_mvars[1].assignment) == (1, '{"succ":"zero"}', None)
+    bad = [(THEOREMS[0].replace('"args":[1,1]', '"args":[1,5]'), "operand out of order"), (THEOREMS[1].replace('"target":0', '"target":1'), "target out of range"), (json.dumps(EVERY | {"name": "x"}).replace('"pending": 2', '"pending": 13'), "metavariable out of range"), (THEOREMS[0].replace('"t1"', '"t3"').replace('"type":0', '"type":9'), "local out of range")]
+    (tmp_path / "b.ndjson").write_text("\n".join(x for x, _ in bad) + "\n")
+    assert {r.what for r in violations(read_theorems(spark, str(tmp_path / "b.ndjson"))).collect()} == {w for _, w in bad}
     (tmp_path / "c.ndjson").write_text(THEOREMS[0] + "\n{broken\n")
     with pytest.raises(Exception):
         read_theorems(spark, str(tmp_path / "c.ndjson")).collect()
 
 
+@pytest.mark.parametrize("old, new, at", [
+    ('"universes":', '"junk":1,"universes":', "$.exprs[0].const: unknown fields ['junk']"),
+    ('"module":"m",', "", "$: missing fields ['module']"),
+    ('{"fvar":7}', '{"fvar":-1}', "$.exprs[1].fvar: expected a natural"),
+    ('{"fvar":7}', '{"fvar":true}', "$.exprs[1].fvar"),
+    ('{"fvar":7}', '{"gvar":7}', "$.exprs[1].gvar: no such expression"),
+    ('{"fvar":7}', '{"fvar":7,"bvar":1}', "$.exprs[1]: expected an object with one field"),
+    ('"args":[1,1]', '"args":[]', "$.exprs[2].app.args"),
+    ('"srcSpan":[3,9]', '"srcSpan":[9,3]', "$.trns[0].srcSpan: ends before"),
+    ('"openGoalCount":1', '"openGoalCount":0', "$.trns[0].openGoalCount"),
+    ('"binderInfo":"default"}', '"binderInfo":"other"}', "$.trns[0].state.locals[0].binderInfo"),
+    ('{"param":"u"}', '{"param":1}', "$.exprs[0].const.universes[0].succ.param"),
+    ('"name":"t1"', '"name":""', "$.name"),
+])
+def test_records_are_checked_strictly(old, new, at):
+    assert old in THEOREMS[0]
+    with pytest.raises(FormatError) as e:
+        parse(THEOREMS[0].replace(old, new, 1))
+    assert str(e.value).startswith(at)
+    for line in ("", "[]", "{"):
+        with pytest.raises(FormatError):
+            parse(line)
+
+
 def test_streaming_ingest_reads_each_file_once(spark, tmp_path):
     src, out, cp = tmp_path / "in", tmp_path / "out", tmp_path / "cp"
     src.mkdir()

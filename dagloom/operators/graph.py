@@ -20,6 +20,7 @@ def path_levels(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame
     """``root, node, depth, paths``: paths of each length from every root, roots at depth 1.
 
     Every level is written before the next one joins it, so each is computed once.
+    A longer path than ``max_depth`` nodes is an error.
     """
     level = roots.select("root").distinct().select("root", F.col("root").alias("node"), F.lit(1).alias("depth"), F.lit(1).cast("long").alias("paths"))
     out = [level]
@@ -27,9 +28,42 @@ def path_levels(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame
     for depth in range(2, max_depth + 1):
         level = settle(level.join(step, "node").groupBy("root", F.col("child").alias("node")).agg(F.sum("paths").alias("paths")).select("root", "node", F.lit(depth).alias("depth"), "paths"))
         out.append(level)
+    if not level.select("node").distinct().join(step, "node", "left_semi").isEmpty():
+        raise ValueError(f"a path of more than {max_depth} nodes")
     return reduce(DataFrame.unionByName, out)
 
 
+def closures(roots: DataFrame, edges: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """``root, node, paths, depth`` of every root: what it reaches, by how many paths, and the longest.
+
+    Downwards, only distinct nodes and their edges are followed, level by level;
+    upwards, each node's closure is made once of its operands' closures.  So a
+    node that very many roots share is joined by its users, not by all roots.
+    Levels are followed until none is left; a path of more than ``max_depth``
+    nodes (a cycle, in a graph that has one) is an error.
+    """
+    now = settle(roots.select(F.col("root").alias("node")).distinct())
+    levels, below = [now], []
+    while True:
+        kids = settle(edges.join(now.select(F.col("node").alias("parent")), "parent", "left_semi").groupBy("parent", "child").agg(F.count("*").alias("m")))
+        if kids.isEmpty():
+            break
+        if len(levels) >= max_depth:
+            raise ValueError(f"a path of more than {max_depth} nodes")
+        below.append(kids)
+        now = settle(kids.select(F.col("child").alias("node")).distinct())
+        levels.append(now)
+    out = None
+    for now, kids in zip(reversed(levels), [None, *reversed(below)], strict=True):
+        own = now.select(F.col("node").alias("root"), "node", F.lit(1).cast("long").alias("paths"), F.lit(1).alias("depth"))
+        if kids is not None:
+            met = kids.join(out.withColumnRenamed("root", "child"), "child")
+            up = met.groupBy(F.col("parent").alias("root"), "node").agg(F.sum(F.col("m") * F.col("paths")).alias("paths"), (F.max("depth") + 1).alias("depth"))
+            own = own.unionByName(up)
+        out = settle(own)
+    return out
+
+
 def closure(levels: DataFrame) -> DataFrame:
     """``root, node, paths, depth``: reachable nodes, all paths, and the longest."""
     return levels.groupBy("root", "node").agg(F.sum("paths").alias("paths"), F.max("depth").alias("depth"))
@@ -65,6 +99,8 @@ def ancestors(targets: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame
         level = edges.join(level.withColumnRenamed("node", "child"), "child", "left_semi").select(F.col("parent").alias("node")).distinct()
         level = settle(level)
         seen = seen.unionByName(level)
+    if not edges.join(level.withColumnRenamed("node", "child"), "child", "left_semi").isEmpty():
+        raise ValueError(f"a path of more than {max_depth} nodes")
     return seen.distinct()
 
 
@@ -76,7 +112,7 @@ def reduced_sizes(roots: DataFrame, edges: DataFrame, expanded: DataFrame, reusa
     """
     cut = reusable.join(expanded, "node").where("cost < expanded").select("node", "cost")
     inner = edges.join(cut.select(F.col("node").alias("parent")), "parent", "left_anti")
-    reach = closure(path_levels(roots, inner, max_depth))
+    reach = closures(roots, inner, max_depth)
     priced = reach.join(cut, "node", "left").withColumn("cost", F.coalesce("cost", F.lit(1)).cast("long"))
     flagged = priced.join(reusable.select("node", F.lit(1).alias("known")).distinct(), "node", "left")
     return flagged.groupBy("root").agg(F.sum(F.col("paths") * F.col("cost")).alias("reduced_tree"), F.sum("cost").alias("reduced_dag"), F.count_if(F.col("known").isNull()).alias("novel"))

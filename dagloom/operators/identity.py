@@ -68,34 +68,58 @@ def labelled_topology(refs: dict[int, list[int]], kinds: dict[int, str], root: i
     return digest([[kinds[n], e] for n, e in zip(nodes, edges, strict=True)])
 
 
-def alpha_identity(nodes: dict[int, tuple], root: int) -> bytes:
-    """Identity up to renaming of variables: they are numbered by first use below the root.
+def _levels(value):
+    """A payload with the level metavariables within it as variables ``("level", id)``."""
+    if isinstance(value, dict):
+        return Variable("level", value["mvar"]) if value.keys() == {"mvar"} else [[k, _levels(v)] for k, v in value.items()]
+    return [_levels(v) for v in value] if isinstance(value, list | tuple) else value
+
+
+class Variable(tuple):
+    """A kind of variable and its name."""
+
+    def __new__(cls, kind: str, name):
+        return super().__new__(cls, (kind, name))
+
+
+def _variables(value) -> list[Variable]:
+    if isinstance(value, Variable):
+        return [value]
+    return [x for v in value for x in _variables(v)] if isinstance(value, list | tuple) else []
+
+
+def _numbered(value, number: dict[Variable, int]):
+    if isinstance(value, Variable):
+        return [value[0], number[value]]
+    return [_numbered(v, number) for v in value] if isinstance(value, list | tuple) else value
+
+
+def alpha_identities(nodes: dict[int, tuple]) -> dict[int, bytes]:
+    """Identity of every node up to renaming of variables, operands before their users.
 
-    ``nodes[id]`` is (kind, payload, refs).  ``f x x`` and ``f x y`` differ;
-    ``f x y`` and ``f y x`` are the same.
+    ``nodes[id]`` is (kind, payload, refs); the payload is all that tells nodes of
+    a kind apart (a plain value or nested lists).  A node's variables are numbered
+    by first use below it, and its digest is made of its payload and, for every
+    operand, that one's digest and which of the node's numbers its variables have.
+    So each node is digested once, ``f x x`` and ``f x y`` differ, and ``f x y`` and
+    ``f y x`` are the same.
     """
-    order, names, memo = [], {}, {}
-
-    def visit(top: int) -> None:
-        stack = [(top, False)]
-        while stack:
-            n, done = stack.pop()
-            kind, payload, refs = nodes[n]
-            if n in memo:
-                continue
-            if done:
-                memo[n] = digest([kind, names[n] if kind in VARIABLES else payload, [memo[c].hex() for c in refs]])
-                continue
-            if kind in VARIABLES and n not in names:
-                first = next((names[m] for m in names if nodes[m][0] == kind and nodes[m][1] == payload), None)
-                names[n] = sum(nodes[m][0] == kind for m in order) if first is None else first
-                if first is None:
-                    order.append(n)
-            stack.append((n, True))
-            stack += [(c, False) for c in reversed(refs)]
-
-    visit(root)
-    return memo[root]
+    out: dict[int, bytes] = {}
+    own: dict[int, list[Variable]] = {}
+    for n in sorted(nodes):
+        kind, payload, refs = nodes[n]
+        data = Variable(kind, payload) if kind in VARIABLES else payload
+        used = dict.fromkeys(_variables([data]))
+        for c in refs:
+            used.update(dict.fromkeys(own[c]))
+        number = {v: k for k, v in enumerate(used)}
+        own[n] = list(used)
+        out[n] = digest([kind, _numbered(data, number), [[out[c].hex(), [number[v] for v in own[c]]] for c in refs]])
+    return out
+
+
+def alpha_identity(nodes: dict[int, tuple], root: int) -> bytes:
+    return alpha_identities(nodes)[root]
 
 
 def expanded_sizes(refs: dict[int, list[int]]) -> dict[int, int]:
@@ -143,16 +167,41 @@ def mine_fragments(exprs: DataFrame, depths_: tuple[int, ...] = (1, 2, 3)) -> Da
     return exprs.groupBy("thm").applyInPandas(one, f"thm {kind}, anchor long, depth int, ident string, edges string, nodes array<long>")
 
 
+#: Columns that tell nodes of one kind apart, where a table has them; levels are JSON.
+PAYLOAD = ("name", "idx", "val", "names", "binder_info", "nondep", "meta", "level")
+
+
+def _payloads(df: pd.DataFrame) -> list[list]:
+    columns = []
+    for c in PAYLOAD:
+        if c in df:
+            plain = [None if x is None or x is pd.NA or isinstance(x, float) and x != x else x for x in df[c]]
+            if c == "level":
+                plain = [None if x is None else _levels(json.loads(x)) for x in plain]
+            elif c == "names":
+                plain = [None if x is None else list(x) for x in plain]
+            elif c == "idx":
+                plain = [None if x is None else int(x) for x in plain]
+            elif c == "nondep":
+                plain = [None if x is None else bool(x) for x in plain]
+            columns.append(plain)
+    return [list(x) for x in zip(*columns, strict=True)] if columns else [[] for _ in range(len(df))]
+
+
 def identities(exprs: DataFrame) -> DataFrame:
-    """``thm, id, alpha, topology, labelled`` of every node; ``exprs`` has ``thm, id, kind, name, refs``."""
+    """``thm, id, alpha, topology, labelled`` of every node.
+
+    ``exprs`` has ``thm, id, kind, refs`` and any of :data:`PAYLOAD`.  A variable
+    is told by its payload (``Fvar`` and ``ExprMvar``), a level's by its number.
+    """
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
         refs = _table(df)
         kinds = dict(zip(df["id"].astype(int), df["kind"], strict=True))
-        names = dict(zip(df["id"].astype(int), df["name"], strict=True))
-        nodes = {n: (kinds[n], names[n], refs[n]) for n in refs}
-        at = sorted(refs)
-        return pd.DataFrame({"thm": df["thm"].iloc[0], "id": at, "alpha": [alpha_identity(nodes, n).hex() for n in at], "topology": [topology(refs, n).hex() for n in at], "labelled": [labelled_topology(refs, kinds, n).hex() for n in at]})
+        payload = dict(zip(df["id"].astype(int), _payloads(df), strict=True))
+        nodes = {n: (kinds[n], json.dumps(payload[n]) if kinds[n] in VARIABLES else payload[n], refs[n]) for n in refs}
+        at, alpha = sorted(refs), alpha_identities(nodes)
+        return pd.DataFrame({"thm": df["thm"].iloc[0], "id": at, "alpha": [alpha[n].hex() for n in at], "topology": [topology(refs, n).hex() for n in at], "labelled": [labelled_topology(refs, kinds, n).hex() for n in at]})
 
     kind = exprs.schema["thm"].dataType.simpleString()
     return exprs.groupBy("thm").applyInPandas(one, f"thm {kind}, id long, alpha string, topology string, labelled string")

@@ -1,6 +1,7 @@
 import random
 import sys
 
+import numpy as np
 import pytest
 
 from dagloom.operators import exact, graph as G, identity as I
@@ -73,6 +74,27 @@ def test_alpha_identity():
     assert a[3] != a[4] and a[4] == a[5]
 
 
+def test_alpha_identity_keeps_scalars(spark):
+    rows = [("a", 0, "NatLiteral", None, "1", None, []), ("a", 1, "NatLiteral", None, "2", None, []), ("a", 2, "Bvar", 0, None, None, []), ("a", 3, "Bvar", 1, None, None, []), ("a", 4, "Sort", None, None, '{"mvar":3}', []), ("a", 5, "Sort", None, None, '{"succ":{"mvar":3}}', []), ("a", 6, "Fvar", 7, None, None, []), ("a", 7, "Fvar", 8, None, None, []), ("a", 8, "App", None, None, None, [0, 6, 7]), ("a", 9, "App", None, None, None, [0, 7, 7]), ("a", 10, "App", None, None, None, [4, 5])]
+    other = [("b", i, k, {7: 70, 8: 80}.get(x, x), v, w and w.replace("3", "9"), r) for _, i, k, x, v, w, r in rows]
+    got = I.identities(spark.createDataFrame(rows + other, "thm string, id long, kind string, idx long, val string, level string, refs array<long>")).collect()
+    a, b = ({r.id: r.alpha for r in got if r.thm == t} for t in "ab")
+    assert a == b and a[6] == a[7] and len(set(a.values())) == 10
+
+
+def test_closures_equal_paths(spark):
+    r = np.random.default_rng(1)
+    pairs = [(int(p), 0, int(c)) for p in range(1, 30) for c in r.integers(0, p, r.integers(0, 4))]
+    edges = spark.createDataFrame(pairs, "parent long, pos int, child long")
+    roots = spark.createDataFrame([(k,) for k in (29, 28, 5, 0, 99)], "root long")
+    key = lambda df: sorted((x.root, x.node, x.paths, x.depth) for x in df.collect())
+    assert key(G.closures(roots, edges)) == key(G.closure(G.path_levels(roots, edges, 40)))
+    with pytest.raises(ValueError):
+        G.closures(roots, edges, 2)
+    with pytest.raises(ValueError):
+        G.path_levels(roots, edges, 2)
+
+
 def test_views():
     nodes = {0: ("Const", "Coe.coe", []), 1: ("Sort", None, []), 2: ("Const", "x", []), 3: ("App", None, [0, 1, 1, 1, 2]), 4: ("Const", "HAdd.hAdd", []), 5: ("App", None, [4, 1, 1, 1, 1, 3, 2])}
     assert rewrite(nodes, "original")[0] == nodes

@@ -49,13 +49,13 @@ def _edges(t: Tables) -> DataFrame:
 
 def _reach(t: Tables) -> DataFrame:
     if "reach" not in t.kept:
-        t.kept["reach"] = settle(G.closure(G.path_levels(A.roots(t), _edges(t), DEPTH)))
+        t.kept["reach"] = G.closures(A.roots(t), _edges(t), DEPTH)
     return t.kept["reach"]
 
 
 def _hyp_reach(t: Tables) -> DataFrame:
     if "hyp_reach" not in t.kept:
-        t.kept["hyp_reach"] = settle(G.closure(G.path_levels(A.hypotheses(t).select("root"), _edges(t), DEPTH - 1)))
+        t.kept["hyp_reach"] = G.closures(A.hypotheses(t).select("root"), _edges(t), DEPTH - 1)
     return t.kept["hyp_reach"]
 
 
@@ -138,7 +138,7 @@ def global_reuse_keys(t: Tables) -> DataFrame:
 def reduced_sizes(t: Tables) -> DataFrame:
     e = _edges(t)
     reusable = _shared_patterns(t).where("theorems > 1").select("node", F.lit(1).alias("cost"))
-    inner = G.measure_roots(G.closure(G.path_levels(reusable.select(F.col("node").alias("root")), e, DEPTH))).select(F.col("root").alias("node"), "expanded")
+    inner = G.measure_roots(G.closures(reusable.select(F.col("node").alias("root")), e, DEPTH)).select(F.col("root").alias("node"), "expanded")
     return G.reduced_sizes(A.roots(t), e, inner, reusable, DEPTH).select("root", "reduced_tree", "reduced_dag", "novel")
 
 
@@ -351,7 +351,7 @@ def _name_scores(t: Tables) -> DataFrame:
 
 @query
 def name_rank(t: Tables) -> DataFrame:
-    got = R.rank_names(_name_scores(t), "channel", "label", "one_vs_rest", "o").limit(100)
+    got = R.rank_names(_name_scores(t), "channel", "label", "one_vs_rest", "o")
     return got.select("channel", _r("relative").alias("relative"), "count")
 
 
@@ -363,7 +363,7 @@ def shortlist(t: Tables) -> DataFrame:
 @query
 def pair_redundancy(t: Tables) -> DataFrame:
     ch = _channels(t)
-    chosen = R.top(ch.groupBy("channel").agg(F.count("*").alias("n")), 20, F.desc("n"), "channel")
+    chosen = R.shortlist(_name_scores(t), "channel", "label", "one_vs_rest", 256, 32)
     return U.pair_products(ch, _labelled(t), chosen).select("label", "a", "b", "dot")
 
 
@@ -382,7 +382,8 @@ def vocabulary_layout(t: Tables) -> DataFrame:
 
 def _features(t: Tables) -> tuple[DataFrame, int]:
     entries = X.layout(_feature_entries(t))
-    width = 2000 * X.NODE_KINDS
+    # a bounded table: the vocabulary's positions, whatever their number
+    width = int(entries.agg(F.sum(F.col("positions") * X.NODE_KINDS)).first()[0] or 0)
     parts = t.part.join(F.broadcast(entries.select("brand", "entry")), F.col("p_brand") == F.col("brand"))
     matched = parts.select(F.lit(0).alias("thm"), A.node("p_partkey", "part").alias("anchor"), "entry", (F.col("p_size") % 7).cast("long").alias("pos"), (F.col("p_partkey") % X.NODE_KINDS).alias("kind"))
     anchored = X.positional_columns(matched, entries.select("entry", "offset"))
@@ -421,7 +422,7 @@ def presence(t: Tables) -> DataFrame:
 
 @query
 def cooccurrence(t: Tables) -> DataFrame:
-    got = X.cooccurrence(X.presence(_supplier_features(t), 64), 16)
+    got = X.cooccurrence(X.presence(_supplier_features(t), 64), 128)
     return got.select("a", "b", "pairs", _r("jaccard").alias("jaccard"))
 
 
@@ -811,6 +812,21 @@ def alpha_identities(t: Tables) -> DataFrame:
     return identities(_order_exprs(t)).groupBy("alpha").agg(F.count("*").alias("n"), F.count_distinct("thm").alias("theorems"), F.min("topology").alias("topology"))
 
 
+@query
+def literal_identities(t: Tables) -> DataFrame:
+    """Literals differ by value, variables are all alike, and applications of both differ as their literals do."""
+    from ..operators.identity import identities
+
+    k = (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long") * 3
+    p = t.part.select(F.col("p_brand").alias("thm"), k.alias("k"), "p_size", "p_partkey")
+    node = lambda j, kind, val, idx, *refs: F.struct((F.col("k") + j).alias("id"), F.lit(kind).alias("kind"), val.cast("string").alias("val"), idx.cast("long").alias("idx"), F.array(*[F.col("k") + r for r in refs]).cast("array<long>").alias("refs"))
+    none = F.lit(None)
+    rows = F.array(node(0, "NatLiteral", F.col("p_size"), none), node(1, "Fvar", none, F.col("p_partkey")), node(2, "App", none, none, 0, 1))
+    exprs = p.select("thm", F.explode(rows).alias("e")).select("thm", "e.*")
+    met = identities(exprs).join(exprs.select("thm", "id", "kind"), ["thm", "id"])
+    return met.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("alpha").alias("identities"))
+
+
 @query
 def topology_signatures(t: Tables) -> DataFrame:
     from ..operators.identity import identities

@@ -72,7 +72,7 @@ _ENT = "ent AS (SELECT p_brand AS brand, max(p_size)::BIGINT AS positions, dense
 _FEAT = f"""{_ENT}, anch AS (SELECT p_partkey * 8 + 3 AS node, offs + (p_size % 7) * 13 + p_partkey % 13 AS col, 1 AS n FROM part JOIN lay ON brand = p_brand),
 both_ AS (SELECT root, node FROM reach UNION ALL SELECT root, node FROM hreach), rc AS (SELECT root, col, sum(n) AS n FROM both_ JOIN anch USING (node) GROUP BY ALL),
 sr AS (SELECT thm, step, goal AS root, 0 AS role FROM states UNION ALL SELECT thm, step, root, 1 FROM states JOIN hyp USING (state)),
-feat AS (SELECT thm, step, col + role * 26000 AS col, sum(n)::BIGINT AS val FROM sr JOIN rc USING (root) GROUP BY ALL)"""
+feat AS (SELECT thm, step, (col + role * (SELECT sum(positions * 13) FROM ent))::BIGINT AS col, sum(n)::BIGINT AS val FROM sr JOIN rc USING (root) GROUP BY ALL)"""
 _RASTER = """b AS (SELECT min({x}) AS lx, max({x}) AS hx, min({y}) AS ly, max({y}) AS hy FROM lineitem),
 pix AS (SELECT *, least(floor(({x} - lx + CASE WHEN hx > lx THEN 0.015::DOUBLE * (hx - lx) ELSE 0.1 END) / ((hx - lx) + 2 * CASE WHEN hx > lx THEN 0.015::DOUBLE * (hx - lx) ELSE 0.1 END) * {w}), {w} - 1)::BIGINT AS px,
   least(floor(({y} - ly + CASE WHEN hy > ly THEN 0.015::DOUBLE * (hy - ly) ELSE 0.1 END) / ((hy - ly) + 2 * CASE WHEN hy > ly THEN 0.015::DOUBLE * (hy - ly) ELSE 0.1 END) * {h}), {h} - 1)::BIGINT AS py FROM lineitem CROSS JOIN b)"""
@@ -122,15 +122,16 @@ SQL: dict[str, str] = {
     "best_channel": f"WITH {_CHAN}, {_LAB}, {_MOM}, {_R2} SELECT length(channel)::BIGINT AS grp, label, channel, r2 FROM r2 QUALIFY row_number() OVER (PARTITION BY length(channel), label ORDER BY r2 DESC, channel) = 1",
     "name_chi2": f"WITH {_CHAN}, {_LAB}, {_CHI} SELECT channel, label, o, one_vs_rest FROM chi",
     "name_chi2_global": f"WITH {_CHAN}, {_LAB}, {_CHI} SELECT channel, round(sum(part), 4) AS chi2, max(present) AS present FROM chi GROUP BY channel",
-    "name_rank": f"WITH {_CHAN}, {_LAB}, {_CHI}, top AS (SELECT label, max(one_vs_rest) AS best FROM chi GROUP BY label), rel AS (SELECT channel, max(coalesce(one_vs_rest / nullif(best, 0), 0)) AS relative, sum(o)::BIGINT AS count FROM chi JOIN top USING (label) GROUP BY channel) SELECT channel, round(relative, 6) AS relative, count FROM rel ORDER BY rel.relative DESC, rel.count DESC, channel LIMIT 100",
+    "name_rank": f"WITH {_CHAN}, {_LAB}, {_CHI}, top AS (SELECT label, max(one_vs_rest) AS best FROM chi GROUP BY label), rel AS (SELECT channel, max(coalesce(one_vs_rest / nullif(best, 0), 0)) AS relative, sum(o)::BIGINT AS count FROM chi JOIN top USING (label) GROUP BY channel) SELECT channel, round(relative, 6) AS relative, count FROM rel",
     "shortlist": f"WITH {_CHAN}, {_LAB}, {_CHI}, a AS (SELECT channel FROM chi GROUP BY channel HAVING max(one_vs_rest) > 0 ORDER BY max(one_vs_rest) DESC, channel LIMIT 256), b AS (SELECT channel FROM chi WHERE one_vs_rest > 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY one_vs_rest DESC, channel) <= 32) SELECT channel FROM a UNION SELECT channel FROM b",
-    "pair_redundancy": f"WITH {_CHAN}, {_LAB}, f AS (SELECT channel FROM chan GROUP BY channel ORDER BY count(*) DESC, channel LIMIT 20), k AS (SELECT * FROM chan SEMI JOIN f USING (channel)) SELECT label, x.channel AS a, y.channel AS b, sum(x.x * y.x)::BIGINT AS dot FROM k x JOIN k y ON x.r = y.r AND x.channel <= y.channel JOIN lab ON lab.r = x.r GROUP BY ALL",
+    "pair_redundancy": f"WITH {_CHAN}, {_LAB}, {_CHI}, sa AS (SELECT channel FROM chi GROUP BY channel HAVING max(one_vs_rest) > 0 ORDER BY max(one_vs_rest) DESC, channel LIMIT 256), sb AS (SELECT channel FROM chi WHERE one_vs_rest > 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY one_vs_rest DESC, channel) <= 32), f AS (SELECT channel FROM sa UNION SELECT channel FROM sb), k AS (SELECT * FROM chan SEMI JOIN f USING (channel)) SELECT label, x.channel AS a, y.channel AS b, sum(x.x * y.x)::BIGINT AS dot FROM k x JOIN k y ON x.r = y.r AND x.channel <= y.channel JOIN lab ON lab.r = x.r GROUP BY ALL",
+    "literal_identities": "SELECT 'NatLiteral' AS kind, count(*)::BIGINT AS n, count(DISTINCT p_size)::BIGINT AS identities FROM part UNION ALL SELECT 'Fvar', count(*)::BIGINT, 1::BIGINT FROM part UNION ALL SELECT 'App', count(*)::BIGINT, count(DISTINCT p_size)::BIGINT FROM part",
     "vocabulary_layout": f"WITH {_ENT} SELECT entry, positions, offs AS \"offset\" FROM lay",
     "positional_counts": _with(_EDGES, _HYP, _STATES, _GOAL, _HREACH, _FEAT) + "SELECT thm, step, col, val FROM feat",
-    "feature_support": _with(_EDGES, _HYP, _STATES, _GOAL, _HREACH, _FEAT) + "SELECT col >= 26000 AS hypotheses, count(DISTINCT col)::BIGINT AS columns, count(*)::BIGINT AS rows, sum(val)::BIGINT AS total FROM feat GROUP BY 1",
+    "feature_support": _with(_EDGES, _HYP, _STATES, _GOAL, _HREACH, _FEAT) + "SELECT col >= (SELECT sum(positions * 13) FROM ent) AS hypotheses, count(DISTINCT col)::BIGINT AS columns, count(*)::BIGINT AS rows, sum(val)::BIGINT AS total FROM feat GROUP BY 1",
     "active_histogram": _with(_EDGES, _HYP, _STATES, _GOAL, _HREACH, _FEAT) + "SELECT active, count(*)::BIGINT AS rows FROM (SELECT count(*)::BIGINT AS active FROM feat GROUP BY thm, step) GROUP BY active",
     "presence": f"WITH {_SUPF} SELECT entry, count(*)::BIGINT AS rows, count(DISTINCT thm)::BIGINT AS theorems FROM pr GROUP BY entry",
-    "cooccurrence": f"WITH {_SUPF}, p AS (SELECT x.entry AS a, y.entry AS b, count(*)::BIGINT AS pairs FROM pr x JOIN pr y ON x.thm = y.thm AND x.step = y.step AND x.entry <= y.entry WHERE x.entry < 16 AND y.entry < 16 GROUP BY ALL), d AS (SELECT a AS k, pairs AS d FROM p WHERE a = b) SELECT a, b, pairs, round(pairs / (x.d + y.d - pairs), 6) AS jaccard FROM p JOIN d x ON x.k = a JOIN d y ON y.k = b",
+    "cooccurrence": f"WITH {_SUPF}, p AS (SELECT x.entry AS a, y.entry AS b, count(*)::BIGINT AS pairs FROM pr x JOIN pr y ON x.thm = y.thm AND x.step = y.step AND x.entry <= y.entry WHERE x.entry < 128 AND y.entry < 128 GROUP BY ALL), d AS (SELECT a AS k, pairs AS d FROM p WHERE a = b) SELECT a, b, pairs, round(pairs / (x.d + y.d - pairs), 6) AS jaccard FROM p JOIN d x ON x.k = a JOIN d y ON y.k = b",
     "state_stats": _with(_EDGES, _HYP, _GOAL, _HREACH,
         "gs AS (SELECT root, max(distinct_) AS d, coalesce(sum(indegree), 0) AS refs FROM reach_size LEFT JOIN reach_in USING (root) GROUP BY root)",
         "hs AS (SELECT root, max(distinct_) AS d, coalesce(sum(indegree), 0) AS refs, count(*) FILTER (indegree > 1) / greatest(max(distinct_), 1) AS sf FROM hreach_size LEFT JOIN hreach_in USING (root) GROUP BY root)")

@@ -55,15 +55,26 @@ def closures(roots: DataFrame, edges: DataFrame, max_depth: int = 1000) -> DataF
         levels.append(now)
     out = None
     for now, kids in zip(reversed(levels), [None, *reversed(below)], strict=True):
-        own = now.select(F.col("node").alias("root"), "node", F.lit(1).cast("long").alias("paths"), F.lit(1).alias("depth"))
-        if kids is not None:
-            met = kids.join(out.withColumnRenamed("root", "child"), "child")
-            up = met.groupBy(F.col("parent").alias("root"), "node").agg(F.sum(F.col("m") * F.col("paths")).alias("paths"), (F.max("depth") + 1).alias("depth"))
-            own = own.unionByName(up)
-        out = settle(own)
+        out = settle(_upwards(now, kids, out))
     return out
 
 
+def _upwards(nodes: DataFrame, kids: DataFrame | None, known: DataFrame | None) -> DataFrame:
+    own = nodes.select(F.col("node").alias("root"), "node", F.lit(1).cast("long").alias("paths"), F.lit(1).alias("depth"))
+    if kids is None:
+        return own
+    met = kids.join(known.withColumnRenamed("root", "child"), "child")
+    up = met.groupBy(F.col("parent").alias("root"), "node").agg(F.sum(F.col("m") * F.col("paths")).alias("paths"), (F.max("depth") + 1).alias("depth"))
+    return own.unionByName(up)
+
+
+def extend(roots: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Closures of roots all of whose operands have closures in ``known``, in one step."""
+    now = roots.select(F.col("root").alias("node")).distinct()
+    kids = edges.join(now.select(F.col("node").alias("parent")), "parent", "left_semi").groupBy("parent", "child").agg(F.count("*").alias("m"))
+    return _upwards(now, kids, known)
+
+
 def closure(levels: DataFrame) -> DataFrame:
     """``root, node, paths, depth``: reachable nodes, all paths, and the longest."""
     return levels.groupBy("root", "node").agg(F.sum("paths").alias("paths"), F.max("depth").alias("depth"))

@@ -49,7 +49,7 @@ def _edges(t: Tables) -> DataFrame:
 
 def _reach(t: Tables) -> DataFrame:
     if "reach" not in t.kept:
-        t.kept["reach"] = G.closures(A.roots(t), _edges(t), DEPTH)
+        t.kept["reach"] = settle(G.extend(A.roots(t), _edges(t), _hyp_reach(t)))
     return t.kept["reach"]
 
 

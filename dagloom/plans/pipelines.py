@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import label_of
+from ..operators.tables import settle
 from ..operators import evaluate as V
 from ..operators import features as X
 from ..operators import identity as I
@@ -57,13 +58,13 @@ def fit_vocabulary(exprs: DataFrame, roots: DataFrame, cfg: FitConfig = FitConfi
     refs = exprs.select("thm", F.col("id").alias("parent"), F.explode("refs").alias("child"))
     reach = roots.select("thm", "root", F.col("root").alias("node"))
     level = reach
-    for _ in range(max(cfg.depths) * 4):
-        level = level.join(refs, (level.thm == refs.thm) & (level.node == refs.parent)).select(level.thm, "root", F.col("child").cast("long").alias("node")).distinct()
+    while True:  # operands come before their users, so this ends
+        level = settle(level.join(refs, (level.thm == refs.thm) & (level.node == refs.parent)).select(level.thm, "root", F.col("child").cast("long").alias("node")).distinct())
         if level.isEmpty():
             break
         reach = reach.unionByName(level.select("thm", F.col("root").cast("long").alias("root"), "node"))
     inc = S.incidence(reach.distinct().join(frags.select("thm", F.col("anchor").alias("node"), F.col("ident").alias("shape")), ["thm", "node"]))
-    cost = {r.ident: r.positions * 2 * X.NODE_KINDS for r in good.select("ident", "positions").orderBy(F.desc("theorems"), "ident").limit(max(1, cfg.dims // (2 * X.NODE_KINDS))).collect()}
+    cost = {r.ident: r.positions * 2 * X.NODE_KINDS for r in good.select("ident", "positions").collect()}  # every eligible shape: rare ones may be the only ones of a root
     cover = S.greedy_cover(inc, cost) if cost else []
     chosen, used = [], 0
     for x in [*cover, *sorted(set(cost) - set(cover))]:
@@ -143,10 +144,21 @@ def analyze(exprs: DataFrame, store: Store, radii: tuple[int, ...] = (1, 2, 3))
 
 
 def pattern_coverage(counts: DataFrame, ranks: int = 1500) -> DataFrame:
-    """Share of occurrences that the commonest patterns make, by radius and flavour."""
-    w = Window.partitionBy("radius", "flavour").orderBy(F.desc("n"), "digest")
-    total = F.sum("n").over(Window.partitionBy("radius", "flavour"))
-    run = counts.select("radius", "flavour", F.row_number().over(w).alias("rank"), (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total).alias("share"))
-    return run.where(F.col("rank") <= ranks)
-
+    """Share of occurrences that the commonest patterns make, by radius and flavour.
 
+    Patterns of equal counts are one row of a histogram, whose cumulative sums give
+    the share at any rank; it is given at up to ``ranks`` ranks that grow
+    geometrically from 1 to the number of patterns, the last one included.
+    """
+    by = ["radius", "flavour"]
+    hist = counts.groupBy(*by, "n").agg(F.count("*").alias("k"))
+    w = Window.partitionBy(*by).orderBy(F.desc("n"))
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumns({"last": F.sum("k").over(run), "mass": F.sum(F.col("k") * F.col("n")).over(run)})
+    whole = Window.partitionBy(*by)
+    hist = hist.withColumns({"all": F.max("last").over(whole), "total": F.max("mass").over(whole)})
+    step = F.when(F.lit(ranks) > 1, F.pow("all", F.lit(1.0 / max(ranks - 1, 1)))).otherwise(F.lit(1.0))
+    points = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(ranks - 1)), lambda i: F.least(F.col("all"), F.round(F.pow(step, i)).cast("long"))))
+    at = hist.select(*by, "all").distinct().select(*by, F.explode(F.array_union(points, F.array("all"))).alias("rank"))
+    met = at.join(hist, by).where((F.col("rank") > F.col("last") - F.col("k")) & (F.col("rank") <= F.col("last")))
+    return met.select(*by, "rank", ((F.col("mass") - (F.col("last") - F.col("rank")) * F.col("n")) / F.col("total")).alias("share"))

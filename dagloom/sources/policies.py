@@ -25,6 +25,11 @@ class LabelPolicy:
     other_label: str | None = None
 
     def __post_init__(self):
+        if not isinstance(self.kinds, dict) or not self.kinds:
+            raise ValueError("kinds: expected a mapping of one kind or more")
+        for k, v in {**self.kinds, **({"other_label": self.other_label} if self.other_label is not None else {})}.items():
+            if not (isinstance(k, str) and k and isinstance(v, str) and v):
+                raise ValueError(f"kinds and labels must be non-empty texts: {k!r}, {v!r}")
         if self.unmapped not in ("error", "drop", "other"):
             raise ValueError(f"unmapped: {self.unmapped}")
         if (self.unmapped == "other") != (self.other_label is not None):

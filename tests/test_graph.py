@@ -89,6 +89,8 @@ def test_closures_equal_paths(spark):
     roots = spark.createDataFrame([(k,) for k in (29, 28, 5, 0, 99)], "root long")
     key = lambda df: sorted((x.root, x.node, x.paths, x.depth) for x in df.collect())
     assert key(G.closures(roots, edges)) == key(G.closure(G.path_levels(roots, edges, 40)))
+    inner = G.closures(edges.select(edges.child.alias("root")), edges)
+    assert key(G.extend(roots, edges, inner)) == key(G.closures(roots, edges))
     with pytest.raises(ValueError):
         G.closures(roots, edges, 2)
     with pytest.raises(ValueError):

@@ -194,3 +194,33 @@ def test_shared_folder_has_a_scheme(spark, tmp_path):
     assert tables.qualified(spark, str(tmp_path)) == f"file://{tmp_path}"
     assert tables.qualified(spark, f"file:{tmp_path}/") == f"file://{tmp_path}"
     assert "://" in tables.shared_dir(spark)
+
+
+def test_pattern_coverage_takes_geometric_ranks_over_all(spark):
+    from dagloom.plans.pipelines import pattern_coverage
+
+    n = [int(1000 / (k + 1)) + 1 for k in range(400)]
+    d = spark.createDataFrame([(1, 0, f"p{k}", x) for k, x in enumerate(n)], "radius int, flavour int, digest string, n long")
+    got = {r["rank"]: r.share for r in pattern_coverage(d, 20).collect()}
+    assert max(got) == 400 and 1 in got and 10 <= len(got) <= 21 and got[400] == pytest.approx(1)
+    for rank, share in got.items():
+        assert share == pytest.approx(sum(sorted(n, reverse=True)[:rank]) / sum(n))
+
+
+def test_vocabulary_covers_deep_roots_and_rare_shapes(spark):
+    from dagloom.plans.pipelines import FitConfig, fit_vocabulary
+
+    rows = []
+    for t in range(4):  # a chain of 30 nodes, its leaf a shape of its own
+        rows += [(f"t{t}", k, "App" if k else "Const", [k - 1] if k else []) for k in range(30)]
+        rows += [(f"t{t}", 30, "App", [0, 0, 0]), (f"t{t}", 31, "App", [29, 30])]
+    exprs = spark.createDataFrame(rows, "thm string, id long, kind string, refs array<long>")
+    roots = spark.createDataFrame([(f"t{t}", k) for t in range(4) for k in (31, 0)], "thm string, root long")
+    got = fit_vocabulary(exprs, roots, FitConfig(depths=(1, 2), min_support=2, dims=60))
+    assert "[[]]" in {r.edges for r in got.collect()}
+
+
+@pytest.mark.parametrize("text", ['{"kinds":{}}', '{"kinds":{"":"a"}}', '{"kinds":{"k":""}}', '{"kinds":{"k":1}}', '{"kinds":["k"]}', '{"kinds":{"k":"a"},"unmapped":"other","other_label":""}'])
+def test_policies_without_kinds_or_labels_are_rejected(text):
+    with pytest.raises(ValueError):
+        parse_policy(text)

@@ -9,6 +9,8 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of one batch between Spark and Python, about.
+BATCH_BYTES = 4 << 20
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g", app: str = "dagloom") -> SparkSession:
@@ -28,7 +30,15 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
+    """Send this package to the Python workers, once per application.
+
+    Batches between Spark and Python are bounded by bytes, as texts may be long:
+    executors hold them on both sides.  A session's own smaller bound is kept.
+    """
+    bound = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m").lower().rstrip("b")
+    size = int(bound.rstrip("kmg") or 0) << {"k": 10, "m": 20, "g": 30}.get(bound[-1:], 0)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

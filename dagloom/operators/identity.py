@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame
 VARIABLES = frozenset(["Fvar", "ExprMvar"])
 
 
+_text = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
+
+
 def digest(value) -> bytes:
     """SHA-256 of a value's canonical text."""
-    return hashlib.sha256(json.dumps(value, separators=(",", ":"), ensure_ascii=False).encode()).digest()
+    return hashlib.sha256(_text(value).encode()).digest()
 
 
 def region(refs: dict[int, list[int]], root: int, radius: int | None = None) -> tuple[list[int], list]:
@@ -68,11 +71,11 @@ def labelled_topology(refs: dict[int, list[int]], kinds: dict[int, str], root: i
     return digest([[kinds[n], e] for n, e in zip(nodes, edges, strict=True)])
 
 
-def _levels(value):
+def levels(value):
     """A payload with the level metavariables within it as variables ``("level", id)``."""
     if isinstance(value, dict):
-        return Variable("level", value["mvar"]) if value.keys() == {"mvar"} else [[k, _levels(v)] for k, v in value.items()]
-    return [_levels(v) for v in value] if isinstance(value, list | tuple) else value
+        return Variable("level", value["mvar"]) if value.keys() == {"mvar"} else [[k, levels(v)] for k, v in value.items()]
+    return [levels(v) for v in value] if isinstance(value, list | tuple) else value
 
 
 class Variable(tuple):
@@ -94,7 +97,7 @@ def _numbered(value, number: dict[Variable, int]):
     return [_numbered(v, number) for v in value] if isinstance(value, list | tuple) else value
 
 
-def alpha_identities(nodes: dict[int, tuple]) -> dict[int, bytes]:
+def alpha_identities(nodes: dict[int, tuple], leaves: dict | None = None) -> dict[int, bytes]:
     """Identity of every node up to renaming of variables, operands before their users.
 
     ``nodes[id]`` is (kind, payload, refs); the payload is all that tells nodes of
@@ -102,12 +105,20 @@ def alpha_identities(nodes: dict[int, tuple]) -> dict[int, bytes]:
     by first use below it, and its digest is made of its payload and, for every
     operand, that one's digest and which of the node's numbers its variables have.
     So each node is digested once, ``f x x`` and ``f x y`` differ, and ``f x y`` and
-    ``f y x`` are the same.
+    ``f y x`` are the same.  ``leaves`` keeps identities of nodes without operands
+    from call to call.
     """
     out: dict[int, bytes] = {}
     own: dict[int, list[Variable]] = {}
     for n in sorted(nodes):
         kind, payload, refs = nodes[n]
+        if leaves is not None and not refs:
+            own[n] = [Variable(kind, payload)] if kind in VARIABLES else list(dict.fromkeys(_variables(payload)))
+            key = (kind, None if kind in VARIABLES else _text(_numbered(payload, {v: k for k, v in enumerate(own[n])})), len(own[n]))
+            if (known := leaves.get(key)) is None:
+                known = leaves[key] = alpha_identities({n: nodes[n]})[n]
+            out[n] = known
+            continue
         data = Variable(kind, payload) if kind in VARIABLES else payload
         used = dict.fromkeys(_variables([data]))
         for c in refs:
@@ -177,7 +188,7 @@ def _payloads(df: pd.DataFrame) -> list[list]:
         if c in df:
             plain = [None if x is None or x is pd.NA or isinstance(x, float) and x != x else x for x in df[c]]
             if c == "level":
-                plain = [None if x is None else _levels(json.loads(x)) for x in plain]
+                plain = [None if x is None else levels(json.loads(x)) for x in plain]
             elif c == "names":
                 plain = [None if x is None else list(x) for x in plain]
             elif c == "idx":
@@ -188,6 +199,11 @@ def _payloads(df: pd.DataFrame) -> list[list]:
     return [list(x) for x in zip(*columns, strict=True)] if columns else [[] for _ in range(len(df))]
 
 
+def node(kind: str, payload: list, refs: list[int]) -> tuple:
+    """A node as :func:`alpha_identities` takes it; a variable is told by its payload."""
+    return kind, json.dumps(payload) if kind in VARIABLES else payload, refs
+
+
 def identities(exprs: DataFrame) -> DataFrame:
     """``thm, id, alpha, topology, labelled`` of every node.
 
@@ -199,7 +215,7 @@ def identities(exprs: DataFrame) -> DataFrame:
         refs = _table(df)
         kinds = dict(zip(df["id"].astype(int), df["kind"], strict=True))
         payload = dict(zip(df["id"].astype(int), _payloads(df), strict=True))
-        nodes = {n: (kinds[n], json.dumps(payload[n]) if kinds[n] in VARIABLES else payload[n], refs[n]) for n in refs}
+        nodes = {n: node(kinds[n], payload[n], refs[n]) for n in refs}
         at, alpha = sorted(refs), alpha_identities(nodes)
         return pd.DataFrame({"thm": df["thm"].iloc[0], "id": at, "alpha": [alpha[n].hex() for n in at], "topology": [topology(refs, n).hex() for n in at], "labelled": [labelled_topology(refs, kinds, n).hex() for n in at]})
 
@@ -207,18 +223,24 @@ def identities(exprs: DataFrame) -> DataFrame:
     return exprs.groupBy("thm").applyInPandas(one, f"thm {kind}, id long, alpha string, topology string, labelled string")
 
 
+def patterns(refs: dict[int, list[int]], kinds: dict[int, str], anchors: Iterable[int], radii: Iterable[int]) -> list[tuple[int, int, int, str]]:
+    """``id, radius, flavour, digest`` of every anchor's bounded signatures."""
+    rows = []
+    for n in anchors:
+        for r in radii:
+            nodes, edges = region(refs, n, r)
+            rows.append((n, r, 0, digest(["*" if e is None else e for e in edges]).hex()))
+            rows.append((n, r, 1, digest([[kinds[m], "*" if e is None else e] for m, e in zip(nodes, edges, strict=True)]).hex()))
+    return rows
+
+
 def local_patterns(exprs: DataFrame, radii: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """``thm, id, radius, flavour, digest``: bounded signatures, plain (0) and with kinds (1)."""
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
         refs = _table(df)
         kinds = dict(zip(df["id"].astype(int), df["kind"], strict=True))
-        rows = []
-        for n in sorted(refs):
-            for r in radii:
-                nodes, edges = region(refs, n, r)
-                rows.append((n, r, 0, digest(["*" if e is None else e for e in edges]).hex()))
-                rows.append((n, r, 1, digest([[kinds[m], "*" if e is None else e] for m, e in zip(nodes, edges, strict=True)]).hex()))
+        rows = patterns(refs, kinds, sorted(refs), radii)
         out = pd.DataFrame(rows, columns=["id", "radius", "flavour", "digest"])
         out.insert(0, "thm", df["thm"].iloc[0])
         return out

@@ -1,11 +1,18 @@
 """Queries and kernels on what the smallest tables do not hold."""
 
+import os
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from dagloom.operators import graph as G
+from dagloom.operators import graph as G, identity as I, totals as T
+from dagloom.operators.views import view_rows
 from dagloom.plans import catalog, oracle
 
+DATA = os.environ.get("DAGLOOM_TEST_DATA", "/root/testdata/sf0.001")
+
 
 def test_bounded_paths_leave_out_longer_ones(spark):
     edges = spark.createDataFrame([(3, 0, 2), (3, 1, 1), (2, 0, 1), (1, 0, 0)], "parent long, pos int, child long")
@@ -24,3 +31,54 @@ def test_sums_of_keys_whose_products_pass_64_bits(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
     assert sorted(map(tuple, got)) == sorted(c.sql(oracle.SQL["overflow_safe_sum"]).fetchall())
+
+
+def _random_theorems(spark):
+    """Node rows with sharing, unreached nodes, literals, variables, levels and rule heads; and some alike but for numbering."""
+    r = random.Random(3)
+    rows = []
+    for thm in range(40):
+        step, n = r.choice([1, 3]), r.randrange(1, 14)
+        made = []
+        for k in range(n):
+            refs = [r.randrange(k) * step for _ in range(r.randrange(4))] if k else []
+            kind = "App" if refs else r.choice(["Const", "Fvar", "Sort", "ExprMvar"])
+            name = r.choice(["Coe.coe", "Neg.neg", "Int.ofNat", "x", "y"]) if kind == "Const" else None
+            level = r.choice(['{"mvar":1}', '{"mvar":2}', '{"succ":{"mvar":1}}', '"z"']) if kind == "Sort" else None
+            made.append((k * step, kind, name, r.randrange(3) if kind in ("Fvar", "ExprMvar") else None, level, refs))
+        rows += [(thm, *x) for x in made] + [(thm + 100, *x) for x in made]
+        r.shuffle(rows)
+    return spark.createDataFrame(rows, "thm long, id long, kind string, name string, idx long, level string, refs array<long>")
+
+
+def test_totals_equal_rows_of_every_theorem(spark):
+    exprs = _random_theorems(spark).repartition(3)
+    graphs = T.gather(exprs)
+    key = lambda df, like: sorted(map(tuple, df.select(*like.columns).collect()), key=str)
+
+    def same(got, want):
+        assert key(got, want) == key(want, want)
+
+    same(T.fragment_totals(graphs, (1, 2, 9)), I.mine_fragments(exprs, (1, 2, 9)).groupBy("depth", "ident").agg(F.count("*").alias("occurrences"), F.count_distinct("thm").alias("theorems"), F.max(F.size("nodes")).alias("positions")))
+    same(T.pattern_totals(graphs, (1, 3)), I.local_patterns(exprs, (1, 3)).groupBy("radius", "flavour", "digest").agg(F.count("*").alias("n")))
+    each = I.identities(exprs)
+    same(T.signature_totals(graphs), each.groupBy("topology", "labelled").agg(F.count("*").alias("n")))
+    same(T.alpha_totals(graphs), each.groupBy("alpha").agg(F.count("*").alias("n"), F.count_distinct("thm").alias("theorems"), F.min("topology").alias("topology")))
+    short = exprs.select("thm", "id", "kind", "name", F.when(F.col("kind") == "App", F.concat(F.col("refs"), F.col("refs"), F.col("refs"))).otherwise(F.col("refs")).alias("refs"))
+    same(T.view_totals(T.gather(short)), view_rows(short).groupBy("view").agg(F.count("refs").alias("nodes"), F.sum(F.coalesce(F.size("refs"), F.lit(0))).alias("refs"), F.count_if(F.col("alias") != F.col("id")).alias("aliased")))
+
+
+def test_theorems_that_differ_by_numbering_are_worked_out_once():
+    a = T.shape([0, 1, 2, 3], {0: [], 1: [], 2: [0, 1], 3: [2]}, dict.fromkeys(range(4), "k"))
+    b = T.shape([0, 5, 7, 8], {0: [], 5: [], 7: [5, 0], 8: [7]}, dict.fromkeys((0, 5, 7, 8), "k"))
+    c = T.shape([0, 1, 2, 3], {0: [], 1: [], 2: [0, 0], 3: [2]}, dict.fromkeys(range(4), "k"))
+    assert a[0] == b[0] != c[0] and a[1] == [3, 2, 0, 1] and b[1] == [8, 7, 5, 0]
+    assert T.shape([0, 1], {0: [], 1: [0]}, {0: "k", 1: "k"})[0] != T.shape([0, 1], {0: [], 1: [0]}, {0: "j", 1: "k"})[0]
+
+
+@pytest.mark.parametrize("name", ["fragments", "alpha_identities", "topology_signatures", "local_patterns", "rewritten_views"])
+def test_many_theorems_make_few_rows(spark, name):
+    """No theorem is a Python group of its own: one plan node reads them in batches."""
+    df = catalog.queries()[name](spark, DATA)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan

@@ -4,10 +4,11 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dagloom.operators import graph as G, identity as I, totals as T
+from dagloom.operators import graph as G, identity as I, models as M, totals as T
 from dagloom.operators.views import view_rows
 from dagloom.plans import catalog, oracle
 
@@ -82,3 +83,38 @@ def test_many_theorems_make_few_rows(spark, name):
     df = catalog.queries()[name](spark, DATA)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def _sparse(rows, width, density, seed=0):
+    r = np.random.default_rng(seed)
+    dense = r.normal(size=(rows, width)) * (r.random((rows, width)) < density)
+    at = [np.flatnonzero(x) for x in dense]
+    col = np.concatenate(at).astype(np.int64)
+    return dense, M.Sparse(np.concatenate(([0], np.cumsum([len(a) for a in at]))), col, np.concatenate([x[a] for x, a in zip(dense, at, strict=True)]), width, np.arange(rows) % 3)
+
+
+@pytest.mark.parametrize("density", [0.0, 0.02, 0.9])
+def test_products_go_block_by_block(density, monkeypatch):
+    dense, x = _sparse(300, 40, density)
+    w, g = np.random.default_rng(1).normal(size=(40, 5)), np.random.default_rng(2).normal(size=(300, 5))
+    for block in (1, 97, 1 << 20):
+        monkeypatch.setattr(M, "BLOCK", block)
+        assert np.allclose(x.dot(w), dense @ w) and np.allclose(x.outer(g), dense.T @ g)
+        assert np.allclose(M.max_abs(x), np.where(np.abs(dense).max(0) > 0, np.abs(dense).max(0), 1))
+        model = M.Mlp([(w, np.zeros(5)), (np.eye(5), np.zeros(5))], np.ones(40))
+        assert np.allclose(model.probabilities(x), M.softmax(np.maximum(dense @ w, 0)))
+
+
+def test_a_matrix_lies_in_files(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK_ROWS", 7)
+    rows = [(k, c, float(k + c)) for k in range(100) for c in range(k % 4)]
+    f = spark.createDataFrame(rows, "row long, col int, val float").repartition(5)
+    labels = spark.createDataFrame([(k, k % 3) for k in reversed(range(100)) if k % 5], "row long, label long")
+    x = M.load_matrix(f, labels, 4)
+    kept = [k for k in range(100) if k % 5]
+    assert x.label.tolist() == [k % 3 for k in kept] and np.diff(x.ptr).tolist() == [k % 4 for k in kept]
+    assert [*zip(x.col.tolist(), x.val.tolist(), strict=True)] == [(c, v) for k, c, v in rows if k % 5]
+    assert isinstance(x.col, np.memmap) and isinstance(x.val, np.memmap)
+    assert len(M.load_matrix(f, labels.limit(0), 4)) == 0
+    with pytest.raises(ValueError):
+        M.load_matrix(f, labels, 4, 10)

@@ -202,10 +202,12 @@ class Logistic:
     scale: np.ndarray
 
     def probabilities(self, x: Sparse) -> np.ndarray:
-        x = Sparse(x.ptr, x.col, x.val / self.scale[x.col], x.width, x.label)
-        p = 1 / (1 + np.exp(-np.clip(x.dot(self.w) + self.b, -500, 500)))
-        s = p.sum(1, keepdims=True)
-        return np.where(s > 0, p / np.where(s > 0, s, 1), 1 / p.shape[1])
+        out = np.zeros((len(x), self.w.shape[1]))
+        for lo, part in x.blocks(self.w.shape[1]):
+            p = 1 / (1 + np.exp(-np.clip(part.scaled(self.scale).dot(self.w) + self.b, -500, 500)))
+            s = p.sum(1, keepdims=True)
+            out[lo : lo + len(part)] = np.where(s > 0, p / np.where(s > 0, s, 1), 1 / p.shape[1])
+        return out
 
 
 def max_abs(x: Sparse) -> np.ndarray:
@@ -219,13 +221,13 @@ def max_abs(x: Sparse) -> np.ndarray:
 def fit_logistic(train: Sparse, valid: Sparse, classes: int, alpha: float = 1e-4, epochs: int = 5, patience: int = 5, min_delta: float = 1e-4, batch: int = 8192, l2: bool = True, rate: float = 0.5, seed: int = 0) -> tuple[Logistic, History]:
     """Stochastic gradient descent; the snapshot of the lowest validation loss is kept."""
     scale = max_abs(train)
-    x = Sparse(train.ptr, train.col, train.val / scale[train.col], train.width, train.label)
+    x = train
     w, b, rng = np.zeros((x.width, classes)), np.zeros(classes), np.random.default_rng(seed)
     history, best, step = History(patience, min_delta), None, 0
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for lo in range(0, len(order), min(batch, max(1, len(order)))):
-            part = x.take(order[lo : lo + batch])
+            part = x.take(order[lo : lo + batch]).scaled(scale)
             y = np.eye(classes)[part.label]
             g = (1 / (1 + np.exp(-np.clip(part.dot(w) + b, -500, 500))) - y) / len(part)
             eta = rate / (1 + alpha * rate * step) * max(1.0, np.sqrt(len(part)))

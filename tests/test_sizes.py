@@ -103,6 +103,9 @@ def test_products_go_block_by_block(density, monkeypatch):
         assert np.allclose(M.max_abs(x), np.where(np.abs(dense).max(0) > 0, np.abs(dense).max(0), 1))
         model = M.Mlp([(w, np.zeros(5)), (np.eye(5), np.zeros(5))], np.ones(40))
         assert np.allclose(model.probabilities(x), M.softmax(np.maximum(dense @ w, 0)))
+        one = M.Logistic(w, np.zeros(5), np.ones(40)).probabilities(x)
+        sure = 1 / (1 + np.exp(-dense @ w))
+        assert np.allclose(one, sure / sure.sum(1, keepdims=True))
 
 
 def test_a_matrix_lies_in_files(spark, monkeypatch):

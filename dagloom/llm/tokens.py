@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,8 @@ class Encoder:
     def clear(self) -> None:
         self.known.clear()
         self.flat = np.empty(1 << 16, np.uint32)
-        self.size = 0
-        self.start: list[int] = []
+        self.size = self.count = 0
+        self.start = np.zeros(1 << 16, np.int64)  # where each chunk's ids begin, and after them where the last one's end
 
     def _raw(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.t.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -80,14 +81,20 @@ class Encoder:
         return out
 
     def _add(self, chunks: list[str], ids: list[list[int]]) -> None:
-        for c, x in zip(chunks, ids, strict=True):
-            self.known[c] = len(self.start)
-            self.start.append(self.size)
-            need = self.size + len(x)
-            if need > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty(max(len(self.flat), len(x)), np.uint32)))
-            self.flat[self.size : need] = x
-            self.size = need
+        if not chunks:
+            return
+        first = self.count
+        known = self.known
+        for k, c in enumerate(chunks, first):
+            known[c] = k
+        ends = self.size + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        if first + len(chunks) >= len(self.start):
+            self.start = np.concatenate((self.start, np.zeros(max(len(self.start), len(chunks)), np.int64)))
+        if ends[-1] > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty(max(len(self.flat), int(ends[-1]) - self.size), np.uint32)))
+        self.flat[self.size : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) - self.size)
+        self.start[first + 1 : first + 1 + len(chunks)] = ends
+        self.size, self.count = int(ends[-1]), first + len(chunks)
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode unknown chunks; a trailing punctuation mark is a pre-token of its own."""
@@ -112,7 +119,7 @@ class Encoder:
 
     def _ids(self, chunk: str) -> np.ndarray:
         k = self.known[chunk]
-        return self.flat[self.start[k] : self.start[k + 1] if k + 1 < len(self.start) else self.size].tolist()
+        return self.flat[self.start[k] : self.start[k + 1]].tolist()
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin (one more entry)."""
@@ -145,7 +152,7 @@ class Encoder:
         if len(missing):
             self._learn([chunks[k] for k in missing])
             found[missing] = [get(chunks[k]) for k in missing]
-        start = np.array([*self.start, self.size], np.int64)
+        start = self.start
         kind = found[code]
         a = start[kind]
         n = start[kind + 1] - a

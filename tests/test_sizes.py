@@ -121,3 +121,19 @@ def test_a_matrix_lies_in_files(spark, monkeypatch):
     assert len(M.load_matrix(f, labels.limit(0), 4)) == 0
     with pytest.raises(ValueError):
         M.load_matrix(f, labels, 4, 10)
+
+
+def test_an_encoder_that_grows_gives_the_library_s_ids():
+    import pyarrow as pa
+    from dagloom.llm.tokens import BYTE_BPE, WORD_BPE, Encoder, tokenizer_path
+
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdeäß1.,", k=r.randrange(1, 13))) for _ in range(90_000)]
+    for name in (WORD_BPE, BYTE_BPE):
+        e = Encoder(tokenizer_path(name))
+        for lo in (0, 30_000, 0, 60_000):
+            texts = [" ".join(words[k : k + 100]) for k in range(lo, lo + 30_000, 100)]
+            ids, at = e.encode(pa.array(texts))
+            want = e._raw(texts)
+            assert ids.tolist() == [x for w in want for x in w] and np.diff(at).tolist() == [len(w) for w in want]
+        assert isinstance(e.start, np.ndarray) and len(e.known) > 1 << 16

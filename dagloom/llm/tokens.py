@@ -4,8 +4,10 @@ Both tokenizers cut a text before they merge, and never across the boundaries
 used here, so every distinct chunk of a batch is encoded once by the tokenizers
 library and its ids are laid out by index.  Texts with white space that such a
 cut would change, and texts that hold the wording of a special token, are
-encoded whole.  Special tokens' wording gives their ids, as the library does by
-default; ``plain`` reads it as ordinary text instead.
+encoded whole.  For the word tokenizer, words of plain letters skip its normalizer
+and its regex, which leave them as they are.  Special tokens' wording gives
+their ids, as the library does by default; ``plain`` reads it as ordinary text
+instead.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import os
 import re
 import sys
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,48 @@ END_ID = 2
 _PUNCT = frozenset(".,!?;:|*%&$#)")
 _BLANKS = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _ODD = f"{_BLANKS} (?:{_BLANKS}|$)"
+#: Words that the word tokenizer's normalizer leaves as they are, and that are one pre-token each.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: Letters of one byte; second bytes of letters after byte C3 (À to ÿ); marks that a word never goes on with; blanks.
+_LETTER, _LATIN, _MARK, _BLANK = np.zeros((4, 256), bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_LATIN[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+_MARK[[x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'"]] = True
+_BLANK[[*range(9, 14), 32]] = True
+
+
+def _shown(words: str) -> str:
+    """Words of :data:`_PLAIN` letters as byte-level vocabularies write their bytes."""
+    if words.isascii():
+        return words
+    return words.encode().decode("latin-1").replace("\x9f", "\u0141").replace("\xa0", "\u0142").replace("\xad", "\u0143")
+
+
+def apart(text: pa.Array) -> pa.Array:
+    """``text`` with a blank between words of plain letters and the marks that end them.
+
+    The word tokenizer cuts between a letter and a mark anyway.
+    """
+    text = text.cast(pa.large_string())
+    if not len(text):
+        return text
+    _, offsets, data = text.buffers()
+    at = np.frombuffer(offsets, np.int64, len(text) + 1, 8 * text.offset)
+    if at[0] == at[-1]:
+        return text
+    b = np.frombuffer(data, np.uint8, at[-1] - at[0], at[0])
+    letter = _LETTER[b]
+    latin = _LATIN[b[1:]] & (b[:-1] == 0xC3)
+    letter[1:] |= latin
+    mark = _MARK[b]
+    cuts = np.flatnonzero(letter[:-1] & mark[1:]) + 1
+    letter[:-1] |= latin
+    other, ends = np.concatenate(([-1], np.flatnonzero(~letter))), np.append(np.flatnonzero(mark[:-1] & ~mark[1:]) + 1, len(b))
+    before, after = other[np.searchsorted(other, cuts) - 1], ends[np.searchsorted(ends, cuts, "right")]
+    cuts = cuts[((before < 0) | _BLANK[b[before]]) & ((after == len(b)) | _BLANK[b[np.minimum(after, len(b) - 1)]])]
+    at = at - at[0]
+    at = at + np.searchsorted(cuts, at)
+    return pa.Array.from_buffers(pa.large_string(), len(text), [None, pa.py_buffer(at), pa.py_buffer(np.insert(b, cuts, np.uint8(32)))])
 
 
 def tokenizer_path(name: str) -> str:
@@ -55,6 +99,12 @@ class Encoder:
             vocab = self.t.get_vocab()
             self.last = np.zeros(max(vocab.values()) + 1, bool)
             self.last[[k for w, k in vocab.items() if w.endswith("</w>")]] = True
+        self.bare = None  # the same model for words that need no more than a cut at blanks
+        if os.path.basename(path) == WORD_BPE:
+            from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+            self.bare = Tokenizer(self.t.model)  # shared, not loaded again
+            self.bare.pre_tokenizer = CharDelimiterSplit(" ")
         self.clear()
 
     def clear(self) -> None:
@@ -66,6 +116,18 @@ class Encoder:
     def _raw(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.t.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _plain(self, words: list[str]) -> None:
+        """Learn words that :data:`_PLAIN` matches, by the model alone."""
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            lines = [_shown(" ".join(part[j : j + 256])) for j in range(0, len(part), 256)]
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)), np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self._keep(part, ids, ends)
+            else:
+                self._add(part, self._raw(part))
+
     def _words(self, words: list[str]) -> list[list[int]]:
         """As :meth:`_raw` for words of letters only: many in one text, cut where words end."""
         out: list[list[int]] = []
@@ -81,23 +143,29 @@ class Encoder:
         return out
 
     def _add(self, chunks: list[str], ids: list[list[int]]) -> None:
-        if not chunks:
-            return
+        if chunks:
+            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            self._keep(chunks, np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1])), ends)
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Keep chunks whose ids lie one after another in ``ids``, up to ``ends``."""
         first = self.count
-        known = self.known
-        for k, c in enumerate(chunks, first):
-            known[c] = k
-        ends = self.size + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        ends = self.size + ends
         if first + len(chunks) >= len(self.start):
             self.start = np.concatenate((self.start, np.zeros(max(len(self.start), len(chunks)), np.int64)))
         if ends[-1] > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty(max(len(self.flat), int(ends[-1]) - self.size), np.uint32)))
-        self.flat[self.size : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.uint32, int(ends[-1]) - self.size)
+        self.flat[self.size : ends[-1]] = ids
         self.start[first + 1 : first + 1 + len(chunks)] = ends
         self.size, self.count = int(ends[-1]), first + len(chunks)
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode unknown chunks; a trailing punctuation mark is a pre-token of its own."""
+        if self.bare:
+            easy = [(c.isascii() and c.isalpha()) or _PLAIN.fullmatch(c) is not None for c in chunks]
+            self._plain(list(compress(chunks, easy)))
+            chunks = [c for c, x in zip(chunks, easy, strict=True) if not x]
         whole, stems, joined = [], {}, []
         for c in chunks:
             if len(c) > 2 and c[-1] in _PUNCT and c[-2].isalpha():
@@ -127,11 +195,11 @@ class Encoder:
             self.clear()
         ways = [x for x in (_ODD if self.spaced else "", self.special) if x]
         odd = np.flatnonzero(pc.match_substring_regex(text, "|".join(ways)).to_numpy(zero_copy_only=False)) if ways else np.empty(0, np.int64)
-        lists = pc.split_pattern(text, " ") if self.spaced else pc.ascii_split_whitespace(pc.ascii_lower(text))
+        lists = pc.split_pattern(text, " ") if self.spaced else pc.ascii_split_whitespace(pc.ascii_lower(apart(text) if self.bare else text))
         bounds = lists.offsets.to_numpy()
         bounds = bounds - bounds[0]
         coded = lists.flatten().dictionary_encode()
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        words, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
         if self.spaced:  # all but a text's first chunk begin with the space
             first = np.zeros(len(code), bool)
             first[bounds[:-1][bounds[1:] > bounds[:-1]]] = True
@@ -143,7 +211,7 @@ class Encoder:
         else:
             chunks = words
         get = self.known.get
-        found = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
+        found = np.fromiter(map(get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(found < 0)
         if self.spaced and len(missing):  # a chunk may only be the space of one that no text has
             used = np.zeros(len(chunks), bool)
@@ -157,7 +225,9 @@ class Encoder:
         a = start[kind]
         n = start[kind + 1] - a
         ends = np.concatenate(([0], np.cumsum(n)))
-        ids = self.flat[np.repeat(a - ends[:-1], n) + np.arange(ends[-1])]
+        place = np.repeat(a - ends[:-1], n)
+        place += np.arange(ends[-1])
+        ids = self.flat[place]
         at = ends[bounds]
         if len(odd):
             whole = self._raw(text.take(pa.array(odd)).to_pylist())

@@ -137,3 +137,16 @@ def test_an_encoder_that_grows_gives_the_library_s_ids():
             want = e._raw(texts)
             assert ids.tolist() == [x for w in want for x in w] and np.diff(at).tolist() == [len(w) for w in want]
         assert isinstance(e.start, np.ndarray) and len(e.known) > 1 << 16
+
+
+def test_plain_words_are_learnt_by_the_model_alone_and_without_their_marks():
+    import pyarrow as pa
+    from dagloom.llm.tokens import WORD_BPE, Encoder, tokenizer_path
+
+    text = "Anblewh anblewh, über über. zuß### (àéÿ) anblewh!! a.b-c,über"
+    e = Encoder(tokenizer_path(WORD_BPE))
+    want, whole, given = e._raw([text, ""]), e._raw, []
+    e._raw = lambda chunks: given.extend(chunks) or whole(chunks)
+    ids, at = e.encode(pa.array([text, ""]))
+    assert ids.tolist() == want[0] and at.tolist() == [0, len(want[0]), len(want[0])]
+    assert sorted(given) == ["", "!!", "###", "(àéÿ", ")", ",", ".", "a.b-c,über"] and "anblewh," not in e.known

@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import unicodedata
 from itertools import chain, compress, repeat
 
 import numpy as np
@@ -39,6 +40,11 @@ _MARK[[x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'"]] = T
 _BLANK[[*range(9, 14), 32]] = True
 
 
+def _letter(c: str) -> bool:
+    """Whether a letter still ends in a letter once it is composed and lower-cased."""
+    return c.isalpha() and (c.isascii() or unicodedata.normalize("NFC", c).lower()[-1].isalpha())
+
+
 def _shown(words: str) -> str:
     """Words of :data:`_PLAIN` letters as byte-level vocabularies write their bytes."""
     if words.isascii():
@@ -168,7 +174,7 @@ class Encoder:
             chunks = [c for c, x in zip(chunks, easy, strict=True) if not x]
         whole, stems, joined = [], {}, []
         for c in chunks:
-            if len(c) > 2 and c[-1] in _PUNCT and c[-2].isalpha():
+            if len(c) > 2 and c[-1] in _PUNCT and _letter(c[-2]):
                 stem = c[:-1]
                 joined.append((c, stem, c[-1]))
                 if stem not in self.known:

@@ -150,3 +150,13 @@ def test_plain_words_are_learnt_by_the_model_alone_and_without_their_marks():
     ids, at = e.encode(pa.array([text, ""]))
     assert ids.tolist() == want[0] and at.tolist() == [0, len(want[0]), len(want[0])]
     assert sorted(given) == ["", "!!", "###", "(àéÿ", ")", ",", ".", "a.b-c,über"] and "anblewh," not in e.known
+
+
+def test_a_letter_that_ends_in_a_mark_once_normalized_keeps_what_follows():
+    import pyarrow as pa
+    from dagloom.llm.tokens import WORD_BPE, Encoder, tokenizer_path
+
+    e = Encoder(tokenizer_path(WORD_BPE))
+    texts = ["reİ:", "aabİ, aab", "xक़.", "abיִ!", "àé: é."]
+    ids, at = e.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == e._raw(texts)

@@ -152,55 +152,55 @@ def connected_components(edges: DataFrame, what: str = "links") -> DataFrame:
     ``edges`` has long columns ``a`` and ``b``.  Each round first points every
     neighbour above a vertex at the smallest neighbour, then does so for the
     neighbours below it; the component's smallest id wins.  Rounds go on until
-    one changes nothing.  Every round's table is written to the shared folder;
-    rows of a vertex of high degree are spread over all tasks (:func:`_star`).
+    every vertex is the smallest of its neighbours or has but one.  Vertices
+    with their smallest neighbour, and either star, are written to the shared
+    folder, so a plan has one exchange as long as the vertices may be broadcast:
+    the driver keeps every task and plan.  Rows of a vertex of high degree are
+    spread over all tasks (:func:`_star`).
 
     Returns ``id`` and ``component`` for ids that have an edge; an edge from an
     id to itself is ignored.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges = write_out(edges, what)
-    before = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     while True:
-        large = _star(edges, False, 2 * before[0])
-        edges = write_out(_star(large, True, 2 * before[0]), what)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before == now:
-            break
-        before = now
-    tops = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(tops)
-
-
-def _star(edges: DataFrame, small: bool, rows: int) -> DataFrame:
-    """One contraction; ``rows`` is about how many rows the neighbour lists have.
-
-    The rows of a vertex with more than ``rows / BROADCAST_ROWS`` neighbours (1000
-    at least) do not move: there can be no more than ``BROADCAST_ROWS`` such
-    vertices, so their minima are broadcast.
+        near = edges.toDF("v", "n").unionByName(edges.toDF("n", "v"))
+        low = write_out(_lowest(near), what)
+        vertices, rows, more = low.agg(F.count("*"), F.sum("k"), F.max((F.col("m") < F.col("v")) & (F.col("k") > 1))).first()
+        if not more:
+            return low.select(F.col("v").alias("id"), F.least("v", "m").alias("component"))
+        met = _star(near, low, vertices, rows)
+        large = met.where("n > v").select(F.col("n").alias("v"), F.least("v", "m").alias("n"))
+        near = write_out(large.unionByName(low.where("m < v").select("v", F.col("m").alias("n"))), what)
+        low = write_out(_lowest(near), what)
+        small = _star(near, low, vertices, rows + vertices).select(F.col("n").alias("a"), F.col("m").alias("b"))
+        small = small.unionByName(low.select(F.col("v").alias("a"), F.col("m").alias("b")))
+        edges = write_out(small.where("a <> b").distinct(), what)
+
+
+def _lowest(near: DataFrame) -> DataFrame:
+    """``v, m, k``: every vertex of ``near`` (``v, n``) with its smallest neighbour and how many rows it has."""
+    return near.groupBy("v").agg(F.min("n").alias("m"), F.count("*").alias("k"))
+
+
+def _star(near: DataFrame, low: DataFrame, vertices: int, rows: int) -> DataFrame:
+    """``v, n, m``: ``near`` with each vertex's smallest neighbour, from ``low``, which is written.
+
+    ``vertices`` and ``rows`` are bounds of how many rows ``low`` and ``near``
+    have.  Up to a fifth of ``BROADCAST_ROWS`` vertices are broadcast.  Of more,
+    the rows of one with more than its share of ``rows`` (1000 at least) do not
+    move: there are fewer than that fifth of such vertices, and they are broadcast.
     """
-    if small:  # each vertex with its neighbours below it
-        near = edges.select(F.col("a").alias("v"), F.col("b").alias("n"))
-    else:
-        near = edges.select(F.col("a").alias("v"), F.col("b").alias("n")).unionByName(
-            edges.select(F.col("b").alias("v"), F.col("a").alias("n"))
-        )
-    low = near.groupBy("v").agg(F.min("n").alias("m"), F.count("*").alias("k")).select("v", F.least("v", "m").alias("m"), "k")
-    hub = F.col("k") > max(1000, -(-2 * rows // BROADCAST_ROWS))
+    most = max(1, BROADCAST_ROWS // 5)
+    if vertices <= most:
+        return near.join(F.broadcast(low.select("v", "m")), "v")
+    hub = F.col("k") > max(1000, -(-rows // most))
     hubs = F.broadcast(low.where(hub).select("v", F.col("m").alias("hub_m")))
     # vertices without a hub's minimum meet theirs by shuffle; hubs' rows keep a key of their own there
     apart = near.join(hubs, "v", "left").withColumn("key", F.when(F.col("hub_m").isNull(), F.col("v")).otherwise(F.xxhash64("v", "n")))
     rest = low.where(~hub).select(F.col("v").alias("own_key"), F.col("v").alias("own"), "m")
-    met = apart.join(rest, (F.col("key") == F.col("own_key")) & (F.col("v") == F.col("own")), "left").select("v", "n", F.coalesce("hub_m", "m").alias("m"))
-    if small:
-        out = met.select(F.col("n").alias("a"), F.col("m").alias("b")).unionByName(
-            low.select(F.col("v").alias("a"), F.col("m").alias("b"))
-        )
-    else:
-        out = met.where("n > v").select(F.col("n").alias("a"), F.col("m").alias("b")).unionByName(
-            low.where("m < v").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        )
-    return out.where("a <> b").distinct()
+    met = apart.join(rest, (F.col("key") == F.col("own_key")) & (F.col("v") == F.col("own")), "left")
+    return met.select("v", "n", F.coalesce("hub_m", "m").alias("m"))
 
 
 def join_small(rows: DataFrame, keyed: DataFrame, on: list[str], how: str, most: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:

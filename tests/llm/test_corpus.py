@@ -351,6 +351,39 @@ def test_components_of_hubs_and_long_paths(spark, monkeypatch):
     assert {r.id: r.component for r in got.collect()} == want
 
 
+def test_rounds_of_components_have_small_plans(spark, monkeypatch):
+    pairs = [(k, k + 1) for k in range(64)] + [(100, k) for k in range(101, 140)]
+    shuffles, write = [], C.write_out
+
+    def told(df, what):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return write(df, what)
+
+    monkeypatch.setattr(C, "write_out", told)
+    for most, each in ((C.BROADCAST_ROWS, 1), (50, 4)):
+        monkeypatch.setattr(C, "BROADCAST_ROWS", most)
+        shuffles.clear()
+        got = C.connected_components(spark.createDataFrame(pairs, "a long, b long"))
+        assert {r.id: r.component for r in got.collect()} == {k: 0 for k in range(65)} | {k: 100 for k in range(100, 140)}
+        assert len(shuffles) > 9 and max(shuffles) <= each
+
+
+def test_components_of_no_edges_loops_and_random_graphs(spark, monkeypatch):
+    assert C.connected_components(spark.createDataFrame([(7, 7), (None, 3)], "a long, b long")).collect() == []
+    r = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in r.integers(-300, 300, (330, 2))] + [(5, 5), (1, None)]
+    top = {}
+    for a, b in (p for p in pairs * 600 if None not in p and p[0] != p[1]):
+        low = min(top.get(a, a), top.get(b, b))
+        if top.get(a) == low == top.get(b):
+            continue
+        top[a] = top[b] = low
+    for most in (C.BROADCAST_ROWS, 50):
+        monkeypatch.setattr(C, "BROADCAST_ROWS", most)
+        rows = C.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+        assert len(rows) == len(top) and {x.id: x.component for x in rows} == top and len(set(top.values())) > 20
+
+
 def test_join_of_a_large_keyed_table(spark):
     rows = spark.createDataFrame([(k % 3, k) for k in range(90)], "k long, v long")
     keyed = C.write_out(spark.createDataFrame([(0, "a"), (1, "b")], "k long, w string"), "keyed")
